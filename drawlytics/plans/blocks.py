@@ -18,8 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from drawlytics.plans import kernels as kn
 from drawlytics.params import BLOCK, CHANCE, DECAY, GAME, MAIN, Game
 from drawlytics.plans.index import ENCOUNTER_STRIDE, SERIES, domain_array, occurrences
 
@@ -182,6 +185,28 @@ def apply_blocks(
     )
 
 
+def prefix_counts(
+    idx: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES, block: int = BLOCK
+) -> DataFrame:
+    """``k, draw_idx, main_cnt, chance_cnt``: how often every number was drawn
+    before each draw, as arrays in number order."""
+    k = list(series_cols)
+    schema = "draw_idx bigint, main_cnt array<bigint>, chance_cnt array<bigint>"
+    slim = idx.select(*k, "draw_idx", *game.ball_cols, "chance")
+
+    def kernel(rows, entry):
+        if not len(rows):
+            return kn.no_rows(schema)
+        start = np.asarray(entry["cnt"])
+        main = kn.before(kn.hits(kn.balls(rows, game), game.main_max), start[: game.main_max])
+        chance = kn.before(kn.hits(kn.bonus(rows), game.chance_max), start[game.main_max :])
+        return pd.DataFrame(
+            {"draw_idx": rows["draw_idx"].to_numpy(), "main_cnt": list(main), "chance_cnt": list(chance)}
+        )
+
+    return apply_blocks(slim, block_carry(slim, ["cnt"], game, k, block), kernel, schema, k, block)
+
+
 def halo_blocks(idx: DataFrame, width: int, series_cols: Sequence[str] = SERIES, block: int = BLOCK) -> DataFrame:
     """``idx`` hashed by block, the ``width`` rows before each block copied into
     it and marked ``halo``: trailing frames of ``width`` rows are complete."""

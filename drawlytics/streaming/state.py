@@ -23,7 +23,6 @@ from drawlytics.plans.index import (
     number_grid,
     number_stats,
     occurrences,
-    series_length,
 )
 from drawlytics.plans.store import materialize
 from drawlytics.sources.history import _fs, read_history, versions, write_history
