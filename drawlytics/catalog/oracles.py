@@ -259,7 +259,7 @@ wf AS (
 
 
 ERFC = (
-    "(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), k -> "
+    "(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda k: "
     "pow(-1, k) * exp((2 * k + 1) * ln(greatest({x}, 1e-300)) - lgamma(k + 1)) / (2 * k + 1))))"
 )
 NULL_MEAN = "(25.0::DOUBLE / 49)"
@@ -355,8 +355,8 @@ def when_feats(source: str, date: str) -> str:
     )
 
 
-Y_NUMS = "array_to_string(list_transform(range(1, 50), x -> CAST(x IN (n1, n2, n3, n4, n5) AS INTEGER)), '') AS y_nums"
-Y_CHANCE = "array_to_string(list_transform(range(1, 11), x -> CAST(x = chance AS INTEGER)), '') AS y_chance"
+Y_NUMS = "array_to_string(list_transform(range(1, 50), lambda x: CAST(x IN (n1, n2, n3, n4, n5) AS INTEGER)), '') AS y_nums"
+Y_CHANCE = "array_to_string(list_transform(range(1, 11), lambda x: CAST(x = chance AS INTEGER)), '') AS y_chance"
 NEXT_DAY = (
     "CAST(d + CASE isodow(d) WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1"
     " WHEN 6 THEN 2 ELSE 1 END * INTERVAL 1 DAY AS DATE)"
@@ -687,8 +687,8 @@ SELECT series, CAST(rn AS INTEGER) AS combo_id, concat_ws('-', a, b, c, d, e) AS
         AR + ", best AS (SELECT series, num FROM ar WHERE pool = 'main' AND rnk <= 10)")
     out["direct_combos"] = many("""
 SELECT series, i + 1 AS combo_id, array_to_string(list_sort(CASE
-    WHEN 2 * i + 5 <= 49 THEN list_transform(range(1, 6), x -> 2 * i + x)
-    ELSE list_concat(list_transform(range(2 * i + 1, 50), x -> x), range(1, 5 - (49 - 2 * i) + 1)) END), '-') AS nums,
+    WHEN 2 * i + 5 <= 49 THEN list_transform(range(1, 6), lambda x: 2 * i + x)
+    ELSE list_concat(range(2 * i + 1, 50), range(1, 5 - (49 - 2 * i) + 1)) END), '-') AS nums,
   0 AS chance, 'direct' AS method FROM len, (SELECT CAST(range AS INTEGER) AS i FROM range(0, 24))""")
     out["propose_chance"] = many(
         " SELECT series, CAST(rnk AS INTEGER) AS rnk, num AS chance FROM ar WHERE pool = 'chance' AND rnk <= 7", AR

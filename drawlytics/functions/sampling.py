@@ -12,16 +12,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from drawlytics.params import GAME, Game
 
 
-def key_sql(*parts: object) -> str:
-    """SQL of the text key; parts are SQL expressions."""
-    return "concat_ws('|', " + ", ".join(f"CAST({p} AS STRING)" for p in parts) + ")"
+def uniform_sql(parts: list[str], mode: str = "xxhash") -> str:
+    """SQL of a uniform in [0, 1) keyed by ``parts`` (SQL expressions).
 
-
-def uniform_sql(key: str, mode: str = "xxhash") -> str:
+    ``xxhash`` hashes the values as they are, ``md5`` their text joined by ``|``."""
     if mode == "md5":
+        key = "concat_ws('|', " + ", ".join(f"CAST({p} AS STRING)" for p in parts) + ")"
         return f"(CAST(conv(substr(md5({key}), 1, 12), 16, 10) AS BIGINT) / 281474976710656D)"
     if mode == "xxhash":
-        return f"(shiftrightunsigned(xxhash64({key}), 11) / 9007199254740992D)"
+        return f"(shiftrightunsigned(xxhash64({', '.join(parts)}), 11) / 9007199254740992D)"
     raise ValueError(f"unknown hash mode {mode!r}")
 
 
@@ -34,7 +33,7 @@ def with_floyd_picks(
     """
     for i in range(1, pick + 1):
         j = total - pick + i
-        drawn = f"CAST(1 + floor({uniform_sql(key_sql(*parts, str(j)), mode)} * {j}) AS INT)"
+        drawn = f"CAST(1 + floor({uniform_sql([*parts, str(j)], mode)} * {j}) AS INT)"
         df = df.withColumn("_t", F.expr(drawn))
         taken = " OR ".join(f"_t = {prefix}{m}" for m in range(1, i)) or "false"
         df = df.withColumn(f"{prefix}{i}", F.expr(f"CASE WHEN {taken} THEN {j} ELSE _t END")).drop("_t")
@@ -42,7 +41,7 @@ def with_floyd_picks(
 
 
 def uniform_chance_sql(parts: list[str], game: Game = GAME, mode: str = "xxhash") -> str:
-    return f"CAST(1 + floor({uniform_sql(key_sql(*parts, quote('chance')), mode)} * {game.chance_max}) AS INT)"
+    return f"CAST(1 + floor({uniform_sql([*parts, quote('chance')], mode)} * {game.chance_max}) AS INT)"
 
 
 def quote(text: str) -> str:
@@ -55,7 +54,7 @@ def weighted_subset(weights: str, parts: list[str], pick: int, mode: str = "xxha
     The ``pick`` smallest exponential clocks ``-ln(u)/w`` win; zero weights never
     run. ``weights`` names an ``array<double>`` column.
     """
-    u = uniform_sql(key_sql(*parts, "i + 1"), mode)
+    u = uniform_sql([*parts, "i + 1"], mode)
     clocks = (
         f"filter(transform({weights}, (w, i) -> struct("
         f"CASE WHEN w > 0D THEN -ln(greatest({u}, 1e-300D)) / w END AS clock, CAST(i + 1 AS INT) AS num)),"

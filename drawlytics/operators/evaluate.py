@@ -88,21 +88,28 @@ def track_performance(
     pick = game.main_pick
     subsets = [[i for i in range(pick) if s >> i & 1] for s in range(1 << pick)]
 
-    def subset_key(s: list[int]) -> str:
-        if game.main_max <= 62:
-            return " + ".join(f"shiftleft(1L, ns[{i}])" for i in s) or "0L"
-        return "concat_ws('-', " + (", ".join(f"ns[{i}]" for i in s) or "''") + ")"
+    packed = game.main_max <= 62
 
     def exploded(df: DataFrame, nums: str, keep: list) -> DataFrame:
-        ordered = f"array_sort(array_distinct({nums}))"
-        padded = f"transform(sequence(0, {pick - 1}), i -> get({ordered}, i))"
-        members = ", ".join(
-            (f"CASE WHEN ns[{max(s)}] IS NOT NULL THEN " if s else "CASE WHEN true THEN ")
-            + f"struct({len(s)} AS j, {subset_key(s)} AS sub) END"
-            for s in subsets
+        """A row per subset: its key ``sub`` (bit mask, or text for large games)
+        and its size ``j``. Subsets a short list does not have come out null."""
+
+        def key(s: list[int]) -> str:
+            if packed:
+                return " + ".join(f"bits[{i}]" for i in s) or "0L"
+            parts = ", ".join(f"bits[{i}]" for i in s)
+            return f"CASE WHEN bits[{max(s)}] IS NOT NULL THEN concat_ws('-', {parts}) END" if s else "''"
+
+        bit = "shiftleft(1L, x)" if packed else "CAST(x AS STRING)"
+        ordered = f"transform(array_sort(array_distinct({nums})), x -> {bit})"
+        bits = f"transform(sequence(0, {pick - 1}), i -> get({ordered}, i))"
+        size = "bit_count(sub)" if packed else "CASE WHEN sub = '' THEN 0 ELSE size(split(sub, '-')) END"
+        return (
+            df.withColumn("bits", F.expr(bits))
+            .select(*keep, F.explode(F.expr(f"array({', '.join(key(s) for s in subsets)})")).alias("sub"))
+            .where("sub IS NOT NULL")
+            .withColumn("j", F.expr(size))
         )
-        rows = f"filter(array({members}), x -> x IS NOT NULL)"
-        return df.withColumn("ns", F.expr(padded)).select(*keep, F.expr(f"inline({rows})"))
 
     wanted = exploded(combos, "nums", [*k, "combo_id", F.col("chance").alias("played")])
     drawn = idx.select(*k, "chance", F.array(*game.ball_cols).alias("nums"))
