@@ -7,7 +7,7 @@ generator state: results do not depend on partitioning, task order or retries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from drawlytics.params import GAME, Game
 
@@ -48,16 +48,20 @@ def quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def weighted_subset(weights: str, parts: list[str], pick: int, mode: str = "xxhash") -> Column:
-    """Weighted sample without replacement of positions ``1..size(weights)``.
+def with_weighted_subset(
+    df: DataFrame, weights: str, parts: list[str], pick: int, mode: str, out: str
+) -> DataFrame:
+    """Add ``out``: a weighted sample without replacement of ``pick`` of the
+    positions of ``weights`` (from 1), ascending; shorter when fewer weights are positive.
 
-    The ``pick`` smallest exponential clocks ``-ln(u)/w`` win; zero weights never
-    run. ``weights`` names an ``array<double>`` column.
-    """
+    The ``pick`` smallest exponential clocks ``-ln(u)/w`` win; a zero weight
+    never runs. One pass builds the clocks and one sort orders them: keeping it
+    a single expression stops the optimizer from repeating the pass per number."""
     u = uniform_sql([*parts, "i + 1"], mode)
     clocks = (
-        f"filter(transform({weights}, (w, i) -> struct("
-        f"CASE WHEN w > 0D THEN -ln(greatest({u}, 1e-300D)) / w END AS clock, CAST(i + 1 AS INT) AS num)),"
-        " s -> s.clock IS NOT NULL)"
+        f"transform({weights}, (w, i) -> CASE WHEN w > 0D THEN"
+        f" struct(-ln(greatest({u}, 1e-300D)) / w AS clock, CAST(i + 1 AS INT) AS num) END)"
     )
-    return F.expr(f"array_sort(transform(slice(array_sort({clocks}), 1, {pick}), s -> s.num))")
+    # Nulls (zero weights) sort last and are dropped from the winners.
+    winners = f"array_compact(transform(slice(array_sort({clocks}), 1, {pick}), s -> s.num))"
+    return df.withColumn(out, F.expr(f"sort_array({winners})"))

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from drawlytics.functions.sampling import quote, weighted_subset, with_floyd_picks
+from drawlytics.functions.sampling import quote, with_floyd_picks, with_weighted_subset
 from drawlytics.operators.common import pool_window
 from drawlytics.operators.scores import rank_scores
 from drawlytics.params import (
@@ -121,13 +121,11 @@ def monte_carlo_combos(
     the i-th most frequent sampled chance number."""
     k = list(series_cols)
     sim = _simulations(_score_arrays(scores, k), sims, k)
-    parts = [str(seed), quote("main"), *k, "sim"]
-    drawn = sim.select(
-        *k,
-        "sim",
-        weighted_subset("w_main", parts, game.main_pick, mode).alias("nums"),
-        weighted_subset("w_chance", [str(seed), quote("chance"), *k, "sim"], 1, mode).alias("extra"),
-    )
+    drawn = sim
+    for pool, pick, out in ((MAIN, game.main_pick, "nums"), (CHANCE, 1, "extra")):
+        parts = [str(seed), quote(pool), *k, "sim"]
+        drawn = with_weighted_subset(drawn, f"w_{pool}", parts, pick, mode, out)
+    drawn = drawn.select(*k, "sim", "nums", "extra")
     combos = (
         drawn.where(F.size("nums") == game.main_pick)
         .groupBy(*k, "nums")
@@ -255,10 +253,12 @@ def mixed_combos(
     uniform = tries.select(
         *k, "ord", F.array_sort(F.array(*[F.expr(f"main[p{i} - 1]") for i in range(1, m + 1)])).alias("nums")
     )
+    weighted = _score_arrays(scores, k).withColumn("ord", F.explode(F.sequence(F.lit(half), F.lit(2 * half - 1))))
     weighted = (
-        _score_arrays(scores, k)
-        .withColumn("ord", F.explode(F.sequence(F.lit(half), F.lit(2 * half - 1))))
-        .select(*k, "ord", weighted_subset("w_main", [str(seed), quote("weighted"), *k, "ord"], m, mode).alias("nums"))
+        with_weighted_subset(
+            weighted, "w_main", [str(seed), quote("weighted"), *k, "ord"], m, mode, "nums"
+        )
+        .select(*k, "ord", "nums")
         .where(F.size("nums") == m)
     )
     distinct = uniform.unionByName(weighted).groupBy(*k, "nums").agg(F.min("ord").alias("ord"))

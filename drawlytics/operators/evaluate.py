@@ -29,7 +29,10 @@ from drawlytics.plans import kernels as kn
 from drawlytics.plans.blocks import apply_blocks, block_carry, decay_carry
 from drawlytics.plans.index import ENCOUNTER_STRIDE, SERIES, series_length
 from drawlytics.plans.skew import join_hot
+from drawlytics.plans.store import materialize
 
+# Up to this many combinations the subsets they ask for are broadcast (8 bytes each).
+FEW_COMBOS = 50_000
 COUNT_STRATEGIES = ("hot", "cold", "fibonacci")
 STRATEGIES = ("random", "hot", "cold", "recency", "fibonacci")
 
@@ -111,31 +114,19 @@ def track_performance(
             .withColumn("j", F.expr(size))
         )
 
+    combos = materialize(combos.select(*k, "combo_id", "nums", "chance"), "combos")
     wanted = exploded(combos, "nums", [*k, "combo_id", F.col("chance").alias("played")])
-    drawn = idx.select(*k, "chance", F.array(*game.ball_cols).alias("nums"))
-    counts = (
-        exploded(drawn, "nums", [*k, "chance"])
-        .groupBy(*k, "sub", "chance")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    # A subset is split over at most chance_max + 1 rows here.
-    totals = counts.groupBy(*k, "sub").agg(
-        F.sum("n").alias("n_all"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("chance").isNotNull(), F.struct("chance", "n")))
-        ).alias("by_chance"),
-    )
-    found = join_hot(wanted, totals, [*k, "sub"])
-    hit = (
-        F.lit(1.0)
-        if chance_mode == "actual"
-        else F.coalesce(F.try_element_at("by_chance", F.col("played")), F.lit(0)).cast("double")
-    )
-    with_hit = F.col("n_all").cast("double") if chance_mode == "actual" else hit
+    drawn = exploded(idx.select(*k, "chance", F.array(*game.ball_cols).alias("nums")), "nums", [*k, "chance"])
+    if combos.count() <= FEW_COMBOS:
+        # At most 2^pick keys per combination: subsets nobody asks for stop here.
+        drawn = drawn.join(F.broadcast(wanted.select(*k, "sub").distinct()), [*k, "sub"], "left_semi")
+    counts = drawn.groupBy(*k, "sub", "j", "chance").agg(F.count(F.lit(1)).alias("n"))
+    found = join_hot(wanted, counts.drop("j"), [*k, "sub"])
+    hit = F.lit(True) if chance_mode == "actual" else F.coalesce(F.col("chance") == F.col("played"), F.lit(False))
     size_sums = (
-        found.withColumn("n_hit", with_hit)
+        found.withColumn("n_hit", F.when(hit, F.col("n")).otherwise(0))
         .groupBy(*k, "combo_id", "j")
-        .agg(F.sum("n_hit").alias("hit"), F.sum(F.col("n_all") - F.col("n_hit")).alias("miss"))
+        .agg(F.sum("n_hit").cast("double").alias("hit"), F.sum(F.col("n") - F.col("n_hit")).cast("double").alias("miss"))
     )
     per_combo = size_sums.groupBy(*k, "combo_id").agg(
         *[
@@ -502,7 +493,6 @@ def evaluation_report(
     their verdict (1 = differs from chance), ranks, null band, odds and expected
     value. Series shorter than ``min_history + 10`` are left out."""
     from drawlytics.operators.odds import expected_value, game_odds, game_summary
-    from drawlytics.plans.store import materialize
 
     k = list(series_cols)
     sizes = series_length(idx, k).where(F.col("n_draws") >= min_history + 10)

@@ -85,29 +85,32 @@ def top_sums(idx: DataFrame, n: int = 10, game: Game = GAME, series_cols: Sequen
     )
 
 
-def with_runs(draws: DataFrame, game: Game = GAME) -> DataFrame:
-    """Add ``runs``: the maximal runs of consecutive numbers of each draw in
-    ascending order, as ``struct<start int, len int>``.
-
-    A run starts where the previous number is absent; its length is how far the
-    draw keeps containing the next number.
-    """
-    reach = "concat(" + ", ".join(
-        f"array(CASE WHEN {' AND '.join(f'array_contains(ns, x + {i})' for i in range(1, d + 1))} THEN 1 ELSE 0 END)"
-        for d in range(1, game.main_pick)
-    ) + ")"
-    length = f"CAST(1 + aggregate({reach}, 0, (a, b) -> a + b) AS INT)"
-    runs = (
-        "transform(filter(ns, x -> NOT array_contains(ns, x - 1)),"
-        f" x -> struct(x AS start, {length} AS len))"
-    )
-    return draws.withColumn("ns", F.array_sort(F.array_distinct(nums_array(game)))).withColumn("runs", F.expr(runs)).drop("ns")
+def with_sorted(draws: DataFrame, game: Game = GAME) -> DataFrame:
+    """Add ``s``: the numbers of the draw in ascending order."""
+    return draws.withColumn("s", F.sort_array(nums_array(game)))
+
+
+def _run_length_sql(i: int, game: Game) -> str:
+    """How many numbers follow on from the i-th smallest, itself included."""
+    if i == game.main_pick - 1:
+        return "1"
+    return f"(1 + CAST(s[{i + 1}] = s[{i}] + 1 AS INT) * {_run_length_sql(i + 1, game)})"
+
+
+def runs_array(game: Game = GAME):
+    """The maximal runs of consecutive numbers of ``s`` as
+    ``array<struct<start, len>>``, null where no run starts."""
+    cells = []
+    for i in range(game.main_pick):
+        starts = "true" if i == 0 else f"s[{i}] <> s[{i - 1}] + 1"
+        cells.append(f"CASE WHEN {starts} THEN struct(s[{i}] AS start, {_run_length_sql(i, game)} AS len) END")
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def run_length_dist(draws: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES) -> DataFrame:
     """``k, run_len, cnt, pct``: longest run of consecutive numbers per draw."""
-    longest = F.array_max(F.col("runs.len"))
-    counts = with_runs(draws, game).groupBy(*series_cols, longest.alias("run_len")).agg(
+    longest = F.greatest(*[F.expr(_run_length_sql(i, game)) for i in range(game.main_pick)])
+    counts = with_sorted(draws, game).groupBy(*series_cols, longest.alias("run_len")).agg(
         F.count(F.lit(1)).alias("cnt")
     )
     return _with_pct(counts, series_cols)
@@ -118,8 +121,8 @@ def top_runs(idx: DataFrame, n: int = 10, game: Game = GAME, series_cols: Sequen
     written ``a-b-c``; ties by first draw, then by start."""
     k = list(series_cols)
     counts = (
-        with_runs(idx.select(*k, "draw_idx", *game.ball_cols), game)
-        .select(*k, "draw_idx", F.inline("runs"))
+        with_sorted(idx.select(*k, "draw_idx", *game.ball_cols), game)
+        .select(*k, "draw_idx", F.inline(runs_array(game)))
         .where("len >= 2")
         .groupBy(*k, "start", "len")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min("draw_idx").alias("first_idx"))
