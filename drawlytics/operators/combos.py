@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from drawlytics.functions.sampling import quote, with_floyd_picks, with_weighted_subset
@@ -88,23 +90,75 @@ def _score_arrays(scores: DataFrame, k: Sequence[str]) -> DataFrame:
     )
 
 
-def _simulations(weights: DataFrame, sims: int, k: Sequence[str], chunk: int = 2000) -> DataFrame:
-    """One row per series and simulation. Simulations unfold in chunks that are
-    spread over the cluster, so one series does not stay in one task."""
-    chunks = -(-sims // chunk)
+def _chunks(weights: DataFrame, sims: int, k: Sequence[str], chunk: int = 4000) -> DataFrame:
+    """``weights`` once per chunk of simulations ``[lo, hi)``, chunks spread over
+    the cluster, so the simulations of one series do not stay in one task."""
     n = int(weights.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.col("chunk") * chunk
     return (
-        weights.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        weights.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-sims // chunk) - 1))))
         .repartition(n, *k, "chunk")
-        .withColumn(
-            "sim",
-            F.explode(
-                F.sequence(
-                    F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.lit(sims)) - 1
-                )
-            ),
-        )
+        .withColumn("lo", at)
+        .withColumn("hi", F.least(at + chunk, F.lit(sims)))
+    )
+
+
+def _sampled_by_sql(chunks: DataFrame, seed: int, mode: str, game: Game, k: list[str]) -> DataFrame:
+    drawn = chunks.withColumn("sim", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
+    for pool, pick, out in ((MAIN, game.main_pick, "nums"), (CHANCE, 1, "extra")):
+        parts = [str(seed), quote(pool), *k, "sim"]
+        drawn = with_weighted_subset(drawn, f"w_{pool}", parts, pick, mode, out)
+    return drawn.select(*k, "sim", "nums", F.get("extra", F.lit(0)).alias("chance"))
+
+
+def _lowest_clocks(weights: np.ndarray, key: int, sims: np.ndarray, pick: int) -> np.ndarray:
+    """(sims, pick) ascending positions of the smallest ``-ln(u)/w``. ``u`` is the
+    mixed counter (key, simulation, position); empty when weights run short."""
+    alive = np.flatnonzero(weights > 0)
+    if len(alive) < pick:
+        return np.zeros((0, pick), dtype=np.int32)
+    z = (sims[:, None].astype(np.uint64) << np.uint64(16)) + (alive + 1).astype(np.uint64)
+    z = np.uint64(key & (2**64 - 1)) + z * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    clock = -np.log(np.maximum(u, 1e-300)) / weights[alive]
+    best = np.argpartition(clock, pick - 1, axis=1)[:, :pick]
+    return np.sort(alive[best] + 1, axis=1).astype(np.int32)
+
+
+def _sampled_by_array(chunks: DataFrame, seed: int, game: Game, k: list[str]) -> DataFrame:
+    """The same sampling on whole chunks of simulations as arrays."""
+    keyed = chunks.select(
+        *k, "lo", "hi", "w_main", "w_chance",
+        *[F.xxhash64(F.lit(seed), F.lit(p), *k).alias(f"key_{p}") for p in (MAIN, CHANCE)],
     )
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in k)
+    schema = ", ".join(x for x in (types, "sim int, nums array<int>, chance int") if x)
+    pick = game.main_pick
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                sims = np.arange(row["lo"], row["hi"])
+                main = _lowest_clocks(np.array(row["w_main"]), row["key_main"], sims, pick)
+                if not len(main):
+                    continue
+                extra = _lowest_clocks(np.array(row["w_chance"] or []), row["key_chance"], sims, 1)
+                offsets = np.arange(0, pick * len(main) + 1, pick, dtype=np.int32)
+                fixed = [pa.array([row[c]] * len(main), batch.schema.field(c).type) for c in k]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *fixed,
+                        pa.array(sims.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(main.ravel())),
+                        pa.array(extra[:, 0]) if len(extra) else pa.nulls(len(main), pa.int32()),
+                    ],
+                    names=[*k, "sim", "nums", "chance"],
+                )
+
+    return keyed.mapInArrow(run, schema)
 
 
 def monte_carlo_combos(
@@ -118,22 +172,22 @@ def monte_carlo_combos(
 ) -> DataFrame:
     """The ``top`` most frequent of ``sims`` weighted samples without replacement
     (first seen first on ties) with column ``cnt``; the i-th combination takes
-    the i-th most frequent sampled chance number."""
+    the i-th most frequent sampled chance number. ``mode='md5'`` can be repeated
+    in plain SQL, the default runs on arrays and is far faster."""
     k = list(series_cols)
-    sim = _simulations(_score_arrays(scores, k), sims, k)
-    drawn = sim
-    for pool, pick, out in ((MAIN, game.main_pick, "nums"), (CHANCE, 1, "extra")):
-        parts = [str(seed), quote(pool), *k, "sim"]
-        drawn = with_weighted_subset(drawn, f"w_{pool}", parts, pick, mode, out)
-    drawn = drawn.select(*k, "sim", "nums", "extra")
+    chunks = _chunks(_score_arrays(scores, k), sims, k)
+    if mode == "md5":
+        drawn = _sampled_by_sql(chunks, seed, mode, game, k)
+    else:
+        drawn = _sampled_by_array(chunks, seed, game, k)
     combos = (
         drawn.where(F.size("nums") == game.main_pick)
         .groupBy(*k, "nums")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min("sim").alias("first_sim"))
     )
     bonus = (
-        drawn.where(F.size("extra") == 1)
-        .groupBy(*k, F.get("extra", F.lit(0)).alias("chance"))
+        drawn.where("chance IS NOT NULL")
+        .groupBy(*k, "chance")
         .agg(F.count(F.lit(1)).alias("cnt"), F.min("sim").alias("first_sim"))
     )
     order = W.partitionBy(*k).orderBy(F.desc("cnt"), "first_sim")
