@@ -22,8 +22,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from drawlytics.params import BLOCK, DECAY, GAME, Game
 from drawlytics.plans import kernels as kn
-from drawlytics.params import BLOCK, CHANCE, DECAY, GAME, MAIN, Game
 from drawlytics.plans.index import ENCOUNTER_STRIDE, SERIES, domain_array, occurrences
 
 # state -> (aggregate inside a block, fold over blocks, value when nothing came before)
@@ -50,8 +50,23 @@ def by_block(df: DataFrame, series_cols: Sequence[str]) -> DataFrame:
     return df.repartition(n, *series_cols, "blk")
 
 
-def _slot() -> Column:
-    return F.struct(F.col("pool") == CHANCE, F.col("num")).alias("slot")
+def _gather(df: DataFrame, values: Sequence[str], k: list[str], *extra: Column) -> DataFrame:
+    """One row per block with map ``got``: (pool, num) -> values. At most one
+    entry per number of the game."""
+    entry = F.struct(F.struct("pool", "num"), F.struct(*values))
+    return df.groupBy(*k, "blk").agg(F.map_from_entries(F.collect_list(entry)).alias("got"), *extra)
+
+
+def _filled(values: Sequence[str], game: Game) -> Column:
+    """``got`` as an array over all numbers, null fields where there is no entry."""
+
+    def cell(d: Column) -> Column:
+        found = F.try_element_at("got", d)
+        return F.struct(
+            d["pool"].alias("pool"), d["num"].alias("num"), *[found[v].alias(v) for v in values]
+        )
+
+    return F.transform(domain_array(game), cell)
 
 
 def block_carry(
@@ -71,11 +86,11 @@ def block_carry(
         .groupBy(*k, "blk", "pool", "num")
         .agg(*[FOLDS[s][0]().alias(s) for s in states])
     )
+    # Numbers a block does not hold are filled in per block row: one scan of the
+    # draws, no join back to them.
     dense = (
-        totals.select(*k, "blk")
-        .distinct()
-        .select("*", F.inline(domain_array(game)))
-        .join(totals, [*k, "blk", "pool", "num"], "left")
+        _gather(totals, states, k)
+        .select(*k, "blk", F.inline(_filled(states, game)))
         .withColumn("grp", F.expr(f"blk div {fan}L"))
     )
     inner = W.partitionBy(*k, "pool", "num", "grp").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
@@ -96,12 +111,11 @@ def block_carry(
         pick = F.greatest if s == "last" else F.least
         return F.coalesce(pick(a, b), empty)
 
-    return _pack(
-        near.join(far, [*k, "pool", "num", "grp"]).select(
-            *k, "blk", "pool", "num", *[both(s).alias(s) for s in states]
-        ),
-        states,
-        k,
+    entries = near.join(far, [*k, "pool", "num", "grp"]).select(
+        *k, "blk", "pool", "num", *[both(s).alias(s) for s in states]
+    )
+    return _gather(entries, states, k).select(
+        *k, "blk", *[_filled(states, game)[s].alias(s) for s in states]
     )
 
 
@@ -127,26 +141,25 @@ def decay_carry(
         .groupBy(*k, "blk", "pool", "num")
         .agg(F.sum(F.exp(age)).alias("part"))
     )
+    # Step 0 contributes nothing: it marks the blocks that exist.
     sent = (
-        totals.withColumn("ahead", F.explode(F.sequence(F.lit(1), F.lit(reach))))
-        .withColumn("decay", F.col("part") * F.exp(-F.col("ahead") * block / F.lit(float(decay))))
+        totals.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(reach))))
+        .withColumn(
+            "decay",
+            F.when(F.col("ahead") == 0, 0.0).otherwise(
+                F.col("part") * F.exp(-F.col("ahead") * block / F.lit(float(decay)))
+            ),
+        )
         .withColumn("blk", F.col("blk") + F.col("ahead"))
+        .groupBy(*k, "blk", "pool", "num")
+        .agg(F.sum("decay").alias("decay"), F.min("ahead").alias("ahead"))
     )
-    zero = totals.select(*k, "blk").distinct().select("*", F.inline(domain_array(game)))
-    carried = zero.join(
-        sent.groupBy(*k, "blk", "pool", "num").agg(F.sum("decay").alias("decay")),
-        [*k, "blk", "pool", "num"],
-        "left",
-    ).withColumn("decay", F.coalesce("decay", F.lit(0.0)))
-    return _pack(carried, ["decay"], k)
-
-
-def _pack(df: DataFrame, states: Sequence[str], k: list[str]) -> DataFrame:
-    """One row per block; the collected list has one entry per number of the game."""
-    packed = df.groupBy(*k, "blk").agg(
-        F.array_sort(F.collect_list(F.struct(_slot(), *states))).alias("all")
+    cells = _filled(["decay"], game)["decay"]
+    return (
+        _gather(sent, ["decay"], k, F.min("ahead").alias("ahead"))
+        .where("ahead = 0")
+        .select(*k, "blk", F.transform(cells, lambda x: F.coalesce(x, F.lit(0.0))).alias("decay"))
     )
-    return packed.select(*k, "blk", *[F.col(f"all.{s}").alias(s) for s in states])
 
 
 def apply_blocks(

@@ -99,3 +99,36 @@ def test_refit_only_on_news(spark, tmp_path, monkeypatch):
     assert models.refit_on_new(old, old, "x", str(tmp_path / "m")) is None
     assert models.refit_on_new(old, later, "x", str(tmp_path / "m")).count() == 2
     assert fitted == [1]
+
+
+def test_intermediates_go_to_the_configured_folder(spark, tmp_path, monkeypatch):
+    from drawlytics.plans import store
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.checkpoint.dir": str(tmp_path)}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    assert store.checkpoint_root(Session()) == str(tmp_path)
+
+
+def test_intermediates_need_a_shared_folder_on_a_cluster():
+    from drawlytics.plans import store
+
+    class Empty:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(Empty)})
+
+    session = type("X", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)}), "sparkContext": Context})
+    with pytest.raises(RuntimeError):
+        store.checkpoint_root(session)
