@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from drawlytics.functions.columns import nums_array, prize_rank, rank_points, rank_prize
@@ -36,10 +37,8 @@ FEW_COMBOS = 50_000
 COUNT_STRATEGIES = ("hot", "cold", "fibonacci")
 STRATEGIES = ("random", "hot", "cold", "recency", "fibonacci")
 
-_PICK_SCHEMA = (
-    "strategy string, draw_idx bigint, nums array<int>, chance int,"
-    " actual array<int>, actual_chance int"
-)
+_PLAYED = "code int, draw_idx bigint, chance int, matches int, chance_hit int"
+_PLAYED_NUMS = _PLAYED + ", nums array<int>"
 
 
 # ------------------------------------------------------------------ settlement
@@ -103,9 +102,16 @@ def track_performance(
             parts = ", ".join(f"bits[{i}]" for i in s)
             return f"CASE WHEN bits[{max(s)}] IS NOT NULL THEN concat_ws('-', {parts}) END" if s else "''"
 
-        bit = "shiftleft(1L, x)" if packed else "CAST(x AS STRING)"
-        ordered = f"transform(array_sort(array_distinct({nums})), x -> {bit})"
-        bits = f"transform(sequence(0, {pick - 1}), i -> get({ordered}, i))"
+        if packed:
+            cell = [f"{nums}[{i}]" for i in range(pick)]
+            # Repeated numbers count once: the later one becomes null.
+            bits = "array(" + ", ".join(
+                f"CASE WHEN {c} IN ({', '.join(cell[:i])}) THEN NULL ELSE shiftleft(1L, {c}) END" if i else f"shiftleft(1L, {c})"
+                for i, c in enumerate(cell)
+            ) + ")"
+        else:
+            ordered = f"transform(array_sort(array_distinct({nums})), x -> CAST(x AS STRING))"
+            bits = f"transform(sequence(0, {pick - 1}), i -> get({ordered}, i))"
         size = "bit_count(sub)" if packed else "CASE WHEN sub = '' THEN 0 ELSE size(split(sub, '-')) END"
         return (
             df.withColumn("bits", F.expr(bits))
@@ -160,83 +166,86 @@ def track_performance(
 
 
 # ------------------------------------------------------------------ strategies
-def _strategy_kernel(strategies: Sequence[str], game: Game, min_history: int, decay: float):
+def _played(code: int, at, best, extra, main_hit, chance_hit, with_nums: bool) -> list:
+    """Arrow columns of one strategy: what it played and how that turned out."""
+    n = len(at)
+    matches = (np.take_along_axis(main_hit, best - 1, axis=1) > 0).sum(axis=1)
+    hit = chance_hit[np.arange(n), extra - 1] > 0
+    out = [
+        kn.same(code, n, pa.int32()),
+        pa.array(at),
+        pa.array(extra.astype(np.int32)),
+        pa.array(matches.astype(np.int32)),
+        pa.array(hit.astype(np.int32)),
+    ]
+    return [*out, kn.lists(np.sort(best, axis=1), pa.int32())] if with_nums else out
+
+
+def _strategy_kernel(strategies: Sequence[str], game: Game, min_history: int, decay: float, with_nums: bool):
     split = game.main_max
 
     def kernel(rows, entry):
-        keep = rows["draw_idx"].to_numpy() >= min_history if len(rows) else np.zeros(0, bool)
-        if not keep.any():
-            return kn.no_rows(_PICK_SCHEMA)
-        nums, chance = kn.balls(rows, game), kn.bonus(rows)
-        main_hit, chance_hit = kn.hits(nums, game.main_max), kn.hits(chance, game.chance_max)
-        frames = []
-        for strategy in strategies:
+        at = rows.column("draw_idx").to_numpy()
+        keep = at >= min_history
+        main_hit = kn.hits(kn.balls(rows, game), game.main_max)
+        chance_hit = kn.hits(kn.bonus(rows), game.chance_max)
+        if "cnt" in entry:
+            value = kn.before(main_hit, entry["cnt"][:split])[keep]
+            bonus = kn.before(chance_hit, entry["cnt"][split:])[keep]
+        parts = []
+        for code, strategy in enumerate(strategies):
             if strategy == "recency":
-                start = np.asarray(entry["decay"])
-                value = kn.decayed_before(main_hit, start[:split], decay)[keep]
-                bonus = kn.decayed_before(chance_hit, start[split:], decay)[keep]
-            else:
-                start = np.asarray(entry["cnt"])
-                value = kn.before(main_hit, start[:split])[keep]
-                bonus = kn.before(chance_hit, start[split:])[keep]
-            if strategy == "cold":
+                faded = kn.decayed_before(main_hit, entry["decay"][:split], decay)[keep]
+                best = kn.top_numbers(faded, game.main_pick)
+                extra = kn.decayed_before(chance_hit, entry["decay"][split:], decay)[keep].argmax(axis=1) + 1
+            elif strategy == "cold":
                 best, extra = kn.low_numbers(value, game.main_pick), bonus.argmin(axis=1) + 1
             else:
-                if strategy == "fibonacci":
-                    value = kn.fib_rank_weight(value)
-                best, extra = kn.top_numbers(value, game.main_pick), bonus.argmax(axis=1) + 1
-            frames.append(
-                pd.DataFrame(
-                    {
-                        "strategy": strategy,
-                        "draw_idx": rows["draw_idx"].to_numpy()[keep],
-                        "nums": list(np.sort(best, axis=1).astype(np.int32)),
-                        "chance": extra.astype(np.int32),
-                        "actual": list(nums[keep].astype(np.int32)),
-                        "actual_chance": pd.array(np.where(chance[keep] > 0, chance[keep], 0), dtype="Int32"),
-                    }
-                )
-            )
-        out = pd.concat(frames, ignore_index=True)
-        out.loc[out["actual_chance"] == 0, "actual_chance"] = pd.NA
-        return out
+                ranked = kn.fib_rank_weight(value) if strategy == "fibonacci" else value
+                best, extra = kn.top_numbers(ranked, game.main_pick), bonus.argmax(axis=1) + 1
+            parts.append(_played(code, at[keep], best, extra, main_hit[keep], chance_hit[keep], with_nums))
+        return [pa.concat_arrays(column) for column in zip(*parts)]
 
     return kernel
 
 
-def _history_picks(idx, strategies, game, min_history, decay, series_cols, block) -> DataFrame:
+def _history_picks(idx, strategies, game, min_history, decay, series_cols, block, with_nums) -> DataFrame:
     k = list(series_cols)
     slim = idx.select(*k, "draw_idx", *game.ball_cols, "chance")
-    counts = [s for s in strategies if s in COUNT_STRATEGIES]
     carries = []
-    if counts:
+    if set(strategies) & set(COUNT_STRATEGIES):
         carries.append(block_carry(slim, ["cnt"], game, k, block))
     if "recency" in strategies:
         carries.append(decay_carry(slim, game, decay, k, block))
     carry = carries[0] if len(carries) == 1 else carries[0].join(carries[1], [*k, "blk"])
-    kernel = _strategy_kernel(strategies, game, min_history, decay)
-    return apply_blocks(slim, carry, kernel, _PICK_SCHEMA, k, block)
+    kernel = _strategy_kernel(strategies, game, min_history, decay, with_nums)
+    out = apply_blocks(slim, carry, kernel, _PLAYED_NUMS if with_nums else _PLAYED, k, block)
+    name = F.get(F.array(*[F.lit(s) for s in strategies]), F.col("code"))
+    return out.withColumn("strategy", name).drop("code")
 
 
-def _random_picks(idx, game, min_history, series_cols, seed, mode) -> DataFrame:
+def _random_picks(idx, game, min_history, series_cols, seed, mode, with_nums) -> DataFrame:
     parts = [str(seed), quote("pick"), *series_cols, "draw_idx"]
-    rows = idx.where(F.col("draw_idx") >= min_history)
+    rows = idx.where(F.col("draw_idx") >= min_history).withColumnRenamed("chance", "actual")
     rows = with_floyd_picks(rows, parts, game.main_max, game.main_pick, mode)
-    picked = F.array_sort(F.array(*[f"p{i}" for i in range(1, game.main_pick + 1)]))
-    return rows.select(
+    rows = rows.withColumn("chance", F.expr(uniform_chance_sql(parts, game, mode)))
+    picked = [f"p{i}" for i in range(1, game.main_pick + 1)]
+    matched = " + ".join(f"CAST({p} IN ({', '.join(game.ball_cols)}) AS INT)" for p in picked)
+    out = rows.select(
         *series_cols,
-        F.lit("random").alias("strategy"),
         "draw_idx",
-        picked.alias("nums"),
-        F.expr(uniform_chance_sql(parts, game, mode)).alias("chance"),
-        nums_array(game).alias("actual"),
-        F.col("chance").alias("actual_chance"),
+        "chance",
+        F.expr(matched).alias("matches"),
+        F.coalesce((F.col("chance") == F.col("actual")), F.lit(False)).cast("int").alias("chance_hit"),
+        F.array_sort(F.array(*picked)).alias("nums"),
+        F.lit("random").alias("strategy"),
     )
+    return out if with_nums else out.drop("nums")
 
 
-def _picks_and_actual(
+def _plays(
     idx: DataFrame,
-    strategies: Sequence[str],
+    strategies: Sequence[str] | str,
     min_history: int,
     game: Game,
     series_cols: Sequence[str],
@@ -244,16 +253,18 @@ def _picks_and_actual(
     mode: str,
     decay: float,
     block: int,
+    with_nums: bool,
 ) -> DataFrame:
+    strategies = (strategies,) if isinstance(strategies, str) else tuple(strategies)
     unknown = set(strategies) - set(STRATEGIES)
     if unknown:
         raise ValueError(f"unknown strategies: {sorted(unknown)}")
     learned = [s for s in strategies if s != "random"]
     out = []
     if learned:
-        out.append(_history_picks(idx, learned, game, min_history, decay, series_cols, block))
+        out.append(_history_picks(idx, learned, game, min_history, decay, series_cols, block, with_nums))
     if "random" in strategies:
-        out.append(_random_picks(idx, game, min_history, series_cols, seed, mode))
+        out.append(_random_picks(idx, game, min_history, series_cols, seed, mode, with_nums))
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
@@ -270,10 +281,8 @@ def picks(
 ) -> DataFrame:
     """``k, strategy, draw_idx, nums, chance``: what each strategy plays at every
     draw, seeing only the draws before it."""
-    names = (strategies,) if isinstance(strategies, str) else tuple(strategies)
-    return _picks_and_actual(idx, names, min_history, game, series_cols, seed, mode, decay, block).drop(
-        "actual", "actual_chance"
-    )
+    plays = _plays(idx, strategies, min_history, game, series_cols, seed, mode, decay, block, True)
+    return plays.select(*series_cols, "strategy", "draw_idx", "nums", "chance")
 
 
 def walk_forward(
@@ -289,20 +298,10 @@ def walk_forward(
 ) -> DataFrame:
     """``k, strategy, draw_idx, matches, chance_hit, rank`` for every draw with
     at least ``min_history`` draws before it. All strategies share one pass."""
-    names = (strategies,) if isinstance(strategies, str) else tuple(strategies)
-    both = _picks_and_actual(idx, names, min_history, game, series_cols, seed, mode, decay, block)
-    return _scored(both, series_cols)
-
-
-def _scored(both: DataFrame, series_cols: Sequence[str]) -> DataFrame:
-    hit = F.coalesce(F.col("chance") == F.col("actual_chance"), F.lit(False)).cast("int")
-    return both.select(
-        *series_cols,
-        "strategy",
-        "draw_idx",
-        F.size(F.array_intersect("nums", "actual")).alias("matches"),
-        hit.alias("chance_hit"),
-    ).withColumn("rank", prize_rank("matches", "chance_hit"))
+    plays = _plays(idx, strategies, min_history, game, series_cols, seed, mode, decay, block, False)
+    return plays.select(*series_cols, "strategy", "draw_idx", "matches", "chance_hit").withColumn(
+        "rank", prize_rank("matches", "chance_hit")
+    )
 
 
 def null_moments(game: Game = GAME) -> tuple[float, float]:
@@ -414,32 +413,21 @@ def _backtest_kernel(game: Game, min_history: int, step: int, blend: float, weig
         )
 
     def kernel(rows, entry):
-        at = rows["draw_idx"].to_numpy(dtype=np.int64)
+        at = rows.column("draw_idx").to_numpy()
         keep = (at >= min_history) & ((at - min_history) % step == 0)
-        if not keep.any():
-            return kn.no_rows(_PICK_SCHEMA)
-        nums, chance = kn.balls(rows, game), kn.bonus(rows)
-        choice = []
+        choice, hits = [], []
         for values, size, part, pick in (
-            (nums, game.main_max, slice(0, split), game.main_pick),
-            (chance, game.chance_max, slice(split, None), 1),
+            (kn.balls(rows, game), game.main_max, slice(0, split), game.main_pick),
+            (kn.bonus(rows), game.chance_max, slice(split, None), 1),
         ):
             hit = kn.hits(values, size)
-            cnt = kn.before(hit, np.asarray(entry["cnt"])[part])[keep]
-            last = kn.last_before(hit, at, np.asarray(entry["last"])[part])[keep]
-            seen = kn.seen_before(values, at, size, ENCOUNTER_STRIDE, np.asarray(entry["seen"])[part])[keep]
+            cnt = kn.before(hit, entry["cnt"][part])[keep]
+            last = kn.last_before(hit, at, entry["last"][part])[keep]
+            seen = kn.seen_before(values, at, size, ENCOUNTER_STRIDE, entry["seen"][part])[keep]
             value = kn.settle_digits(score(cnt, last, seen, at[keep], size == game.main_max))
             choice.append(kn.low_numbers(-value, pick))
-        return pd.DataFrame(
-            {
-                "strategy": "score_a",
-                "draw_idx": at[keep],
-                "nums": list(np.sort(choice[0], axis=1).astype(np.int32)),
-                "chance": choice[1][:, 0].astype(np.int32),
-                "actual": list(nums[keep].astype(np.int32)),
-                "actual_chance": pd.array(chance[keep], dtype="Int32"),
-            }
-        )
+            hits.append(hit[keep])
+        return _played(0, at[keep], choice[0], choice[1][:, 0], hits[0], hits[1], True)
 
     return kernel
 
@@ -460,19 +448,11 @@ def backtest_scores(
     k = list(series_cols)
     slim = idx.select(*k, "draw_idx", *game.ball_cols, "chance")
     carry = block_carry(slim, ["cnt", "last", "seen"], game, k, block)
-    both = apply_blocks(
-        slim, carry, _backtest_kernel(game, min_history, step, blend, weights), _PICK_SCHEMA, k, block
+    plays = apply_blocks(
+        slim, carry, _backtest_kernel(game, min_history, step, blend, weights), _PLAYED_NUMS, k, block
     )
-    hit = F.coalesce(F.col("chance") == F.col("actual_chance"), F.lit(False)).cast("int")
     return (
-        both.select(
-            *k,
-            "draw_idx",
-            "nums",
-            "chance",
-            F.size(F.array_intersect("nums", "actual")).alias("matches"),
-            hit.alias("chance_hit"),
-        )
+        plays.select(*k, "draw_idx", "nums", "chance", "matches", "chance_hit")
         .withColumn("rank", prize_rank("matches", "chance_hit", "short"))
         .withColumn("points", rank_points("rank"))
     )

@@ -20,24 +20,29 @@ def _appearances(
     carry = block_carry(idx, ["last"], game, k, block)
     rows = by_block(idx.select(*k, "draw_idx", *game.ball_cols, "chance").withColumn("blk", block_of(block)), k)
     rows = rows.join(carry.withColumnRenamed("last", "entry"), [*k, "blk"])
-    balls = F.array_distinct(F.array(*game.ball_cols))
-    cells = F.concat(
-        F.transform(
-            balls,
-            lambda x: F.struct(F.lit(MAIN).alias("pool"), x.alias("num"), F.get("entry", x - 1).alias("entry")),
-        ),
-        F.array(
-            F.struct(
-                F.lit(CHANCE).alias("pool"),
-                F.col("chance").alias("num"),
-                F.get("entry", F.lit(game.main_max) + F.col("chance") - 1).alias("entry"),
-            )
-        ),
-    )
-    occ = rows.select(*k, "blk", "draw_idx", F.inline(cells)).where("num IS NOT NULL")
-    before = F.lag("draw_idx").over(W.partitionBy(*k, "blk", "pool", "num").orderBy("draw_idx"))
+    # A number repeated inside a draw appears once: the later cell becomes null.
+    # Chance numbers take the slots behind the main pool.
+    cells = []
+    for i, c in enumerate(game.ball_cols):
+        repeated = f"{c} IN ({', '.join(game.ball_cols[:i])})" if i else "false"
+        cells.append(F.expr(f"CASE WHEN {repeated} THEN NULL ELSE {c} END"))
+    cells.append(F.col("chance") + game.main_max)
+    occ = rows.select(
+        *k,
+        "blk",
+        "draw_idx",
+        F.inline(F.array(*[F.struct(c.alias("slot"), F.get("entry", c - 1).alias("entry")) for c in cells])),
+    ).where("slot IS NOT NULL")
+    before = F.lag("draw_idx").over(W.partitionBy(*k, "blk", "slot").orderBy("draw_idx"))
     carried = F.when(F.col("entry") >= 0, F.col("entry"))
-    return occ.select(*k, "pool", "num", "draw_idx", F.coalesce(before, carried).alias("prev"))
+    main = F.col("slot") <= game.main_max
+    return occ.select(
+        *k,
+        F.when(main, MAIN).otherwise(CHANCE).alias("pool"),
+        F.when(main, F.col("slot")).otherwise(F.col("slot") - game.main_max).alias("num"),
+        "draw_idx",
+        F.coalesce(before, carried).alias("prev"),
+    )
 
 
 def gap_history(

@@ -18,8 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from drawlytics.params import BLOCK, DECAY, GAME, Game
@@ -162,6 +161,10 @@ def decay_carry(
     )
 
 
+def sql_fields(df: DataFrame, names: Sequence[str]) -> list[str]:
+    return [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names]
+
+
 def apply_blocks(
     idx: DataFrame,
     carry: DataFrame,
@@ -170,31 +173,28 @@ def apply_blocks(
     series_cols: Sequence[str] = SERIES,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Run ``kernel(rows, entry) -> pandas`` on every block, rows in draw order,
-    ``entry`` the block's carry row. ``schema`` excludes the series columns."""
+    """Run ``kernel(rows, entry) -> list of arrow arrays`` on every block: rows
+    in draw order, ``entry`` the block's carried arrays by state. ``schema``
+    names the arrays and excludes the series columns."""
     k = list(series_cols)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in idx.schema if f.name in k)
+    fields = [*sql_fields(idx, k), schema]
+    names = [*k, *[f.split()[0] for f in schema.split(", ")]]
+    states = [c for c in carry.columns if c not in (*k, "blk")]
     rows = by_block(idx.withColumn("blk", block_of(block)), k)
-
     # Renamed, as both sides come from the same table.
-    entries = carry.select(
-        *[F.col(c).alias(f"_at_{c}") for c in (*k, "blk")], *[c for c in carry.columns if c not in (*k, "blk")]
-    )
+    entries = carry.select(*[F.col(c).alias(f"_at_{c}") for c in (*k, "blk")], *states)
 
     def run(left, right):
-        if left.empty:
-            out = kernel(left, None)
-        else:
-            left = left.sort_values("draw_idx", kind="stable")
-            out = kernel(left, right.iloc[0])
-        for i, c in enumerate(k):
-            out.insert(i, c, left[c].iloc[0] if len(left) else None)
-        return out
+        left = left.sort_by("draw_idx")
+        entry = {s: right.column(s)[0].values.to_numpy(zero_copy_only=False) for s in states}
+        out = kernel(left, entry)
+        head = [kn.same(left.column(c)[0].as_py(), len(out[0]), left.schema.field(c).type) for c in k]
+        return pa.Table.from_arrays([*head, *out], names=names)
 
     return (
         rows.groupBy(*k, "blk")
         .cogroup(entries.groupBy(*[f"_at_{c}" for c in (*k, "blk")]))
-        .applyInPandas(run, f"{types}, {schema}" if types else schema)
+        .applyInArrow(run, ", ".join(fields))
     )
 
 
@@ -208,14 +208,9 @@ def prefix_counts(
     slim = idx.select(*k, "draw_idx", *game.ball_cols, "chance")
 
     def kernel(rows, entry):
-        if not len(rows):
-            return kn.no_rows(schema)
-        start = np.asarray(entry["cnt"])
-        main = kn.before(kn.hits(kn.balls(rows, game), game.main_max), start[: game.main_max])
-        chance = kn.before(kn.hits(kn.bonus(rows), game.chance_max), start[game.main_max :])
-        return pd.DataFrame(
-            {"draw_idx": rows["draw_idx"].to_numpy(), "main_cnt": list(main), "chance_cnt": list(chance)}
-        )
+        main = kn.before(kn.hits(kn.balls(rows, game), game.main_max), entry["cnt"][: game.main_max])
+        chance = kn.before(kn.hits(kn.bonus(rows), game.chance_max), entry["cnt"][game.main_max :])
+        return [rows.column("draw_idx").combine_chunks(), kn.lists(main, pa.int64()), kn.lists(chance, pa.int64())]
 
     return apply_blocks(slim, block_carry(slim, ["cnt"], game, k, block), kernel, schema, k, block)
 

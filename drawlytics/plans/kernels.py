@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from drawlytics.params import STRATEGY_FIB, Game
 
 
-def no_rows(schema: str) -> pd.DataFrame:
-    """An empty frame with the columns of a ``name type, ...`` schema text."""
-    return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
+def balls(rows: pa.Table, game: Game) -> np.ndarray:
+    """(rows, pick) numbers of the draws, 0 where missing."""
+    return np.column_stack([rows.column(c).fill_null(0).to_numpy() for c in game.ball_cols]).astype(np.int64)
 
 
-def balls(rows, game: Game) -> np.ndarray:
-    return rows[game.ball_cols].to_numpy(dtype=np.int64)
+def bonus(rows: pa.Table) -> np.ndarray:
+    """Chance numbers, 0 where missing."""
+    return rows.column("chance").fill_null(0).to_numpy().astype(np.int64)
 
 
-def bonus(rows) -> np.ndarray:
-    """Chance numbers, 0 where missing."""
-    return rows["chance"].fillna(0).to_numpy(dtype=np.int64)
+def lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One list per matrix row."""
+    n, width = values.shape
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(values).ravel(), kind))
+
+
+def same(value, n: int, kind: pa.DataType) -> pa.Array:
+    return pa.repeat(pa.scalar(value, kind), n)
 
 
 def hits(values: np.ndarray, size: int) -> np.ndarray:
@@ -64,16 +71,30 @@ def settle_digits(x: np.ndarray) -> np.ndarray:
     return np.ldexp(np.round(np.ldexp(m, 40)), e - 40)
 
 
+def _packed(value: np.ndarray) -> np.ndarray:
+    """Integer values and their numbers as one distinct key, larger = better."""
+    size = value.shape[1]
+    return value * (size + 1) + np.arange(1, size + 1)
+
+
 def top_numbers(value: np.ndarray, pick: int) -> np.ndarray:
-    """Numbers of the ``pick`` largest values per row, larger number first on ties."""
+    """Numbers of the ``pick`` largest values per row, best first, the larger
+    number first on ties."""
     size = value.shape[1]
-    flipped = value[:, ::-1]
-    order = np.argsort(-flipped, axis=1, kind="stable")[:, :pick]
-    return size - order
+    if value.dtype.kind == "f":
+        return size - np.argsort(-value[:, ::-1], axis=1, kind="stable")[:, :pick]
+    key = _packed(value)
+    if pick < size:
+        best = np.argpartition(key, size - pick, axis=1)[:, size - pick :]
+        key = np.take_along_axis(key, best, axis=1)
+    return np.sort(key, axis=1)[:, ::-1] % (size + 1)
 
 
 def low_numbers(value: np.ndarray, pick: int) -> np.ndarray:
-    return np.argsort(value, axis=1, kind="stable")[:, :pick] + 1
+    """Numbers of the ``pick`` smallest values per row, smaller number on ties."""
+    if value.dtype.kind == "f":
+        return np.argsort(value, axis=1, kind="stable")[:, :pick] + 1
+    return np.sort(np.partition(_packed(value), pick - 1, axis=1)[:, :pick], axis=1) % (value.shape[1] + 1)
 
 
 def fib_rank_weight(cnt: np.ndarray) -> np.ndarray:
