@@ -88,36 +88,30 @@ def track_performance(
     """
     k = list(series_cols)
     pick = game.main_pick
-    subsets = [[i for i in range(pick) if s >> i & 1] for s in range(1 << pick)]
-
     packed = game.main_max <= 62
 
     def exploded(df: DataFrame, nums: str, keep: list) -> DataFrame:
         """A row per subset: its key ``sub`` (bit mask, or text for large games)
-        and its size ``j``. Subsets a short list does not have come out null."""
-
-        def key(s: list[int]) -> str:
-            if packed:
-                return " + ".join(f"bits[{i}]" for i in s) or "0L"
-            parts = ", ".join(f"bits[{i}]" for i in s)
-            return f"CASE WHEN bits[{max(s)}] IS NOT NULL THEN concat_ws('-', {parts}) END" if s else "''"
-
+        and its size ``j``. The subset number ``s`` unfolds first and each key is
+        put together from it afterwards, which keeps the generated code small."""
+        out = df.select(*keep, F.col(nums).alias("ns"), F.explode(F.sequence(F.lit(0), F.lit((1 << pick) - 1))).alias("s"))
         if packed:
-            cell = [f"{nums}[{i}]" for i in range(pick)]
-            # Repeated numbers count once: the later one becomes null.
-            bits = "array(" + ", ".join(
-                f"CASE WHEN {c} IN ({', '.join(cell[:i])}) THEN NULL ELSE shiftleft(1L, {c}) END" if i else f"shiftleft(1L, {c})"
-                for i, c in enumerate(cell)
-            ) + ")"
+            # Repeated numbers count once: the later one makes the key null.
+            terms = [
+                f"CASE WHEN (s & {1 << i}) = 0 THEN 0L"
+                + (f" WHEN ns[{i}] IN ({', '.join(f'ns[{m}]' for m in range(i))}) THEN NULL" if i else "")
+                + f" ELSE shiftleft(1L, ns[{i}]) END"
+                for i in range(pick)
+            ]
+            sub = " + ".join(terms)
         else:
-            ordered = f"transform(array_sort(array_distinct({nums})), x -> CAST(x AS STRING))"
-            bits = f"transform(sequence(0, {pick - 1}), i -> get({ordered}, i))"
-        size = "bit_count(sub)" if packed else "CASE WHEN sub = '' THEN 0 ELSE size(split(sub, '-')) END"
+            chosen = "filter(array_sort(ns), (x, i) -> (s & shiftleft(1, i)) <> 0)"
+            sub = f"CASE WHEN size(array_distinct({chosen})) = bit_count(s) THEN array_join({chosen}, '-') END"
         return (
-            df.withColumn("bits", F.expr(bits))
-            .select(*keep, F.explode(F.expr(f"array({', '.join(key(s) for s in subsets)})")).alias("sub"))
+            out.withColumn("sub", F.expr(sub))
             .where("sub IS NOT NULL")
-            .withColumn("j", F.expr(size))
+            .withColumn("j", F.expr("bit_count(s)"))
+            .drop("ns", "s")
         )
 
     combos = materialize(combos.select(*k, "combo_id", "nums", "chance"), "combos")

@@ -27,13 +27,14 @@ def _appearances(
         repeated = f"{c} IN ({', '.join(game.ball_cols[:i])})" if i else "false"
         cells.append(F.expr(f"CASE WHEN {repeated} THEN NULL ELSE {c} END"))
     cells.append(F.col("chance") + game.main_max)
-    occ = rows.select(
-        *k,
-        "blk",
-        "draw_idx",
-        F.inline(F.array(*[F.struct(c.alias("slot"), F.get("entry", c - 1).alias("entry")) for c in cells])),
-    ).where("slot IS NOT NULL")
-    before = F.lag("draw_idx").over(W.partitionBy(*k, "blk", "slot").orderBy("draw_idx"))
+    occ = (
+        rows.select(*k, "blk", "draw_idx", "entry", F.explode(F.array(*cells)).alias("slot"))
+        .where("slot IS NOT NULL")
+        .withColumn("entry", F.get("entry", F.col("slot") - 1))
+    )
+    # One long leads the sort order, so that rows rarely compare beyond it.
+    occ = occ.withColumn("run", F.col("blk") * F.lit(1 << 16) + F.col("slot"))
+    before = F.lag("draw_idx").over(W.partitionBy("run", *k, "blk").orderBy("draw_idx"))
     carried = F.when(F.col("entry") >= 0, F.col("entry"))
     main = F.col("slot") <= game.main_max
     return occ.select(

@@ -21,9 +21,10 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from drawlytics.params import BLOCK, DECAY, GAME, Game
+from drawlytics.params import BLOCK, CHANCE, DECAY, GAME, Game
 from drawlytics.plans import kernels as kn
 from drawlytics.plans.index import ENCOUNTER_STRIDE, SERIES, domain_array, occurrences
+from drawlytics.plans.store import materialize
 
 # state -> (aggregate inside a block, fold over blocks, value when nothing came before)
 FOLDS = {
@@ -68,6 +69,14 @@ def _filled(values: Sequence[str], game: Game) -> Column:
     return F.transform(domain_array(game), cell)
 
 
+def _pack(entries: DataFrame, values: Sequence[str], k: list[str]) -> DataFrame:
+    """One row per block with an array per value, main pool first, from rows that
+    cover every number."""
+    entry = F.struct((F.col("pool") == CHANCE).alias("bonus"), "num", *values)
+    packed = entries.groupBy(*k, "blk").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    return packed.select(*k, "blk", *[F.col(f"all.{v}").alias(v) for v in values])
+
+
 def block_carry(
     idx: DataFrame,
     states: Sequence[str],
@@ -85,12 +94,13 @@ def block_carry(
         .groupBy(*k, "blk", "pool", "num")
         .agg(*[FOLDS[s][0]().alias(s) for s in states])
     )
-    # Numbers a block does not hold are filled in per block row: one scan of the
-    # draws, no join back to them.
-    dense = (
+    # Numbers a block does not hold are filled in per block row. The table is
+    # written, as both fold levels read it: the draws are scanned exactly once.
+    dense = materialize(
         _gather(totals, states, k)
         .select(*k, "blk", F.inline(_filled(states, game)))
-        .withColumn("grp", F.expr(f"blk div {fan}L"))
+        .withColumn("grp", F.expr(f"blk div {fan}L")),
+        "block-totals",
     )
     inner = W.partitionBy(*k, "pool", "num", "grp").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
     outer = W.partitionBy(*k, "pool", "num").orderBy("grp").rowsBetween(W.unboundedPreceding, -1)
@@ -113,9 +123,7 @@ def block_carry(
     entries = near.join(far, [*k, "pool", "num", "grp"]).select(
         *k, "blk", "pool", "num", *[both(s).alias(s) for s in states]
     )
-    return _gather(entries, states, k).select(
-        *k, "blk", *[_filled(states, game)[s].alias(s) for s in states]
-    )
+    return _pack(entries, states, k)
 
 
 def decay_carry(
@@ -153,12 +161,13 @@ def decay_carry(
         .groupBy(*k, "blk", "pool", "num")
         .agg(F.sum("decay").alias("decay"), F.min("ahead").alias("ahead"))
     )
-    cells = _filled(["decay"], game)["decay"]
-    return (
+    entries = (
         _gather(sent, ["decay"], k, F.min("ahead").alias("ahead"))
         .where("ahead = 0")
-        .select(*k, "blk", F.transform(cells, lambda x: F.coalesce(x, F.lit(0.0))).alias("decay"))
+        .select(*k, "blk", F.inline(_filled(["decay"], game)))
+        .fillna(0.0, ["decay"])
     )
+    return _pack(entries, ["decay"], k)
 
 
 def sql_fields(df: DataFrame, names: Sequence[str]) -> list[str]:
