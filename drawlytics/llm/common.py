@@ -82,18 +82,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     table = mixed(np.arange(1, 257, dtype=np.uint64) * MIX + np.uint64(seed))
     length = ends - starts
     out = mixed(length.astype(np.uint64) + np.uint64(seed))
-    base, power = np.uint64(0xD6E8FEB86659FD93), np.uint64(1)
+    base, power = 0xD6E8FEB86659FD93, 1
     alive = np.arange(len(starts))
     k = 0
     # One step per byte position: as many steps as the longest span, each over the spans that long.
     while len(alive) and k < 64:
-        out[alive] += table[data[starts[alive] + k]] * power
-        power *= base
+        out[alive] += table[data[starts[alive] + k]] * np.uint64(power)
+        power = power * base % (1 << 64)
         k += 1
         alive = alive[length[alive] > k]
     for i in alive:
         rest = table[data[starts[i] + k : ends[i]]]
-        out[i] += (rest * (powers(int(base), len(rest)) * power)).sum(dtype=np.uint64)
+        out[i] += (rest * (powers(base, len(rest)) * np.uint64(power))).sum(dtype=np.uint64)
     return mixed(out)
 
 

@@ -4,31 +4,72 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drawlytics.llm import simhash
+from drawlytics.llm import decontam, lines, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def query(fn: Query) -> Query:
-    _REGISTRY[fn.__name__] = fn
-    return fn
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        _REGISTRY[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def registered() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query
+@query()
 def op1_simhash(spark, sf_dir):
-    return simhash.near_duplicates(documents(spark, sf_dir))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def sql() -> dict[str, str]:
-    return {}
+@query(r"""
+WITH pages AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, row_number() OVER () AS page FROM documents),
+lines AS (SELECT page, unnest(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM pages),
+counts AS (SELECT host, line, count(DISTINCT page) AS n FROM lines JOIN pages USING (page) GROUP BY ALL),
+often AS (SELECT host, line FROM counts JOIN (SELECT host, count(*) AS pages FROM pages GROUP BY host) USING (host) WHERE n >= 5 AND n > 0.05 * pages),
+sets AS (SELECT host, list(line) AS drop FROM often GROUP BY host),
+cut AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS own,
+  list_filter(string_split(text, chr(10)), x -> NOT (regexp_matches(x, '[^\x20\x09-\x0D]') AND list_contains(coalesce(drop, []), x))) AS rest
+  FROM pages LEFT JOIN sets USING (host)),
+sized AS (SELECT *, len(own) AS n_lines, len(list_filter(rest, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_left FROM cut)
+SELECT doc_id, n_lines::BIGINT AS n_lines, (CASE WHEN n_left > 0 THEN n_lines - n_left ELSE 0 END)::BIGINT AS n_dropped,
+  md5(CASE WHEN n_left > 0 THEN array_to_string(rest, chr(10)) ELSE text END) AS kept_md5
+FROM sized
+""")
+def op2_line_dedup(spark, sf_dir):
+    out = lines.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+@query()
+def op4_decontamination(spark, sf_dir):
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op5_quality_rules(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
