@@ -77,29 +77,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def ragged(sizes: np.ndarray) -> np.ndarray:
+    """0..size-1 for every size, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of every byte span: mixed bytes summed with powers of an odd base."""
+    """A 64-bit hash of every byte span (none empty): mixed bytes summed with powers of an odd base."""
     table = mixed(np.arange(1, 257, dtype=np.uint64) * MIX + np.uint64(seed))
-    length = ends - starts
-    out = mixed(length.astype(np.uint64) + np.uint64(seed))
-    base, power = 0xD6E8FEB86659FD93, 1
-    alive = np.arange(len(starts))
-    k = 0
-    # One step per byte position: as many steps as the longest span, each over the spans that long.
-    while len(alive) and k < 64:
-        out[alive] += table[data[starts[alive] + k]] * np.uint64(power)
-        power = power * base % (1 << 64)
-        k += 1
-        alive = alive[length[alive] > k]
-    for i in alive:
-        rest = table[data[starts[i] + k : ends[i]]]
-        out[i] += (rest * (powers(base, len(rest)) * np.uint64(power))).sum(dtype=np.uint64)
-    return mixed(out)
-
-
-def row_batches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    size = ends - starts
+    out = np.empty(len(starts), dtype=np.uint64)
+    total = np.cumsum(size)
+    power = powers(0xD6E8FEB86659FD93, int(size.max(initial=0)))
+    first = 0
+    while first < len(starts):
+        # About a megabyte at a time, one span at least.
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + (1 << 20), "right")))
+        own = size[first:last]
+        shift = ragged(own)
+        value = table[data[np.repeat(starts[first:last], own) + shift]] * power[shift]
+        out[first:last] = np.add.reduceat(value, np.cumsum(own) - own)
+        first = last
+    return mixed(out ^ size.astype(np.uint64))
 
 
 def input_tasks(df: DataFrame, least: int = 8) -> int:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drawlytics.llm.common import mixed, powers, span_hashes, utf8, whole_text, word_spans
+from drawlytics.llm.common import mixed, powers, ragged, span_hashes, utf8, whole_text, word_spans
 from drawlytics.plans.store import materialize
 
 #: Token positions that a seed reads (1) and ignores (0).
@@ -67,7 +67,7 @@ class Items:
             own, at = own[hit], at[hit]
             lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
             n = hi - lo
-            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            entry = np.repeat(lo, n) + ragged(n)
             found.append(np.column_stack([item[entry], np.repeat(at, n) - place[entry]]))
         places = np.unique(np.concatenate(found), axis=0)
         # The text that the hit lies in also holds the whole overlap.
@@ -79,7 +79,7 @@ class Items:
         item, first, row, size = item[fits], first[fits], row[fits], size[fits]
         if not len(item):
             return
-        shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        shift = ragged(size)
         equal = words[np.repeat(first, size) + shift] == self.words[np.repeat(self.bounds[item], size) + shift]
         same = np.add.reduceat(equal.astype(np.int64), np.cumsum(size) - size)
         good = same >= np.ceil(identity * size - 1e-9)
@@ -130,7 +130,7 @@ def contaminations(
     slim = docs.select(F.col(id_col), F.lower(whole_text(text_col)).alias("_text"))
     item_type = benchmark.schema[item_id_col].dataType
     id_name, schema = slim.columns[0], slim.select(F.col(id_col)).schema
-    schema = schema.add(f"_item", item_type).add("first_word", "long").add("n_equal", "long").add("n_item", "long")
+    schema = schema.add("_item", item_type).add("first_word", "long").add("n_equal", "long").add("n_item", "long")
     out = None
     for ids, items in shards(benchmark, item_id_col, item_text_col, masks, min_words, shard_chars):
         shared = spark.sparkContext.broadcast((ids, items))
