@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +38,16 @@ class WordEncoder:
         need = [w for w in found if w not in parts]
         need += {x for w, s in parts.items() for x in (s, w[len(s) :]) if x not in known and x not in found or x in parts}
         need = list(dict.fromkeys(need))
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in need], add_special_tokens=False)
-        for w, e in zip(need, got):
-            known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for first in range(0, len(need), 2048):
+            some = need[first : first + 2048]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
         for w, s in parts.items():
             known[w] = known[s] + known[w[len(s) :]]
 
-    def encode(self, texts: list[str | None], end: bytes) -> Iterator[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        for first in range(0, len(split), 256):
-            part = split[first : first + 256]
+    def encode(self, texts: pa.Array, end: bytes) -> Iterator[bytes]:
+        for first in range(0, len(texts), 128):
+            part = [(t or "").encode().split() for t in texts.slice(first, 128).to_pylist()]
             if len(self.known) > self.most:
                 self.known.clear()
             missing = set().union(*part).difference(self.known)
@@ -56,6 +58,15 @@ class WordEncoder:
                 yield b"".join(map(get, found)) + end
 
 
+def worker_encoder(path: str, most: int) -> WordEncoder:
+    """This Python worker's encoder: a worker that takes several tasks keeps the words it knows."""
+    store = sys.modules.setdefault("_drawlytics_worker", ModuleType("_drawlytics_worker"))
+    own = getattr(store, "encoder", None)
+    if own is None or own[0] != (path, most):
+        store.encoder = own = (path, most), WordEncoder(path, most)
+    return own[1]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, capacity: int, end_id: int, known_words: int) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document cut at ``capacity`` tokens."""
     slim = docs.select(F.col(id_col), whole_text(text_col).alias("_text"))
@@ -63,10 +74,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, cap
     schema = schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer_path, known_words), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer_path, known_words), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for at, ids in enumerate(encoder.encode(batch.column(1).to_pylist(), end)):
+            for at, ids in enumerate(encoder.encode(batch.column(1), end)):
                 for k, first in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[first : first + 4 * capacity]
                     rows.append((at, k, k * capacity, len(part) // 4, zlib.crc32(part)))
@@ -201,7 +212,7 @@ def packed(
     text_col: str = "text",
     capacity: int = 4096,
     end_id: int = 1,
-    known_words: int = 300_000,
+    known_words: int = 400_000,
     part_tokens: int = 1 << 24,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) per piece of every document.
@@ -210,6 +221,6 @@ def packed(
     empty text is that id alone. Only documents over ``capacity`` tokens are cut.
     Null ids and repeated rows are packed like any other; other columns are
     ignored; an empty table gives no rows. ``known_words`` bounds the words a
-    task remembers, without effect on the ids.
+    Python worker remembers, without effect on the ids.
     """
     return pack(pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id, known_words), capacity, part_tokens)
