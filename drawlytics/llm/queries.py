@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drawlytics.llm import decontam, lattice, lines, packing, quality, simhash, substring
+from drawlytics.llm import decontam, lattice, licenses, lines, packing, pii, quality, simhash, substring, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -81,6 +81,47 @@ def op6_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+RULES = (
+    urls.Rule("allow", "com"),
+    urls.Rule("block", "example.com", "/en/"),
+    urls.Rule("allow", "www.example.com", "/en/"),
+    urls.Rule("block", "net", "/es/"),
+    urls.Rule("block", "net", "/fr/"),
+)
+#: Hosts with one of these words in a label are on the block list.
+LISTED = r"(^|[.-])(spam|casino|adult|pills|bets|ads)([.-]|$)"
+
+
+@query(r"""
+WITH cut AS (SELECT page_id, url, strpos(url, '://') AS at FROM pages),
+rests AS (SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM cut),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests),
+parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+ruled AS (SELECT *, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, '(^|[.-])(spam|casino|adult|pills|bets|ads)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+""")
+def op7_url_filter(spark, sf_dir):
+    return urls.judged(table(spark, sf_dir, "pages"), RULES, F.col("host").rlike(LISTED))
+
+
+@query()
+def op8_license_scan(spark, sf_dir):
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_personal_data(spark, sf_dir):
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
 @query()
 def op10_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
