@@ -180,8 +180,9 @@ def learn(
     labels, or one class only, give no rules.
     """
     values = features()
-    table = rows.select(bad.cast("int").alias("bad"), F.struct(*[c.alias(f"f{i}") for i, c in enumerate(values.values())]).alias("x"))
-    table = materialize(table.where("bad IS NOT NULL").withColumn("h", F.pmod(F.xxhash64("x"), F.lit(1 << 20))), "labelled")
+    deal = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)).alias("h")
+    table = rows.select(bad.cast("int").alias("bad"), F.struct(*[c.alias(f"f{i}") for i, c in enumerate(values.values())]).alias("x"), deal)
+    table = materialize(table.where("bad IS NOT NULL"), "labelled")
     n, positive = table.agg(F.count(F.lit(1)), F.sum("bad")).first()
     if not n or not positive or positive == n:
         return []
