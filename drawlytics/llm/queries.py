@@ -43,14 +43,14 @@ def op1_simhash(spark, sf_dir):
 
 @query(r"""
 WITH pages AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, row_number() OVER () AS page FROM documents),
-lines AS (SELECT page, unnest(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM pages),
+lines AS (SELECT page, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM pages),
 counts AS (SELECT host, line, count(DISTINCT page) AS n FROM lines JOIN pages USING (page) GROUP BY ALL),
 often AS (SELECT host, line FROM counts JOIN (SELECT host, count(*) AS pages FROM pages GROUP BY host) USING (host) WHERE n >= 5 AND n > 0.05 * pages),
 sets AS (SELECT host, list(line) AS drop FROM often GROUP BY host),
-cut AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS own,
-  list_filter(string_split(text, chr(10)), x -> NOT (regexp_matches(x, '[^\x20\x09-\x0D]') AND list_contains(coalesce(drop, []), x))) AS rest
+cut AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own,
+  list_filter(string_split(text, chr(10)), lambda x: NOT (regexp_matches(x, '[^\x20\x09-\x0D]') AND list_contains(coalesce(drop, []), x))) AS rest
   FROM pages LEFT JOIN sets USING (host)),
-sized AS (SELECT *, len(own) AS n_lines, len(list_filter(rest, x -> regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_left FROM cut)
+sized AS (SELECT *, len(own) AS n_lines, len(list_filter(rest, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_left FROM cut)
 SELECT doc_id, n_lines::BIGINT AS n_lines, (CASE WHEN n_left > 0 THEN n_lines - n_left ELSE 0 END)::BIGINT AS n_dropped,
   md5(CASE WHEN n_left > 0 THEN array_to_string(rest, chr(10)) ELSE text END) AS kept_md5
 FROM sized
@@ -93,8 +93,8 @@ LISTED = r"(^|[.-])(spam|casino|adult|pills|bets|ads)([.-]|$)"
 
 
 @query(r"""
-WITH cut AS (SELECT page_id, url, strpos(url, '://') AS at FROM pages),
-rests AS (SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM cut),
+WITH cut AS (SELECT page_id, url, strpos(url, '://') AS place FROM pages),
+rests AS (SELECT page_id, CASE WHEN place > 0 THEN substr(url, place + 3) ELSE '' END AS rest FROM cut),
 hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests),
 parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
