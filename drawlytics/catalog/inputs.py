@@ -49,7 +49,7 @@ def tickets(spark: SparkSession, sf_dir: str, history: DataFrame) -> DataFrame:
         F.lit(ALL).alias("series"),
     )
     rows = with_floyd_picks(rows, ["'ticket'", "ticket_id"], GAME.main_max, GAME.main_pick, "md5")
-    return rows.join(series_length(history), "series").select(
+    return rows.join(materialize(series_length(history), "lengths"), "series").select(
         "ticket_id",
         "series",
         (F.col("ticket_id") % F.col("n_draws")).alias("draw_idx"),

@@ -22,7 +22,7 @@ from drawlytics.params import (
     MAIN,
     Game,
 )
-from drawlytics.plans.index import SERIES, domain_array, number_grid, occurrences, series_length
+from drawlytics.plans.index import SERIES, domain_array, number_grid, occurrences, with_length
 
 
 def _size(game: Game) -> Column:
@@ -45,7 +45,7 @@ def cycle_ratio_multi(
     to two decimals."""
     k = list(series_cols)
     ws = sorted(set(windows))
-    rows = idx.select(*k, "draw_idx", *game.ball_cols, "chance").join(series_length(idx, k), k)
+    rows = with_length(idx, k).select(*k, "draw_idx", "n_draws", *game.ball_cols, "chance")
     if min(ws) > 0:
         rows = rows.where(F.col("draw_idx") >= F.col("n_draws") - max(ws))
     # Position counted from the end: the newest draw has age 1.

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from drawlytics.functions.columns import nums_array, prize_rank, rank_points, rank_prize
 from drawlytics.functions.sampling import quote, uniform_chance_sql, with_floyd_picks
-from drawlytics.operators.odds import rank_array
 from drawlytics.params import (
     BLOCK,
     CHANCE,
@@ -28,12 +27,10 @@ from drawlytics.params import (
 )
 from drawlytics.plans import kernels as kn
 from drawlytics.plans.blocks import apply_blocks, block_carry, decay_carry
-from drawlytics.plans.index import ENCOUNTER_STRIDE, SERIES, series_length
+from drawlytics.plans.index import ENCOUNTER_STRIDE, SERIES, series_length, with_length
 from drawlytics.plans.skew import join_hot
 from drawlytics.plans.store import materialize
 
-# Up to this many combinations the subsets they ask for are broadcast (8 bytes each).
-FEW_COMBOS = 50_000
 COUNT_STRATEGIES = ("hot", "cold", "fibonacci")
 STRATEGIES = ("random", "hot", "cold", "recency", "fibonacci")
 
@@ -117,9 +114,6 @@ def track_performance(
     combos = materialize(combos.select(*k, "combo_id", "nums", "chance"), "combos")
     wanted = exploded(combos, "nums", [*k, "combo_id", F.col("chance").alias("played")])
     drawn = exploded(idx.select(*k, "chance", F.array(*game.ball_cols).alias("nums")), "nums", [*k, "chance"])
-    if combos.count() <= FEW_COMBOS:
-        # At most 2^pick keys per combination: subsets nobody asks for stop here.
-        drawn = drawn.join(F.broadcast(wanted.select(*k, "sub").distinct()), [*k, "sub"], "left_semi")
     counts = drawn.groupBy(*k, "sub", "j", "chance").agg(F.count(F.lit(1)).alias("n"))
     found = join_hot(wanted, counts.drop("j"), [*k, "sub"])
     hit = F.lit(True) if chance_mode == "actual" else F.coalesce(F.col("chance") == F.col("played"), F.lit(False))
@@ -410,15 +404,15 @@ def _backtest_kernel(game: Game, min_history: int, step: int, blend: float, weig
         at = rows.column("draw_idx").to_numpy()
         keep = (at >= min_history) & ((at - min_history) % step == 0)
         choice, hits = [], []
-        for values, size, part, pick in (
-            (kn.balls(rows, game), game.main_max, slice(0, split), game.main_pick),
-            (kn.bonus(rows), game.chance_max, slice(split, None), 1),
+        for values, size, part, pick, main in (
+            (kn.balls(rows, game), game.main_max, slice(0, split), game.main_pick, True),
+            (kn.bonus(rows), game.chance_max, slice(split, None), 1, False),
         ):
             hit = kn.hits(values, size)
             cnt = kn.before(hit, entry["cnt"][part])[keep]
             last = kn.last_before(hit, at, entry["last"][part])[keep]
             seen = kn.seen_before(values, at, size, ENCOUNTER_STRIDE, entry["seen"][part])[keep]
-            value = kn.settle_digits(score(cnt, last, seen, at[keep], size == game.main_max))
+            value = kn.settle_digits(score(cnt, last, seen, at[keep], main))
             choice.append(kn.low_numbers(-value, pick))
             hits.append(hit[keep])
         return _played(0, at[keep], choice[0], choice[1][:, 0], hits[0], hits[1], True)
@@ -469,8 +463,8 @@ def evaluation_report(
     from drawlytics.operators.odds import expected_value, game_odds, game_summary
 
     k = list(series_cols)
-    sizes = series_length(idx, k).where(F.col("n_draws") >= min_history + 10)
-    usable = idx.join(sizes.select(*k), k, "left_semi")
+    usable = with_length(idx, k).where(F.col("n_draws") >= min_history + 10)
+    sizes = materialize(series_length(usable, k), "sizes")
     wf = materialize(walk_forward(usable, STRATEGIES, min_history, game, k, seed, mode), "walk-forward")
 
     def tidy(df: DataFrame, section: str, item, metrics: Sequence[str]) -> DataFrame:

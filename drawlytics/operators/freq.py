@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from drawlytics.operators.common import on_grid, pool_window
 from drawlytics.params import ANALYSIS_WINDOW, GAME, MAIN, N_COLD, N_HOT, Game
-from drawlytics.plans.index import SERIES, number_grid, number_stats, occurrences, series_length
+from drawlytics.plans.index import SERIES, number_grid, number_stats, occurrences, with_length
 
 
 def number_freq(occ: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFrame:
@@ -30,12 +30,7 @@ def number_freq_filled(idx: DataFrame, game: Game = GAME, series_cols: Sequence[
 
 def last_draws(idx: DataFrame, window: int, series_cols: Sequence[str] = SERIES) -> DataFrame:
     """The last ``min(window, N)`` draws of every series."""
-    k = list(series_cols)
-    return (
-        idx.join(series_length(idx, k), k)
-        .where(F.col("draw_idx") >= F.col("n_draws") - window)
-        .drop("n_draws")
-    )
+    return with_length(idx, series_cols).where(F.col("draw_idx") >= F.col("n_draws") - window).drop("n_draws")
 
 
 def window_freq(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from drawlytics.params import BLOCK, CHANCE, GAME, MAIN, Game
 from drawlytics.plans.blocks import block_carry, block_of, by_block
-from drawlytics.plans.index import SERIES, number_grid, number_stats, occurrences
+from drawlytics.plans.index import SERIES, number_grid, number_stats, occurrences, with_length
 
 
 def _appearances(
@@ -123,8 +123,7 @@ def gaps_at_draw(
     The list order is the order of appearance; ``seq`` is the position of the
     closing draw (``at`` plus one for the tail)."""
     k = list(series_cols)
-    reached = idx.where(F.col("draw_idx") == at).select(*k)
-    seen = idx.where(F.col("draw_idx") <= at).join(reached, k, "left_semi")
+    seen = with_length(idx, k).where((F.col("draw_idx") <= at) & (F.col("n_draws") > at)).drop("n_draws")
     closed = gap_history(seen, game, k, block).withColumnRenamed("draw_idx", "seq")
     tail = number_stats(occurrences(seen, game, k), k).select(
         *k, "pool", "num", F.lit(at + 1).cast("bigint").alias("seq"), (F.lit(at) - F.col("last_idx")).alias("gap")

@@ -15,12 +15,15 @@ ENCOUNTER_STRIDE = 1 << 40
 
 
 def draw_index(draws: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFrame:
-    """Add ``draw_idx``: 0-based, dense per series, ordered by (draw_date, draw_id).
+    """Add ``draw_idx``, 0-based, dense per series, ordered by (draw_date, draw_id),
+    and ``n_draws``, the length of the series.
 
     One range shuffle on (series, date, id) spreads even a single dominating
     series over all tasks; the sorted rows are written with their task number
     and position, so both are plain data from then on. The start of every
-    (series, task) run is a running sum over at most one row per task.
+    (series, task) run is a running sum over at most one row per task. The table
+    of runs is written too: Catalyst knows its size and sends it to the rows where
+    it is small, else joins on (series, task), which no series makes uneven.
     """
     k = list(series_cols)
     order = [*k, "draw_date", "draw_id"]
@@ -39,7 +42,9 @@ def draw_index(draws: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFra
         *k,
         "_part",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        F.sum("_n").over(W.partitionBy(*k)).alias("n_draws"),
     )
+    runs = materialize(runs, "draw-runs")
     return (
         placed.join(runs, [*k, "_part"])
         .withColumn("draw_idx", F.col("_pos") + F.col("_shift"))
@@ -51,6 +56,11 @@ def series_length(idx: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFr
     return idx.groupBy(*series_cols).agg((F.max("draw_idx") + 1).alias("n_draws"))
 
 
+def with_length(idx: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFrame:
+    """``idx`` with ``n_draws``: as :func:`draw_index` left it, else joined."""
+    return idx if "n_draws" in idx.columns else idx.join(series_length(idx, series_cols), list(series_cols))
+
+
 def occurrences(
     idx: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES
 ) -> DataFrame:

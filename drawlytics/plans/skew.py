@@ -6,40 +6,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from drawlytics.plans.store import materialize
+
+#: Keys that may count as hot: what is broadcast has at most so many rows.
+MOST_HOT = 100_000
+
 
 def join_hot(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    salts: int = 64,
-    hot_rows: int = 1_000_000,
+    part_rows: int = 1_000_000,
 ) -> DataFrame:
     """``left`` join ``right`` on ``keys``, with ``right`` unique per key.
 
-    Keys with more than ``hot_rows`` left rows are spread over ``salts`` parts;
-    only their right rows are repeated. All other rows have the single part 0.
+    A key with more than a part's left rows is spread over as many parts as its
+    rows fill; only its right row is repeated, once per part. A part holds
+    ``part_rows`` or, in a very large table, a 100 000th of all rows, so fewer
+    than 100 000 keys are ever spread and their list can be broadcast.
     """
     k = list(keys)
-    hot = (
-        left.groupBy(*k)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(*k, F.lit(True).alias("_hot"))
-    )
-    # Fewer than rows / hot_rows keys can be hot, and each was counted map-side.
-    part = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    spread = left.join(F.broadcast(hot), k, "left").withColumn(
-        "_part", F.when(F.col("_hot"), part).otherwise(0)
-    )
-    copies = (
-        right.join(F.broadcast(hot), k, "left")
-        .withColumn(
-            "_part",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
-        .drop("_hot")
-    )
-    return spread.drop("_hot").join(copies, [*k, "_part"], how).drop("_part")
+    counts = materialize(left.groupBy(*k).agg(F.count(F.lit(1)).alias("_rows")), "key-rows")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    size = max(part_rows, -(-total // MOST_HOT))
+    parts = F.floor(F.col("_rows") / F.lit(size)) + 1
+    hot = F.broadcast(counts.where(F.col("_rows") > size).select(*k, parts.alias("_parts")))
+    of = F.coalesce("_parts", F.lit(1))
+    spread = left.join(hot, k, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), of)).drop("_parts")
+    copies = right.join(hot, k, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), of - 1))).drop("_parts")
+    return spread.join(copies, [*k, "_part"], how).drop("_part")

@@ -11,6 +11,7 @@ from drawlytics.functions.columns import parse_draw_date, whole_number
 from drawlytics.operators.ingest import dedupe_draws, missing_draws, split_valid
 from drawlytics.params import GAME, Game
 from drawlytics.plans.index import SERIES
+from drawlytics.plans.store import materialize
 from drawlytics.sources.history import _fs
 
 DRAW_SCHEMA = (
@@ -26,16 +27,18 @@ def text_schema(game: Game = GAME) -> str:
 def parse_text(raw: DataFrame, game: Game = GAME) -> DataFrame:
     return raw.select(
         "series",
-        whole_id("draw_id").alias("draw_id"),
+        whole_id("draw_id", game).alias("draw_id"),
         parse_draw_date("Date").alias("draw_date"),
         *[whole_number(f"`Numéro {i}`").alias(c) for i, c in enumerate(game.ball_cols, 1)],
         whole_number("Chance").alias("chance"),
     )
 
 
-def whole_id(c: str):
-    """Given id, else a hash of the row text."""
-    return F.coalesce(F.col(c).try_cast("bigint"), F.xxhash64("series", "Date", "Chance"))
+def whole_id(c: str, game: Game = GAME):
+    """Given id, else a hash of the whole row: different draws have different ids."""
+    fields = ["series", "Date", *[f"`Numéro {i}`" for i in range(1, game.main_pick + 1)], "Chance"]
+    text = F.to_json(F.array(*[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))
+    return F.coalesce(F.col(c).try_cast("bigint"), F.xxhash64(text))
 
 
 def start_batches(
@@ -82,7 +85,8 @@ def start_ingest(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_valid(parse_text(batch, game), game)
+        # Parsed once: the batch is read for the quarantine, its date range and the append.
+        good, bad = split_valid(materialize(parse_text(batch, game), "stream-parsed"), game)
         bad.write.mode("overwrite").parquet(f"{out_dir}/quarantine/batch={batch_id}")
         fresh = dedupe_draws(good, series_cols)
         if exists(batch.sparkSession, f"{out_dir}/draws"):
