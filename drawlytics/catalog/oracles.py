@@ -6,7 +6,21 @@ positions, occurrences, counts) followed by the query's own definition.
 
 from __future__ import annotations
 
-from drawlytics.params import RANKS, STRATEGY_FIB
+# Fixed values, written out here so that a wrong constant cannot pass on both sides:
+# winning ranks (label, short label, matches, bonus hit, prize, points) and pick weights.
+RANKS = [
+    ("5 + Chance", "5+1", 5, 1, 2_000_000.0, 100),
+    ("5", "5", 5, 0, 100_000.0, 90),
+    ("4 + Chance", "4+1", 4, 1, 1_000.0, 80),
+    ("4", "4", 4, 0, 400.0, 70),
+    ("3 + Chance", "3+1", 3, 1, 50.0, 60),
+    ("3", "3", 3, 0, 20.0, 50),
+    ("2 + Chance", "2+1", 2, 1, 10.0, 40),
+    ("2", "2", 2, 0, 4.40, 30),
+    ("1 + Chance", "1+1", 1, 1, 2.20, 20),
+    ("0 + Chance", "0+1", 0, 1, 2.20, 10),
+]
+STRATEGY_FIB = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
 
 # ------------------------------------------------------------------ fragments
 MONTHS = (
@@ -754,7 +768,36 @@ runs AS (SELECT series, run, AVG({match}) AS m FROM ({floyd('trial', 'series, ru
 SELECT series, draw_idx, array_to_string(nums, '-') AS nums, chance, matches, chance_hit, rank, {value_case(5)} AS points
 FROM (SELECT *, {rank_case(style=1)} AS rank FROM bt)""", BACKTEST)
 
+    ranks = ", ".join(f"('{r[0]}', {r[2]}, {r[3]}, {r[4]}::DOUBLE)" for r in RANKS)
+    summary = "n::DOUBLE AS n, mean, std, chance_rate, prize_rate, z, p, (p < 0.01)::INTEGER::DOUBLE AS differs"
+    out["evaluation_report"] = one("""
+SELECT series, section, item, metric, round(value, 6) AS value FROM report""", picks_sql(200) + f""",
+trial AS (SELECT i.*, CAST(range AS INTEGER) AS run FROM idx i, range(0, 300) WHERE draw_idx >= 200),
+runs AS (SELECT series, run, AVG({match}) AS m FROM ({floyd('trial', 'series, run, draw_idx, n1, n2, n3, n4, n5',
+        ['12345', "'null'", 'series', 'run', 'draw_idx'])}) GROUP BY 1, 2),
+sizes AS (SELECT series, COUNT(*)::DOUBLE AS n_draws, COUNT(*)::DOUBLE - 200 AS n_evaluated, {NULL_MEAN} AS null_mean FROM idx GROUP BY 1 HAVING COUNT(*) >= 210),
+summed AS (SELECT series, strategy, COUNT(*) AS n, AVG(matches) AS mean, stddev_samp(matches) AS std, AVG(chance_hit) AS chance_rate,
+  AVG(CAST({rank_case()} <> '' AS INTEGER)) AS prize_rate, (AVG(matches) - {NULL_MEAN}) / sqrt({NULL_VAR} / COUNT(*)) AS z FROM wf GROUP BY 1, 2),
+tested AS (SELECT *, {ERFC.format(x='abs(z) / sqrt(2.0)')} AS p FROM summed),
+chances AS (SELECT label, prize, [1, 5, 10, 10, 5, 1][k + 1] * [1086008, 135751, 13244, 946, 44, 1][k + 1] / 1906884.0::DOUBLE
+  * CASE WHEN bonus = 1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS p FROM (VALUES {ranks}) v(label, k, bonus, prize)),
+ticket AS (SELECT SUM(p * prize) AS gross, SUM(p * prize) - 2.2 AS net, SUM(p * prize) / 2.2 AS rtp, 19068840::DOUBLE AS tickets, SUM(p) AS p_any_prize FROM chances),
+report AS (
+  SELECT series, 'dataset' AS section, 'draws' AS item, metric, value FROM (UNPIVOT sizes ON n_draws, n_evaluated, null_mean INTO NAME metric VALUE value)
+  UNION ALL SELECT series, 'strategy', strategy, metric, value FROM (UNPIVOT (SELECT series, strategy, {summary} FROM tested)
+    ON n, mean, std, chance_rate, prize_rate, z, p, differs INTO NAME metric VALUE value)
+  UNION ALL SELECT series, 'rank', strategy || ' / ' || rank, 'draws', COUNT(*)::DOUBLE FROM (SELECT *, {RANK} FROM wf) WHERE rank <> '' GROUP BY 1, strategy, rank
+  UNION ALL SELECT series, 'null', 'random tickets', metric, value FROM (UNPIVOT (SELECT series, AVG(m) AS mc_mean, stddev_samp(m) AS mc_std,
+    quantile_cont(m, 0.05) AS p05, quantile_cont(m, 0.95) AS p95, COUNT(*)::DOUBLE AS n_runs FROM runs GROUP BY 1)
+    ON mc_mean, mc_std, p05, p95, n_runs INTO NAME metric VALUE value)
+  UNION ALL SELECT series, 'odds', label, 'p', p FROM sizes, chances
+  UNION ALL SELECT series, 'value', 'ticket', metric, value FROM sizes, (UNPIVOT ticket ON gross, net, rtp, tickets, p_any_prize INTO NAME metric VALUE value))""")
+
     # streams against their batch equivalents
+    out["stream_refit"] = many("""
+SELECT CAST(1 AS INTEGER) AS version, CAST(MIN(first) AS VARCHAR) AS first_date, CAST(MAX(last) AS VARCHAR) AS last_date,
+  CAST(SUM(CASE WHEN n >= 100 THEN n - 50 - floor((n - 50) * 0.8::DOUBLE) ELSE 0 END) AS BIGINT) AS n_test
+FROM (SELECT series, COUNT(*) AS n, MIN(draw_date) AS first, MAX(draw_date) AS last FROM single GROUP BY 1)""", ONE_PER_DATE)
     out["stream_ingest"] = many(f" SELECT {DRAW_OUT} FROM single", ONE_PER_DATE)
     out["stream_freq"] = many(" SELECT series, pool, num, cnt FROM st")
     out["stream_gaps"] = out["current_gap"]

@@ -664,16 +664,20 @@ def backtest_scores(spark, d):
 
 @query
 def evaluation_report(spark, d):
-    out = evaluate.evaluation_report(src.stored(src.idx(spark, d, False), "idx"), runs=50)
-    return out.selectExpr("series", "section", "item", "metric", "value")
+    out = evaluate.evaluation_report(src.stored(src.idx(spark, d, False), "idx"), mode="md5")
+    path = src.scratch(spark, "report")
+    history.write_report_json(out, path)
+    return spark.read.schema(out.schema).json(path).selectExpr("series", "section", "item", "metric", r("value", 6))
 
 
 # ------------------------------------------------------------------ streams
-def _file_stream(spark, rows: DataFrame, files: int = 8) -> str:
-    """Draws cut into files by date order, so that most batches arrive in order."""
+def _file_stream(spark, rows: DataFrame) -> tuple[str, int]:
+    """Draws cut into files by date order, so that most batches arrive in order:
+    a file per shuffle partition of the session. Returns half their number too."""
     path = src.scratch(spark, "stream-in")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.repartitionByRange(files, "draw_date", "draw_id").write.parquet(path)
-    return path
+    return path, max(1, files // 2)
 
 
 def _stream_draws(spark, d):
@@ -704,31 +708,31 @@ def stream_ingest(spark, d):
 @query
 def stream_freq(spark, d):
     out = src.scratch(spark, "stream-freq")
-    in_dir = _file_stream(spark, _stream_draws(spark, d))
-    sst.start_freq(spark, in_dir, f"{out}/t", f"{out}/ck", files_per_batch=4).awaitTermination()
+    in_dir, half = _file_stream(spark, _stream_draws(spark, d))
+    sst.start_freq(spark, in_dir, f"{out}/t", f"{out}/ck", files_per_batch=half).awaitTermination()
     return sst.read_freq(spark, f"{out}/t").select("series", "pool", "num", "cnt")
 
 
 @query
 def stream_gaps(spark, d):
     out = src.scratch(spark, "stream-gaps")
-    in_dir = _file_stream(spark, _stream_draws(spark, d))
-    sst.start_gaps(spark, in_dir, f"{out}/t", f"{out}/ck", files_per_batch=4).awaitTermination()
+    in_dir, half = _file_stream(spark, _stream_draws(spark, d))
+    sst.start_gaps(spark, in_dir, f"{out}/t", f"{out}/ck", files_per_batch=half).awaitTermination()
     return sst.read_gaps(spark, f"{out}/t")
 
 
 @query
 def stream_last_draws(spark, d):
     out = src.scratch(spark, "stream-last")
-    in_dir = _file_stream(spark, _stream_draws(spark, d))
-    sst.start_last_draws(spark, in_dir, f"{out}/t", f"{out}/ck", 100, files_per_batch=4).awaitTermination()
+    in_dir, half = _file_stream(spark, _stream_draws(spark, d))
+    sst.start_last_draws(spark, in_dir, f"{out}/t", f"{out}/ck", 100, files_per_batch=half).awaitTermination()
     return sst.read_last_freq(spark, f"{out}/t").selectExpr("series", "pool", "num", "cnt", r("rel"))
 
 
 @query
 def stream_refit(spark, d):
     out = src.scratch(spark, "stream-refit")
-    in_dir = _file_stream(spark, ingest.dedupe_draws(_stream_draws(spark, d)), 1)
+    in_dir, _ = _file_stream(spark, ingest.dedupe_draws(_stream_draws(spark, d)))
     sst.start_refit(
         spark, in_dir, f"{out}/history", f"{out}/models", f"{out}/metrics", f"{out}/ck", params=SMALL_FOREST
     ).awaitTermination()
