@@ -11,14 +11,14 @@ from drawlytics.functions.sampling import with_floyd_picks
 from drawlytics.operators.freq import number_freq
 from drawlytics.params import GAME
 from drawlytics.plans.index import domain_array, draw_index, occurrences, series_length
-from drawlytics.plans.store import checkpoint_root, materialize
+from drawlytics.plans.store import materialize, session_root
 from drawlytics.sources.fixture import draws_from_orders, table
 
 ALL = "all"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/drawlytics/{name}-{uuid.uuid4().hex}"
+    return f"{session_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def draws(spark: SparkSession, sf_dir: str, series: bool = True) -> DataFrame:

@@ -1,7 +1,8 @@
 """Reliable intermediate tables.
 
 Lineage is cut by writing parquet under the shared folder the cluster names in
-``spark.checkpoint.dir``, so a lost executor never loses an intermediate.
+``spark.checkpoint.dir``, so a lost executor never loses an intermediate. They
+live as long as the application.
 """
 
 from __future__ import annotations
@@ -27,9 +28,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_MADE: set[str] = set()
+
+
+def session_root(spark: SparkSession) -> str:
+    """This application's folder in the shared one; the file system deletes it when the driver ends."""
+    path = f"{checkpoint_root(spark)}/drawlytics/{spark.sparkContext.applicationId}"
+    if path not in _MADE:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _MADE.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/drawlytics/{name}-{uuid.uuid4().hex}"
+    path = f"{session_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -100,15 +100,19 @@ def start_gaps(
     """Current gap per number as draws arrive.
 
     Positions of a batch are appended behind the known history. A series that
-    receives a draw older than its newest one is recomputed from the stored
-    draws instead, since a late draw shifts every later position."""
+    receives a draw older than its newest one is recomputed instead, since a
+    late draw shifts every later position: from the draws of this and earlier
+    batches, which are kept beside the state, never from files yet to come."""
     k = list(series_cols)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         if batch.isEmpty():
             return
-        new = materialize(_summary(batch, game, k), "stream-summary")
+        batch.write.mode("overwrite").parquet(f"{out_dir}/_draws/batch={batch_id}")
+        kept = session.read.schema(DRAW_SCHEMA + ", batch bigint").parquet(f"{out_dir}/_draws")
+        own = kept.where(F.col("batch") == batch_id).drop("batch")
+        new = materialize(_summary(own, game, k), "stream-summary")
         old = _state_before(session, out_dir, batch_id)
         if old is None:
             merged = new
@@ -132,8 +136,8 @@ def start_gaps(
             )
             merged = on_time
             if not late.isEmpty():
-                stored = session.read.schema(DRAW_SCHEMA).option("recursiveFileLookup", True).parquet(in_dir)
-                merged = on_time.unionByName(_summary(stored.join(late, k, "left_semi"), game, k))
+                seen = kept.where(F.col("batch") <= batch_id).drop("batch")
+                merged = on_time.unionByName(_summary(seen.join(late, k, "left_semi"), game, k))
         merged.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     return start_batches(draw_stream(spark, in_dir, files_per_batch), handle, checkpoint)
@@ -156,14 +160,19 @@ def start_last_draws(
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """The last ``window`` draws per series. Keeping the newest draws of state
-    and batch together is exact for late draws too."""
+    and batch together is exact for late draws too. Each part of a batch is cut to
+    its newest draws first, so no task sorts all rows of a series."""
     k = list(series_cols)
-    newest = W.partitionBy(*k).orderBy(F.desc("draw_date"), F.desc("draw_id"))
+    order = [F.desc("draw_date"), F.desc("draw_id")]
+
+    def newest(rows: DataFrame, *parts: str) -> DataFrame:
+        age = F.row_number().over(W.partitionBy(*k, *parts).orderBy(*order))
+        return rows.withColumn("_age", age).where(F.col("_age") <= window).drop("_age")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         old = _state_before(batch.sparkSession, out_dir, batch_id)
-        rows = batch if old is None else old.unionByName(batch)
-        kept = rows.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= window).drop("_age")
+        cut = newest(batch.withColumn("_part", F.spark_partition_id()), "_part").drop("_part")
+        kept = newest(cut if old is None else old.unionByName(cut))
         kept.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     return start_batches(draw_stream(spark, in_dir, files_per_batch), handle, checkpoint)
