@@ -482,6 +482,18 @@ def predict_next(spark, d):
     return models.serve(models.load_models(spark, base), i)
 
 
+@query
+def blend_optimized_model(spark, d):
+    """The blend on fitted probabilities instead of the stand-in."""
+    i = src.stored(src.idx(spark, d), "idx")
+    fitted = models.fit_number_models(src.stored(features.training_features(i), "train-rows"), SMALL_FOREST)
+    ml = src.stored(models.serve(fitted, i), "probabilities")
+    fr = freq.number_freq(occurrences(i))
+    fib, cycle = weights.inverse_fib_weights(fr), cycles.adaptive_cycle_weights(i)
+    out = scores.blend_optimized(number_grid(i), ml, fib, cycle, fr)
+    return out.selectExpr("series", "pool", "num", r("score"))
+
+
 @query
 def search_params(spark, d):
     grid = {"numTrees": [2, 4], "maxDepth": [2, 3]}
@@ -631,13 +643,13 @@ def picks(spark, d):
 
 @query
 def walk_forward(spark, d):
-    out = evaluate.walk_forward(src.idx(spark, d), min_history=50, mode="md5")
+    out = evaluate.walk_forward(src.stored(src.idx(spark, d), "idx"), min_history=50, mode="md5")
     return out.selectExpr("series", "strategy", "draw_idx", "matches", "chance_hit", "coalesce(rank, '') AS rank")
 
 
 @query
 def walk_forward_summary(spark, d):
-    wf = evaluate.walk_forward(src.idx(spark, d, False), mode="md5")
+    wf = evaluate.walk_forward(src.stored(src.idx(spark, d, False), "idx"), mode="md5")
     return evaluate.walk_forward_summary(wf).selectExpr(
         "series", "strategy", "n", r("mean"), r("std"), r("chance_rate"), r("prize_rate"), r("z"), r("p", 6)
     )
@@ -645,19 +657,19 @@ def walk_forward_summary(spark, d):
 
 @query
 def walk_forward_ranks(spark, d):
-    return evaluate.walk_forward_ranks(evaluate.walk_forward(src.idx(spark, d, False), mode="md5"))
+    return evaluate.walk_forward_ranks(evaluate.walk_forward(src.stored(src.idx(spark, d, False), "idx"), mode="md5"))
 
 
 @query
 def monte_carlo_null(spark, d):
-    return evaluate.monte_carlo_null(src.idx(spark, d, False), mode="md5").selectExpr(
+    return evaluate.monte_carlo_null(src.stored(src.idx(spark, d, False), "idx"), mode="md5").selectExpr(
         "series", r("mc_mean"), r("mc_std"), r("p05"), r("p95"), "n_runs"
     )
 
 
 @query
 def backtest_scores(spark, d):
-    return evaluate.backtest_scores(src.idx(spark, d)).selectExpr(
+    return evaluate.backtest_scores(src.stored(src.idx(spark, d), "idx")).selectExpr(
         "series", "draw_idx", nums(), "chance", "matches", "chance_hit", "coalesce(rank, '') AS rank", "points"
     )
 
