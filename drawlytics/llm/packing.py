@@ -16,6 +16,8 @@ from drawlytics.llm.common import whole_text
 from drawlytics.plans.store import materialize
 
 STOPS = b".,;:!?"
+#: A private character and its first byte, which no other character has but its neighbours.
+SEPARATOR, MARK = "\ue000", b"\xee"
 LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
@@ -31,19 +33,37 @@ class WordEncoder:
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4")
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words encoded as one text, parted by a word that none of them can hold a token of."""
+        mark = self._ids(SEPARATOR)
+        ids = self._ids(f" {SEPARATOR} ".join([w.decode() for w in words]))
+        cuts = 4 * np.flatnonzero(ids == mark[0])
+        if len(cuts) != len(words) - 1:
+            return [self._ids(w.decode()).tobytes() for w in words]
+        line, starts = ids.tobytes(), [0, *(cuts + 4 * len(mark)).tolist()]
+        return [line[a:b] for a, b in zip(starts, [*cuts.tolist(), len(line)])]
+
     def learn(self, found: set[bytes]) -> None:
-        known = self.known
-        parts = {w: w.rstrip(STOPS) for w in found}
-        parts = {w: s for w, s in parts.items() if s and s != w and s[-1] in LETTERS}
-        need = [w for w in found if w not in parts]
-        need += {x for w, s in parts.items() for x in (s, w[len(s) :]) if x not in known and x not in found or x in parts}
-        need = list(dict.fromkeys(need))
+        known, need, peeled = self.known, [], []
+        for w in found:
+            s = w.rstrip(STOPS)
+            if s and s != w and s[-1] in LETTERS:
+                peeled.append((w, s, w[len(s) :]))
+            else:
+                need.append(w)
+        need += {x for _, s, tail in peeled for x in (s, tail) if x not in known and x not in found}
+        rare = [w for w in need if MARK in w]
+        need = [w for w in need if MARK not in w] if rare else need
         for first in range(0, len(need), 2048):
             some = need[first : first + 2048]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for w, s in parts.items():
-            known[w] = known[s] + known[w[len(s) :]]
+            known.update(zip(some, self._joined(some)))
+        known.update((w, self._ids(w.decode()).tobytes()) for w in rare)
+        for w, s, tail in peeled:
+            known[w] = known[s] + known[tail]
 
     def encode(self, texts: pa.Array, end: bytes) -> Iterator[bytes]:
         for first in range(0, len(texts), 128):
@@ -212,7 +232,7 @@ def packed(
     text_col: str = "text",
     capacity: int = 4096,
     end_id: int = 1,
-    known_words: int = 400_000,
+    known_words: int = 1_000_000,
     part_tokens: int = 1 << 24,
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) per piece of every document.
