@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -103,9 +104,11 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    """The rules as a table of a fixed, small size."""
-    rows = [(k, *r) for k, r in enumerate(rules())]
-    return spark.createDataFrame(rows, "number int, label string, keyword string, expression string, priority int, confidence double")
+    """The rules as a table of a fixed, small size, read from one literal."""
+    names = ("number", "label", "keyword", "expression", "priority", "confidence")
+    rows = json.dumps([dict(zip(names, (k, *r))) for k, r in enumerate(rules())])
+    kind = "array<struct<number:int,label:string,keyword:string,expression:string,priority:int,confidence:double>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
 
 
 def phrase_starts(lower: Column, found: Column, phrase: str) -> Column:
