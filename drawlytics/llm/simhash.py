@@ -125,5 +125,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = materialize(with_fingerprint(docs, text_col, shingle).withColumn(row, F.monotonically_increasing_id()), "rows")
     rep = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
     slim = kept.select(PRINT, rep.alias("rep"))
-    winners = classes(slim, F.col("rep"), distance, blocks).select(F.col("rep.row").alias(row)).distinct()
-    return kept.join(winners, row, "left_semi").select(*columns)
+    # Most rows stay: the others are the smaller side, and the texts need no shuffle while that side is small.
+    others = slim.join(classes(slim, F.col("rep"), distance, blocks).select(PRINT, F.col("rep.row").alias("first")), PRINT)
+    others = materialize(others.where(F.col("rep.row") != F.col("first")).select(F.col("rep.row").alias(row)), "others")
+    return kept.join(others, row, "left_anti").select(*columns)
