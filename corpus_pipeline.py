@@ -33,7 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document left, each with its place in a sequence."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Fewer words are remembered than by default: idle workers keep them while other stages run.
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=400_000)
 
 
 STAGES = [

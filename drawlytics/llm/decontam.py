@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drawlytics.llm.common import mixed, powers, ragged, span_hashes, utf8, whole_text, word_spans
+from drawlytics.llm.common import mixed, powers, ragged, slices, span_hashes, utf8, whole_text, word_spans
 from drawlytics.plans.store import materialize
 
 #: Token positions that a seed reads (1) and ignores (0).
@@ -17,6 +17,8 @@ MASKS = ("11111", "110111", "1011011", "1101011", "11100011")
 #: Letters, digits and everything beyond ASCII make words; the rest separates them.
 SEPARATOR = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 TABLE_BITS = 22
+#: Bytes of text looked at together.
+CHUNK_BYTES = 4 << 20
 
 
 def seeds(words: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +139,7 @@ def contaminations(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, index = shared.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1, CHUNK_BYTES)):
                 hits = list(index.overlaps(batch.column(1), identity))
                 if hits:
                     row, item, first, same = map(list, zip(*hits))

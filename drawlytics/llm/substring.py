@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from drawlytics.llm.common import SPACE_BYTES, input_tasks, mixed, powers, ragged, span_hashes, utf8, whole_text, word_spans
+from drawlytics.llm.common import SPACE_BYTES, input_tasks, mixed, powers, ragged, slices, span_hashes, utf8, whole_text, word_spans
 from drawlytics.plans.store import materialize
 
 #: Bytes of text whose super-k-mers are packed together.
@@ -21,16 +21,6 @@ BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
 PACKED = "bucket int, packed binary, keys binary, starts binary, ends binary"
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about CHUNK_BYTES of text, one row at least."""
-    _, offsets = utf8(batch.column(column))
-    first = 0
-    while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, "right")) - 1)
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values."""
     n, size = len(x), 1
@@ -69,7 +59,7 @@ def minimiser_counts(docs: DataFrame, window: int, mer: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, CHUNK_BYTES):
                 data, offsets = utf8(part.column(0))
                 starts, ends, bounds = word_spans(data, offsets, SPACE_BYTES)
                 _, text, value = minimisers(span_hashes(data, starts, ends, 3), bounds, window, mer, np.empty(0, np.uint64))
@@ -199,7 +189,7 @@ def repeated(docs: DataFrame, window: int, mer: int, buckets: int, hot_share: fl
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, CHUNK_BYTES):
                 rows = list(pack_chunk(part, window, mer, shared.value, buckets))
                 if rows:
                     kinds = [pa.int32(), *[pa.binary()] * 4]
