@@ -14,7 +14,7 @@ from drawlytics.llm.common import SPACE_BYTES, input_tasks, mixed, powers, ragge
 from drawlytics.plans.store import materialize
 
 #: Bytes of text whose super-k-mers are packed together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Windows of a super-k-mer at most: a text of one repeated word is cut, not shipped as one string.
 LONGEST = 256
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
@@ -119,7 +119,7 @@ def pack_chunk(part: pa.RecordBatch, window: int, mer: int, hot: np.ndarray, buc
     bucket = (mixed(value[head[kept]]) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    zip_ = zstandard.ZstdCompressor(level=1)
+    zip_ = zstandard.ZstdCompressor(level=3)
     for own in np.split(order, cuts):
         ref = kept[own]
         yield int(bucket[own[0]]), zip_.compress(b"\n".join([texts[i] for i in own.tolist()])), key[text[ref]].tobytes(), lo[ref].astype("<i4").tobytes(), None
@@ -232,10 +232,10 @@ def without_repeats(
     space) of one text; kept words are joined by one space. Shorter and null
     texts have no window. Rows with equal texts repeat each other and lose all
     windows; so do repeated rows. Null ids come back; other columns are ignored;
-    an empty table gives no rows. ``buckets`` (four per shuffle partition if not
+    an empty table gives no rows. ``buckets`` (eight per shuffle partition if not
     given) should leave each a few million words; ``mer`` words make a minimiser.
     """
-    buckets = buckets or 4 * input_tasks(docs)
+    buckets = buckets or 8 * input_tasks(docs)
     text = whole_text(text_col)
     keyed = docs.select(
         text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.col(id_col).cast("string"), F.lit(1), text).alias("k2"), F.col(id_col).alias("id")
