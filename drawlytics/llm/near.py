@@ -1,0 +1,193 @@
+"""Near-duplicates by resemblance: 5-word shingle sets with a Jaccard similarity of 0.8 or more.
+
+Candidates share a 16-bit block of one of ten SimHashes and a size band; they are
+verified by the Hamming distance over all bits, then by the exact similarity.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.window import Window
+
+from drawlytics.llm.common import MIX, SPACE_BYTES, mixed, slices, span_hashes, utf8, whole_text, word_spans
+from drawlytics.llm.graph import components
+from drawlytics.llm.simhash import hamming
+from drawlytics.plans.store import materialize
+
+SHINGLE, SIMILAR = 5, 0.8
+PRINTS, BLOCK = 10, 16
+#: At a similarity of 0.8 some 15 % of the bits differ, unrelated sets differ in half of them: of 64 bits with an equal block, and of all.
+MOST_OF_ONE, MOST_OF_ALL = 18, 160
+#: Ratio of a size band. Sizes of similar sets differ by 1 / SIMILAR at most, so each set enters one band or two.
+BAND = 2.0
+SET, SIZE, NAMES = "_near_set", "_near_size", [f"_near_{i}" for i in range(PRINTS)]
+#: Bytes of text, and shingles, worked on at once.
+TEXT, CHUNK = 1 << 21, 1 << 15
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+ONES = np.uint64(0x0101010101010101)
+WEIGHTS = mixed(np.arange(11, 11 + SHINGLE, dtype=np.uint64) * MIX) | np.uint64(1)
+SEEDS = mixed(np.arange(101, 101 + PRINTS, dtype=np.uint64) * MIX)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted hashes of the distinct shingles of every text; fewer words than a shingle has are one, no words none."""
+    data, offsets = utf8(texts)
+    data = LOWER[data]
+    starts, ends, bounds = word_spans(data, offsets, SPACE_BYTES)
+    words = span_hashes(data, starts, ends, 5)
+    n = max(0, len(words) - SHINGLE + 1)
+    grams = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        grams += words[k : n + k] * WEIGHTS[k]
+    grams = mixed(grams)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= SHINGLE:
+            yield np.unique(grams[a : b - SHINGLE + 1])
+        else:
+            yield mixed((words[a:b] * WEIGHTS[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)) if b > a else words[:0]
+
+
+def simhashes(grams: np.ndarray) -> np.ndarray:
+    """PRINTS SimHashes of a set: the majority of every bit of its hashes, mixed anew for each."""
+    ones = np.zeros((8, PRINTS, 8), dtype=np.int64)
+    for i in range(0, len(grams), CHUNK):
+        h = mixed(grams[None, i : i + CHUNK] + SEEDS[:, None])
+        cuts = np.arange(0, h.shape[1], 255)
+        for bit in range(8):
+            # Eight counters in the bytes of a long hold 255 rows.
+            counts = np.add.reduceat((h >> np.uint64(bit)) & ONES, cuts, axis=1)
+            ones[bit] += counts.view(np.uint8).reshape(PRINTS, -1, 8).sum(axis=1, dtype=np.int64)
+    bits = np.moveaxis(2 * ones > len(grams), 0, 2)
+    return np.packbits(bits.reshape(PRINTS, 64), axis=1, bitorder="little").view("<i8")[:, 0]
+
+
+def with_prints(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with a hash of the text's shingle set, its size and the SimHashes."""
+    names = [SET, SIZE, *NAMES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in slices(batch, at, TEXT):
+                out = np.zeros((len(names), part.num_rows), dtype=np.int64)
+                for i, grams in enumerate(shingle_sets(part.column(at))):
+                    out[0, i] = mixed(mixed(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))).view(np.int64)[0]
+                    out[1, i] = len(grams)
+                    out[2:, i] = simhashes(grams)
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, out)], names=[*part.schema.names, *names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(n, LongType()) for n in names]]))
+
+
+def with_grams(docs: DataFrame, text_col: str) -> DataFrame:
+    """(_near_set, grams): the shingle hashes in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, TEXT):
+                grams = pa.array([g.view(np.int64) for g in shingle_sets(part.column(1))], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), grams], names=[SET, "grams"])
+
+    return docs.select(SET, whole_text(text_col)).mapInArrow(run, StructType([StructField(SET, LongType()), StructField("grams", ArrayType(LongType()))]))
+
+
+def _entries(sets: DataFrame, *more: str) -> DataFrame:
+    """(bucket, print, id, size, more) of every set in each of its buckets: number of a block, its bits, and a size band."""
+    band = [F.floor(F.log(F.col(SIZE) * x) / math.log(BAND)).cast("long") for x in (1.0, 1.0 / SIMILAR + 1e-9)]
+    blocks = [(i * 64 // BLOCK + j, name, j * BLOCK) for i, name in enumerate(NAMES) for j in range(64 // BLOCK)]
+
+    def rows(at: Column) -> Column:
+        def bucket(t: int, name: str, shift: int) -> Column:
+            bits = F.shiftrightunsigned(name, shift).bitwiseAND(F.lit((1 << BLOCK) - 1))
+            return (F.lit(t) * 64 + at) * (1 << BLOCK) + bits
+
+        return F.array(*[F.struct(bucket(*b).cast("long").alias("bucket"), F.col(b[1]).alias("print")) for b in blocks])
+
+    both = F.when(band[0] == band[1], rows(band[0])).otherwise(F.concat(rows(band[0]), rows(band[1])))
+    return sets.select(F.inline(both), F.col(SET).alias("id"), F.col(SIZE).alias("size"), *more)
+
+
+def _maybe(a: str, b: str) -> Column:
+    """Whether two entries of a bucket can be similar, by size and print."""
+    sizes = F.least(f"{a}.size", f"{b}.size") >= F.greatest(f"{a}.size", f"{b}.size") * SIMILAR
+    return (F.col(f"{a}.id") != F.col(f"{b}.id")) & sizes & (hamming(F.col(f"{a}.print"), F.col(f"{b}.print")) <= MOST_OF_ONE)
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(f"{a}.id", f"{b}.id").alias("a"), F.greatest(f"{a}.id", f"{b}.id").alias("b")]
+
+
+def _to_ends(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) of every entry with the smallest and the largest id of its bucket."""
+    one = F.struct("id", "print", "size")
+    all_of = Window.partitionBy("bucket")
+    each = _entries(sets).select(one.alias("x"), F.min(one).over(all_of).alias("lo"), F.max(one).over(all_of).alias("hi"))
+    each = each.where("lo.id < hi.id").select("x", F.explode(F.array("lo", "hi")).alias("y"))
+    return each.where(_maybe("x", "y")).select(*_pair("x", "y")).distinct()
+
+
+def _between_groups(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b) of all entries of a bucket that are not of one ``group``.
+
+    Those outside the group with most entries meet all of the bucket, so a large
+    group of near copies costs its size times the others, not its square.
+    """
+    of_group, all_of = Window.partitionBy("bucket", "group"), Window.partitionBy("bucket")
+    each = _entries(sets, "group").withColumn("n", F.count(F.lit(1)).over(of_group))
+    each = each.withColumn("most", F.max(F.struct("n", "group")).over(all_of)["group"]).withColumn("all", F.count(F.lit(1)).over(all_of))
+    mixed_up = materialize(each.withColumn("few", F.min("n").over(all_of)).where("few < all").select("bucket", "id", "print", "size", "group", (F.col("group") != F.col("most")).alias("less")), "mixed")
+    x, y = mixed_up.where("less").alias("x"), mixed_up.alias("y")
+    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.group") != F.col("y.group")) & _maybe("x", "y")
+    return x.join(y, near).select(*_pair("x", "y")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, kept: DataFrame, row: str, text_col: str) -> DataFrame:
+    """The pairs that are similar: by all bits, then by their shingles."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col(SET).alias(side), F.struct(SIZE, *NAMES).alias(f"of_{side}")), side)
+    distance = sum((hamming(F.col(f"of_a.{n}"), F.col(f"of_b.{n}")) for n in NAMES[1:]), hamming(F.col(f"of_a.{NAMES[0]}"), F.col(f"of_b.{NAMES[0]}")))
+    pairs = materialize(pairs.where(distance <= MOST_OF_ALL).select("a", "b", F.col(f"of_a.{SIZE}").alias("n_a"), F.col(f"of_b.{SIZE}").alias("n_b")), "candidates")
+    wanted = pairs.select(F.col("a").alias(SET)).unionByName(pairs.select(F.col("b").alias(SET))).distinct()
+    rows = materialize(sets.join(wanted, SET, "left_semi").select(row), "rows-of-candidates")
+    grams = materialize(with_grams(kept.join(rows, row, "left_semi"), text_col), "grams")
+    for side in ("a", "b"):
+        pairs = pairs.join(grams.select(F.col(SET).alias(side), F.col("grams").alias(f"grams_{side}")), side)
+    shared = F.size(F.array_intersect("grams_a", "grams_b"))
+    return materialize(pairs.where(shared >= SIMILAR * (F.col("n_a") + F.col("n_b") - shared) - 1e-9).select("a", "b"), "similar")
+
+
+def similar_pairs(kept: DataFrame, row: str, text_col: str) -> DataFrame:
+    """Links (a, b) of shingle sets, enough of them to connect all candidates found similar."""
+    # Sets of fewer shingles are equal or not similar.
+    least = math.ceil(SIMILAR / (1 - SIMILAR) - 1e-9)
+    first = [F.min(c).alias(c) for c in (row, SIZE, *NAMES)]
+    sets = materialize(kept.where(F.col(SIZE) >= least).groupBy(SET).agg(*first), "sets")
+    stars = _verified(_to_ends(sets), sets, kept, row, text_col)
+    groups = materialize(components(stars).select(F.col("node").alias(SET), F.col("root").alias("group")), "groups")
+    grouped = sets.join(groups, SET, "left").withColumn("group", F.coalesce("group", SET))
+    others = _verified(_between_groups(grouped), sets, kept, row, text_col)
+    return stars.unionByName(others)
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of similar texts: the smallest id, null ids last, repeated rows once.
+
+    Texts with equal shingle sets are one class, and so are those without a word.
+    """
+    row = "_near_row"
+    kept = materialize(with_prints(docs, text_col).withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    roots = components(similar_pairs(kept, row, text_col)).select(F.col("node").alias(SET), "root")
+    rep = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    slim = kept.select(SET, rep.alias("rep")).join(roots, SET, "left").select("rep", F.coalesce("root", SET).alias("root"))
+    slim = materialize(slim, "near-roots")
+    first = materialize(slim.groupBy("root").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.col("rep.row").alias("first")), "near-first")
+    others = materialize(slim.join(first, "root").where(F.col("rep.row") != F.col("first")).select(F.col("rep.row").alias(row)), "near-others")
+    return kept.join(others, row, "left_anti").select(*docs.columns)

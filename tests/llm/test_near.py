@@ -1,0 +1,67 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
+import corpus_pipeline
+from drawlytics.llm import near, simhash
+
+
+def grams(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def similarity(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_shingle_sets_have_the_sizes_of_plain_ones():
+    texts = ["", None, "One", "one two three four", "A b c d e", "a b c d e f a b c d e f", "x\ty " * 50, "é " * 9 + "z"]
+    assert [len(s) for s in near.shingle_sets(pa.array(texts))] == [len(grams(t)) for t in texts]
+    same = list(near.shingle_sets(pa.array(["One two\nTHREE four five", "one two three  four five"])))
+    assert np.array_equal(*same)
+
+
+def test_simhashes_are_majorities_of_each_bit():
+    h = np.arange(1, 1001, dtype=np.uint64) * near.MIX
+    for i, got in enumerate(near.simhashes(h).view(np.uint64).tolist()):
+        own = near.mixed(h + near.SEEDS[i])
+        ones = [(j, int(((own >> np.uint64(j)) & np.uint64(1)).sum())) for j in range(64)]
+        # The eight counters of a shift are bytes of a long: bit j of byte k is bit 8k + j.
+        assert got == sum(1 << j for j, n in ones if 2 * n > len(h))
+
+
+def test_copies_at_a_similarity_of_four_fifths_go_and_others_stay(spark):
+    rng = random.Random(3)
+    rows, want = [], set()
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        copy, far = base[:], base[:]
+        for k in (30, 120, 210, 270, 290):
+            copy[k] = f"c{g}"
+        for k in range(5, 300, 10):
+            far[k] = f"f{g}"
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(copy)), (3 * g + 2, " ".join(far))]
+        assert similarity(rows[-3][1], rows[-2][1]) >= 0.8 > similarity(rows[-3][1], rows[-1][1])
+        want |= {3 * g, 3 * g + 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    # Two bits of one fingerprint leave most of the copies.
+    assert got == want and simhash.first_of_each(docs).count() > 100
+
+
+def test_a_large_group_of_near_copies_is_one(spark):
+    base = [f"w{i * 7 % 1000}" for i in range(400)]
+    rows = [(i, " ".join(base[:200] + [f"only{i}"] + base[201:])) for i in range(300)] + [(500, "nothing like it at all, not one of its words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in near.first_of_each(docs).collect()} == {0, 500}
+
+
+def test_odd_rows(odd, none):
+    kept = near.first_of_each(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i) == [1, 3, 6, 8, 9] and ids.count(None) == 1
+    assert near.first_of_each(none).count() == 0
