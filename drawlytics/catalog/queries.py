@@ -459,9 +459,6 @@ def lag_features(spark, d):
     )
 
 
-SMALL_FOREST = {"numTrees": 3, "maxDepth": 3, "minInstancesPerNode": 2}
-
-
 def _training_rows(spark, d):
     return src.stored(features.training_features(src.idx(spark, d)), "train-rows")
 
@@ -469,14 +466,14 @@ def _training_rows(spark, d):
 @query
 def eval_models(spark, d):
     older, newer = models.split_rows(_training_rows(spark, d))
-    return models.eval_models(models.fit_number_models(older, SMALL_FOREST), newer)
+    return models.eval_models(models.fit_number_models(older), newer)
 
 
 @query
 def predict_next(spark, d):
     i = src.stored(src.idx(spark, d), "idx")
     rows = src.stored(features.training_features(i), "train-rows")
-    fitted = models.fit_number_models(rows, SMALL_FOREST)
+    fitted = models.fit_number_models(rows)
     base = src.scratch(spark, "models")
     models.save_models(fitted, base)
     return models.serve(models.load_models(spark, base), i)
@@ -486,7 +483,7 @@ def predict_next(spark, d):
 def blend_optimized_model(spark, d):
     """The blend on fitted probabilities instead of the stand-in."""
     i = src.stored(src.idx(spark, d), "idx")
-    fitted = models.fit_number_models(src.stored(features.training_features(i), "train-rows"), SMALL_FOREST)
+    fitted = models.fit_number_models(src.stored(features.training_features(i), "train-rows"))
     ml = src.stored(models.serve(fitted, i), "probabilities")
     fr = freq.number_freq(occurrences(i))
     fib, cycle = weights.inverse_fib_weights(fr), cycles.adaptive_cycle_weights(i)
@@ -496,10 +493,10 @@ def blend_optimized_model(spark, d):
 
 @query
 def search_params(spark, d):
-    grid = {"numTrees": [2, 4], "maxDepth": [2, 3]}
-    best, results = models.search_params(_training_rows(spark, d), 2, grid)
-    rows = [(x["numTrees"], x["maxDepth"], x["f1_micro"], x["top_hits"], all(x[p] == best[p] for p in grid)) for x in results]
-    return spark.createDataFrame(rows, "numTrees int, maxDepth int, f1_micro double, top_hits double, chosen boolean")
+    best, results = models.search_params(_training_rows(spark, d))
+    rows = [(*[x[p] for p in models.SEARCH_GRID], x["f1_micro"], x["top_hits"], all(x[p] == best[p] for p in best)) for x in results]
+    schema = "numTrees int, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, f1_micro double, top_hits double, chosen boolean"
+    return spark.createDataFrame(rows, schema)
 
 
 # ------------------------------------------------------------------ combinations
@@ -746,7 +743,7 @@ def stream_refit(spark, d):
     out = src.scratch(spark, "stream-refit")
     in_dir, _ = _file_stream(spark, ingest.dedupe_draws(_stream_draws(spark, d)))
     sst.start_refit(
-        spark, in_dir, f"{out}/history", f"{out}/models", f"{out}/metrics", f"{out}/ck", params=SMALL_FOREST
+        spark, in_dir, f"{out}/history", f"{out}/models", f"{out}/metrics", f"{out}/ck"
     ).awaitTermination()
     return spark.read.parquet(f"{out}/metrics").selectExpr(
         "version", "CAST(first_date AS STRING) AS first_date", "CAST(last_date AS STRING) AS last_date", "n_test"
