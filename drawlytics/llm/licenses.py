@@ -66,13 +66,13 @@ FAMILIES = (
 )
 #: Wordings that name no family: label, keyword, expression, priority, confidence.
 WORDINGS = (
-    ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining", 3, 0.95),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms", 3, 0.95),
-    ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software", 3, 0.9),
-    ("gpl", "free software", r"this program is free software[;:,] you can redistribute it", 3, 0.95),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", 2, 0.9),
-    ("public-domain", "public domain", r"public domain", 1, 0.5),
-    ("reserved", "rights reserved", r"(?:all|some) rights reserved", 1, 0.6),
+    ("mit", "hereby", r"permission is hereby granted, free of charge, to any person obtaining", 3, 0.95),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms", 3, 0.95),
+    ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software", 3, 0.9),
+    ("gpl", "redistribute", r"this program is free software[;:,] you can redistribute it", 3, 0.95),
+    ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in)?to the public domain", 2, 0.9),
+    ("public-domain", "domain", r"public domain", 1, 0.5),
+    ("reserved", "reserved", r"(?:all|some) rights reserved", 1, 0.6),
     ("copyright", "copyright", r"copyright(?: \(c\)| ©)? [0-9]{4}", 1, 0.6),
     ("proprietary", "confidential", r"proprietary and confidential", 2, 0.8),
     ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution)", 2, 0.7),
@@ -97,9 +97,9 @@ def rules() -> list[tuple[str, str, str, int, float]]:
             more = 1 if v else 0
             out.append((label, "spdx-license-identifier", rf"spdx-license-identifier:\s*{ident}", 8 + more, 1.0))
             out.append((label, "licen", rf"licen[sc]ed\s+under\s+(?:the\s+)?(?:terms\s+of\s+the\s+)?{own}(?:\s+licen[sc]e)?{tail}", 6 + more, 0.95))
-            out.append((label, "leased under", rf"(?:re)?leased\s+under\s+(?:the\s+)?{own}(?:\s+licen[sc]e)?{tail}", 6 + more, 0.95))
+            out.append((label, "leased", rf"(?:re)?leased\s+under\s+(?:the\s+)?{own}(?:\s+licen[sc]e)?{tail}", 6 + more, 0.95))
             out.append((label, "licen", rf"(?<![a-z0-9]){own}\s+licen[sc]e{tail}", 4 + more, 0.8))
-    out += list(WORDINGS)
+    out += [(label, word, text.replace(" ", r"\s+"), *rest) for label, word, text, *rest in WORDINGS]
     return out
 
 

@@ -71,3 +71,22 @@ def test_odd_rows(odd, none):
     out = licenses.scanned(odd).collect()
     assert sorted((str(r["doc_id"]), r["n_words"]) for r in out) == sorted((str(r["doc_id"]), base(r["text"])[0]) for r in odd.collect())
     assert licenses.scanned(none).count() == 0
+
+
+def test_wrapped_wordings_are_found(spark):
+    texts = [
+        "released\nunder the Mozilla Public, version 2.0",
+        "Permission is\nhereby granted, free of\n charge, to any person obtaining a copy",
+        "Redistribution and\nuse in source  and binary forms",
+        "This program is free\nsoftware; you can\tredistribute it",
+        "All rights\nreserved",
+        "in the public\ndomain",
+    ]
+    got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: r["labels"].split(",") for r in got}
+    assert "mpl-2.0" in found[0]
+    assert all(label in found[i] for i, label in enumerate(["mit", "bsd", "gpl", "reserved", "public-domain"], 1))
+
+
+def test_keywords_hold_no_white_space():
+    assert not any(" " in r[1] for r in licenses.rules())
