@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space, as Java and RE2 regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -117,3 +120,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 def input_tasks(df: DataFrame, least: int = 8) -> int:
     """Shuffle partitions of the session, as the number of parts of explicit shuffles."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcasts ``value``, of a class of this package too; what comes back reads it in a task.
+
+    Broadcasts are pickled by reference; these bytes hold the class, so workers need no copy of the package.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)

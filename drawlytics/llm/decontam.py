@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drawlytics.llm.common import mixed, powers, ragged, slices, span_hashes, utf8, whole_text, word_spans
+from drawlytics.llm.common import mixed, powers, ragged, shared, slices, span_hashes, utf8, whole_text, word_spans
 from drawlytics.plans.store import materialize
 
 #: Token positions that a seed reads (1) and ignores (0).
@@ -135,10 +135,10 @@ def contaminations(
     schema = schema.add("_item", item_type).add("first_word", "long").add("n_equal", "long").add("n_item", "long")
     out = None
     for ids, items in shards(benchmark, item_id_col, item_text_col, masks, min_words, shard_chars):
-        shared = spark.sparkContext.broadcast((ids, items))
+        held = shared(spark, (ids, items))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, index = shared.value
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, index = held()
             for batch in (part for whole in batches for part in slices(whole, 1, CHUNK_BYTES)):
                 hits = list(index.overlaps(batch.column(1), identity))
                 if hits:

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from drawlytics.llm.common import mixed, whole_text
+from drawlytics.llm.common import mixed, shared, whole_text
 from drawlytics.plans.store import materialize
 
 #: Bytes of text that share one list of words.
@@ -220,10 +220,10 @@ def learn_weights(words: DataFrame, lattice: Lattice, turns: int) -> Lattice:
     """
     spark = words.sparkSession
     for _ in range(turns):
-        shared = spark.sparkContext.broadcast(lattice)
+        held = shared(spark, lattice)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model = shared.value
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            model = held()
             uses = np.zeros(model.n)
             for batch in batches:
                 own = [w for w in batch.column(0).to_pylist() if len(w) <= BLOCK_BYTES]
@@ -264,12 +264,13 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     total, kinds = (n or 0) + ends, (v or 0) + (ends > 0)
     spelled = min(0.5, max(1e-6, (once or 0) / total)) if total else 1.0
     lattice = learn_weights(counts.where("c > 0"), Lattice.read(model_path), turns if v else 0)
-    shared = docs.sparkSession.sparkContext.broadcast(lattice)
+    held = shared(docs.sparkSession, lattice)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held()
         for batch in batches:
             c = batch.column(1).to_numpy()
-            p = shared.value.log_probabilities(batch.column(0).to_pylist()) + math.log(spelled)
+            p = model.log_probabilities(batch.column(0).to_pylist()) + math.log(spelled)
             if total:
                 with np.errstate(divide="ignore"):
                     p = np.logaddexp(p, np.log((1 - spelled) * c / total))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from drawlytics.llm.common import ascii_lower, mixed
+from drawlytics.llm.common import ascii_lower, mixed, shared
 from drawlytics.plans.store import materialize
 
 P = "_url_"
@@ -113,11 +113,12 @@ def _level(keys: DataFrame, number: int, n: int, bits_per_key: int, hashes: int)
 
 def _taken(keys: DataFrame, level: Level, number: int) -> DataFrame:
     """The keys that a level holds."""
-    shared = keys.sparkSession.sparkContext.broadcast(level)
+    held = shared(keys.sparkSession, level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held()
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.holds(*_longs(batch), number)))
+            yield batch.filter(pa.array(own.holds(*_longs(batch), number)))
 
     return keys.mapInArrow(run, keys.schema)
 
@@ -156,11 +157,12 @@ def with_listed(rows: DataFrame, universe: DataFrame, shard_keys: int = 5_000_00
     schema = StructType([*rows.schema.fields, StructField(f"{P}listed", BooleanType())])
     out = None
     for k in range(shards):
-        shared = spark.sparkContext.broadcast(build(stored.where(part == k)))
+        held = shared(spark, build(stored.where(part == k)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            cascade = held()
             for batch in batches:
-                found = pa.array(shared.value.listed(*_longs(batch)), pa.bool_())
+                found = pa.array(cascade.listed(*_longs(batch)), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names=schema.names)
 
         own = rows.where(part == k).mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from drawlytics.llm import queries
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = set(entry.queries())
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert set(queries.sql()) <= set(queries.registered())
 
 
