@@ -1,11 +1,15 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+The stages take nulls in any column, empty texts, repeated rows, clashing extra
+columns and empty tables; what each does with them is said at its operator.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from drawlytics.llm import decontam, lines, near, packing, quality
+from drawlytics.llm import decontam, lines, packing, quality, simhash
 from drawlytics.plans.store import materialize
 
 
@@ -22,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
-    return near.first_of_each(docs)
+    """One document of each group stays: 3-word shingles, fingerprints linked at two bits or fewer."""
+    return simhash.first_of_each(docs, shingle=3, distance=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document left, each with its place in a sequence."""
     # Fewer words are remembered than by default: idle workers keep them while other stages run.
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=400_000)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), known_words=100_000)
 
 
 STAGES = [
@@ -50,6 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Every stage's result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
