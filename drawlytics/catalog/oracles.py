@@ -468,6 +468,122 @@ def blend_sql(table: str, ml_w: float, w: float) -> str:
     )
 
 
+# A forest of 20 trees of depth 5, grown and walked level by level. Bounds of the
+# row uses (Poisson with mean 1, of 2147483647), tries (whole root of 56 features), least rows of a child.
+USES = (790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644, 2147304887, 2147461637, 2147481230)
+TREES, DEPTH, TRIES, LEAST = 20, 5, 7, 2
+
+
+def keyed(a: str, b: str, c: str) -> str:
+    start = f"(48271 * ({a})::BIGINT + 69621 * ({b})::BIGINT + 16807 * ({c})::BIGINT + 12345) % 2147483647"
+    return f"list_reduce([{start}, 0, 0, 0], lambda h, x: (h * h + 1013904223) % 2147483647)"
+
+
+def train_sql(cond: str) -> str:
+    """Training rows (keys, coded features, cuts); ``cond`` on idx i and the share position pos."""
+    return f"""
+allf AS (SELECT f.series, f.draw_idx + 1 AS draw_idx, f.f, f.v FROM feats f UNION ALL {when_feats('idx', 'draw_date')}),
+tpos AS (SELECT series, draw_idx, draw_idx < 50 + floor((n - 50) * 0.8::DOUBLE) AS older FROM idx JOIN len USING (series) WHERE draw_idx >= 50),
+tkeys AS MATERIALIZED (SELECT series, draw_idx, ('0x' || substr(md5(concat_ws('|', series, draw_idx)), 1, 7))::BIGINT AS row_key FROM tpos WHERE {cond}),
+xv AS MATERIALIZED (SELECT a.series, a.draw_idx, f - 1 AS f, CAST(round(v * 1e6) AS BIGINT) AS v FROM allf a JOIN tpos USING (series, draw_idx)),
+tx AS (SELECT xv.* FROM xv JOIN tkeys USING (series, draw_idx)),
+fvals AS (SELECT f, v, n, SUM(n) OVER (PARTITION BY f ORDER BY v) AS upto, SUM(n) OVER (PARTITION BY f) AS total FROM (
+  SELECT f, v, COUNT(*) AS n FROM tx GROUP BY 1, 2)),
+cuts AS MATERIALIZED (SELECT f, v, ROW_NUMBER() OVER (PARTITION BY f ORDER BY v) - 1 AS code FROM fvals
+  WHERE upto < total AND upto * 32 // total > (upto - n) * 32 // total),
+codes AS MATERIALIZED (SELECT t.series, t.draw_idx, t.f, COUNT(c.v) AS code FROM tx t LEFT JOIN cuts c ON c.f = t.f AND c.v < t.v GROUP BY 1, 2, 3),
+trees AS (SELECT range AS tree FROM range({TREES}))"""
+
+
+def forest_sql(pool: str) -> str:
+    """The forest of a pool: its splits per level and its leaves."""
+    s = 2 * (2 * 42 + (pool == "chance"))
+    x = "f" + pool[0]
+    weight = " + ".join(f"(k >= {b})::BIGINT" for b in USES)
+    out = [f"""
+{x}hits AS MATERIALIZED (SELECT o.series, o.draw_idx, num - 1 AS label FROM occ o JOIN tkeys USING (series, draw_idx) WHERE pool = '{pool}'),
+{x}a0 AS MATERIALIZED (SELECT * FROM (SELECT tree, series, draw_idx, 1::BIGINT AS node, {weight} AS w FROM (
+  SELECT *, {keyed('row_key', 'tree', str(s))} AS k FROM tkeys, trees)) WHERE w > 0)"""]
+    for d in range(DEPTH + 1):
+        out.append(f"""
+{x}n{d} AS MATERIALIZED (SELECT tree, node, SUM(w) AS n FROM {x}a{d} GROUP BY 1, 2),
+{x}l{d} AS MATERIALIZED (SELECT tree, node, label, SUM(w) AS c FROM {x}a{d} JOIN {x}hits USING (series, draw_idx) GROUP BY 1, 2, 3)""")
+        if d == DEPTH:
+            break
+        out.append(f"""
+{x}o{d} AS MATERIALIZED (SELECT n.tree, n.node, n.n FROM {x}n{d} n JOIN (SELECT tree, node, SUM(c * c) AS sq, SUM(c) AS sc FROM {x}l{d} GROUP BY 1, 2)
+  USING (tree, node) WHERE n.n >= {2 * LEAST} AND sq <> n.n * sc),
+{x}t{d} AS MATERIALIZED (SELECT tree, node, n, f FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY tree, node ORDER BY k, f) AS r FROM (
+  SELECT o.*, range AS f, {keyed('range', 'node', f'1009 * tree + {s + 1}')} AS k FROM {x}o{d} o, range(56))) WHERE r <= {TRIES}),
+{x}r{d} AS MATERIALIZED (SELECT a.tree, a.node, t.f, t.n, c.code, a.series, a.draw_idx, a.w FROM {x}a{d} a JOIN {x}t{d} t USING (tree, node)
+  JOIN codes c ON c.series = a.series AND c.draw_idx = a.draw_idx AND c.f = t.f),
+{x}c{d} AS MATERIALIZED (SELECT tree, node, f, code, n, SUM(SUM(w)) OVER (PARTITION BY tree, node, f ORDER BY code) AS nl FROM {x}r{d} GROUP BY 1, 2, 3, 4, 5),
+{x}h{d} AS MATERIALIZED (SELECT tree, node, f, code, label, SUM(w) AS c FROM {x}r{d} JOIN {x}hits USING (series, draw_idx) GROUP BY 1, 2, 3, 4, 5),
+{x}g{d} AS (SELECT tree, node, f, code, any_value(n) AS n, any_value(nl) AS nl, SUM(lc * lc) AS sl, SUM((tot - lc) * (tot - lc)) AS sr FROM (
+  SELECT q.tree, q.node, q.f, q.code, q.n, q.nl, l.c AS tot,
+    SUM(COALESCE(h.c, 0)) OVER (PARTITION BY q.tree, q.node, q.f, l.label ORDER BY q.code) AS lc
+  FROM {x}c{d} q JOIN {x}l{d} l ON l.tree = q.tree AND l.node = q.node
+  LEFT JOIN {x}h{d} h ON h.tree = q.tree AND h.node = q.node AND h.f = q.f AND h.code = q.code AND h.label = l.label) GROUP BY 1, 2, 3, 4),
+{x}s{d} AS MATERIALIZED (SELECT b.tree, b.node, b.f, b.code, c.v AS cut FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY tree, node ORDER BY sl::DOUBLE / nl::DOUBLE + sr::DOUBLE / (n - nl)::DOUBLE DESC, f, code) AS r
+  FROM {x}g{d} WHERE nl >= {LEAST} AND n - nl >= {LEAST}) b JOIN cuts c ON c.f = b.f AND c.code = b.code WHERE r = 1),
+{x}a{d + 1} AS MATERIALIZED (SELECT a.tree, a.series, a.draw_idx, 2 * a.node + (c.code > s.code)::BIGINT AS node, a.w FROM {x}a{d} a JOIN {x}s{d} s USING (tree, node)
+  JOIN codes c ON c.series = a.series AND c.draw_idx = a.draw_idx AND c.f = s.f)""")
+    ends = " UNION ALL ".join(
+        f"SELECT l.tree, l.node, l.label, l.c::DOUBLE / n.n::DOUBLE AS share FROM {x}l{d} l JOIN {x}n{d} n USING (tree, node)"
+        + (f" ANTI JOIN {x}s{d} s USING (tree, node)" if d < DEPTH else "")
+        for d in range(DEPTH + 1)
+    )
+    return ",".join(out) + f", {x}ends AS MATERIALIZED ({ends})"
+
+
+def walked_sql(pool: str, rows: str) -> str:
+    """(series, draw_idx, num, p) of a pool for ``rows`` (series, draw_idx, f, v)."""
+    x = "f" + pool[0]
+    out = [f"{x}p0 AS (SELECT DISTINCT tree, series, draw_idx, 1::BIGINT AS node FROM {rows}, trees)"]
+    for d in range(DEPTH):
+        out.append(f"""
+{x}p{d + 1} AS MATERIALIZED (SELECT p.tree, p.series, p.draw_idx, CASE WHEN s.f IS NULL THEN p.node ELSE 2 * p.node + (q.v > s.cut)::BIGINT END AS node
+  FROM {x}p{d} p LEFT JOIN {x}s{d} s USING (tree, node) LEFT JOIN {rows} q ON q.series = p.series AND q.draw_idx = p.draw_idx AND q.f = s.f)""")
+    return ",".join(out) + f""",
+{x}prob AS MATERIALIZED (SELECT k.series, k.draw_idx, d.num, round(COALESCE(x.p, 0.0::DOUBLE), 12) AS p
+  FROM (SELECT DISTINCT series, draw_idx FROM {rows}) k CROSS JOIN dom d LEFT JOIN (
+    SELECT series, draw_idx, label, SUM(share) / {TREES} AS p FROM {x}p{DEPTH} JOIN {x}ends USING (tree, node) GROUP BY 1, 2, 3) x
+  ON x.series = k.series AND x.draw_idx = k.draw_idx AND x.label = d.num - 1 WHERE d.pool = '{pool}')"""
+
+
+def served_sql() -> str:
+    """mlp (series, pool, num, p): forests on all rows, walked by the features of the next draw."""
+    return TRAIL + f""", {train_sql('true')}, {forest_sql('main')}, {forest_sql('chance')},
+upcoming AS (SELECT series, CAST(n AS BIGINT) AS draw_idx, {NEXT_DAY} AS nd FROM (
+  SELECT series, COUNT(*) AS n, MAX(draw_date) AS d FROM idx GROUP BY 1)),
+sx AS MATERIALIZED (SELECT series, draw_idx, f - 1 AS f, CAST(round(v * 1e6) AS BIGINT) AS v FROM (
+  SELECT f.series, f.draw_idx + 1 AS draw_idx, f.f, f.v FROM feats f JOIN len l ON l.series = f.series AND l.n = f.draw_idx + 1
+  UNION ALL {when_feats('upcoming', 'nd')})),
+{walked_sql('main', 'sx')}, {walked_sql('chance', 'sx')},
+mlp AS (SELECT series, 'main' AS pool, num, p FROM fmprob UNION ALL SELECT series, 'chance', num, p FROM fcprob)"""
+
+
+def fitted(text: str) -> str:
+    """A statement on the stand-in probabilities, on fitted ones."""
+    return text.replace("JOIN ml ", "JOIN mlp ").replace("ml.p", "mlp.p")
+
+
+EVAL = """
+cell AS MATERIALIZED (SELECT p.series, p.draw_idx, p.num, p.p, CAST(p.num IN (i.n1, i.n2, i.n3, i.n4, i.n5) AS BIGINT) AS y,
+  CAST(p.p >= 0.5 AS BIGINT) AS said, CAST(floor(p.p * 1000 + 0.5) AS BIGINT) AS bin,
+  ROW_NUMBER() OVER (PARTITION BY p.series, p.draw_idx ORDER BY p.p DESC, p.num) AS place FROM fmprob p JOIN idx i USING (series, draw_idx)),
+erow AS (SELECT series, draw_idx, MIN(CAST(said = y AS BIGINT)) AS exact, SUM(said * y) AS tp, SUM(said) AS sn, SUM(y) AS tn,
+  SUM(y) FILTER (WHERE place <= 5) AS hits FROM cell GROUP BY 1, 2),
+cbest AS (SELECT series, draw_idx, CAST(num = chance AS BIGINT) AS ok FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY series, draw_idx ORDER BY p DESC, num) AS place FROM fcprob) JOIN idx USING (series, draw_idx) WHERE place = 1),
+lab AS (SELECT num, bin, SUM(y) AS pos, SUM(1 - y) AS neg FROM cell GROUP BY 1, 2),
+wins AS (SELECT num, SUM(pos * (b + neg / 2.0::DOUBLE)) / NULLIF(SUM(pos)::DOUBLE * SUM(neg)::DOUBLE, 0) AS auc FROM (
+  SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY num ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM lab) GROUP BY 1),
+pool_bins AS (SELECT bin, SUM(pos) AS pos, SUM(pos + neg) AS n, GREATEST(0.5::DOUBLE, LEAST(999.5::DOUBLE, bin::DOUBLE)) / 1000 AS q FROM lab GROUP BY 1),
+f1s AS (SELECT bin, round(2 * SUM(pos) OVER w / (SUM(n) OVER w + SUM(pos) OVER ())::DOUBLE, 12) AS f1 FROM pool_bins WINDOW w AS (ORDER BY bin DESC))"""
+
+
 COMBO_CHANCE = "0 AS chance"
 
 
@@ -681,6 +797,23 @@ SELECT series, draw_idx, {MICRO} FROM (SELECT t.series, t.draw_idx + 1 AS draw_i
 SELECT series, draw_idx, array_to_string(past, ',') AS features, {Y_NUMS}, chance AS y_chance
 FROM (SELECT *, [{past}] AS past FROM idx WINDOW w AS (PARTITION BY series ORDER BY draw_idx)) WHERE draw_idx >= 5""")
 
+    # models
+    served = served_sql()
+    out["predict_next"] = many(" SELECT series, pool, num, round(p, 9) AS p FROM mlp", served)
+    out["blend_fibonacci_model"] = many(fitted(blend_sql("invfib", 0.7, 0.3)), served)
+    out["blend_cycle_model"] = many(fitted(blend_sql("cyc", 0.6, 0.4)), served)
+    out["blend_optimized_model"] = many(number_out("opt", "score"), served + "," + fitted(OPT))
+    out["eval_models"] = many("""
+SELECT n, round(exact / n::DOUBLE, 9) AS subset_accuracy, round(COALESCE(tp::DOUBLE / NULLIF(sn, 0), 0), 9) AS precision,
+  round(COALESCE(tp::DOUBLE / NULLIF(tn, 0), 0), 9) AS recall, round(COALESCE(2 * tp::DOUBLE / NULLIF(sn + tn, 0), 0), 9) AS f1_micro,
+  round(hits / n::DOUBLE, 9) AS top_hits, (SELECT round(AVG(ok), 9) FROM cbest) AS chance_accuracy,
+  (SELECT round(SUM(-(pos * ln(q) + (n - pos) * ln(1 - q))) / SUM(n), 9) FROM pool_bins) AS log_loss,
+  (SELECT round(AVG(auc), 9) FROM wins) AS auc, (SELECT round(MAX(f1), 9) FROM f1s) AS best_f1,
+  (SELECT round(MIN(bin) / 1000::DOUBLE, 9) FROM f1s WHERE f1 = (SELECT MAX(f1) FROM f1s)) AS best_threshold
+FROM (SELECT COUNT(*) AS n, SUM(exact) AS exact, SUM(tp) AS tp, SUM(sn) AS sn, SUM(tn) AS tn, SUM(hits) AS hits FROM erow)""",
+        TRAIL + f""", {train_sql('older')}, {forest_sql('main')}, {forest_sql('chance')},
+ex AS MATERIALIZED (SELECT xv.* FROM xv JOIN tpos USING (series, draw_idx) WHERE NOT older), {walked_sql('main', 'ex')}, {walked_sql('chance', 'ex')}, {EVAL}""")
+
     # combinations
     out["freq_slices"] = many("""
 SELECT series, CAST((rk - 1) // 5 + 1 AS INTEGER) AS combo_id, string_agg(CAST(num AS VARCHAR), '-' ORDER BY num) AS nums,

@@ -466,36 +466,51 @@ def _training_rows(spark, d):
 @query
 def eval_models(spark, d):
     older, newer = models.split_rows(_training_rows(spark, d))
-    return models.eval_models(models.fit_number_models(older), newer)
+    out = models.eval_models(models.fit_number_models(older), newer)
+    return out.select(*[c if c == "n" else F.round(c, 9).alias(c) for c in out.columns])
 
 
-@query
-def predict_next(spark, d):
+def _served(spark, d):
+    """(index, probabilities of the next draw) from a stored and loaded forest on all rows."""
     i = src.stored(src.idx(spark, d), "idx")
-    rows = src.stored(features.training_features(i), "train-rows")
-    fitted = models.fit_number_models(rows)
+    fitted = models.fit_number_models(src.stored(features.training_features(i), "train-rows"))
     base = src.scratch(spark, "models")
     models.save_models(fitted, base)
-    return models.serve(models.load_models(spark, base), i)
+    return i, src.stored(models.serve(models.load_models(spark, base), i), "probabilities")
+
+
+@query
+def predict_next(spark, d):
+    return _served(spark, d)[1].selectExpr("series", "pool", "num", r("p"))
+
+
+@query
+def blend_fibonacci_model(spark, d):
+    i, ml = _served(spark, d)
+    return scores.blend_fibonacci(number_grid(i), ml, weights.inverse_fib_weights(freq.number_freq(occurrences(i)))).selectExpr("series", "pool", "num", r("score"))
+
+
+@query
+def blend_cycle_model(spark, d):
+    i, ml = _served(spark, d)
+    return scores.blend_cycle(number_grid(i), ml, cycles.adaptive_cycle_weights(i)).selectExpr("series", "pool", "num", r("score"))
 
 
 @query
 def blend_optimized_model(spark, d):
     """The blend on fitted probabilities instead of the stand-in."""
-    i = src.stored(src.idx(spark, d), "idx")
-    fitted = models.fit_number_models(src.stored(features.training_features(i), "train-rows"))
-    ml = src.stored(models.serve(fitted, i), "probabilities")
+    i, ml = _served(spark, d)
     fr = freq.number_freq(occurrences(i))
     fib, cycle = weights.inverse_fib_weights(fr), cycles.adaptive_cycle_weights(i)
-    out = scores.blend_optimized(number_grid(i), ml, fib, cycle, fr)
-    return out.selectExpr("series", "pool", "num", r("score"))
+    return scores.blend_optimized(number_grid(i), ml, fib, cycle, fr).selectExpr("series", "pool", "num", r("score"))
 
 
 @query
 def search_params(spark, d):
     best, results = models.search_params(_training_rows(spark, d))
-    rows = [(*[x[p] for p in models.SEARCH_GRID], x["f1_micro"], x["top_hits"], all(x[p] == best[p] for p in best)) for x in results]
-    schema = "numTrees int, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, f1_micro double, top_hits double, chosen boolean"
+    names = ["pool", *models.SEARCH_GRID, "log_loss", "auc", "best_f1", "best_threshold"]
+    rows = [(*[x[c] for c in names], all(x[p] == best[x["pool"]][p] for p in models.SEARCH_GRID)) for x in results]
+    schema = "pool string, trees int, max_depth int, min_split int, min_leaf int, log_loss double, auc double, best_f1 double, best_threshold double, chosen boolean"
     return spark.createDataFrame(rows, schema)
 
 

@@ -238,7 +238,7 @@ def test_large_game_tracking_uses_text_keys(spark):
 def test_hot_key_join(spark):
     left = spark.range(1000).selectExpr("CASE WHEN id < 600 THEN 0 ELSE id END AS k", "id AS v")
     right = spark.range(1000).selectExpr("id AS k", "id * 10 AS w")
-    got = join_hot(left, right, ["k"], salts=4, hot_rows=100)
+    got = join_hot(left, right, ["k"], part_rows=100)
     assert rows(got, "k", "v", "w") == rows(left.join(right, "k"), "k", "v", "w")
 
 
