@@ -934,5 +934,5 @@ FROM (SELECT series, COUNT(*) AS n, MIN(draw_date) AS first, MAX(draw_date) AS l
     out["stream_ingest"] = many(f" SELECT {DRAW_OUT} FROM single", ONE_PER_DATE)
     out["stream_freq"] = many(" SELECT series, pool, num, cnt FROM st")
     out["stream_gaps"] = out["current_gap"]
-    out["stream_last_draws"] = many(windowed, window.format(w=100))
+    out["stream_last_draws"] = many(windowed, window.format(w=1335))
     return out

@@ -22,6 +22,7 @@ from drawlytics.operators import (
     scores,
     weights,
 )
+from drawlytics.params import ANALYSIS_WINDOW
 from drawlytics.plans.blocks import prefix_counts
 from drawlytics.plans.index import number_grid, occurrences
 from drawlytics.sources import history, text
@@ -697,10 +698,16 @@ def evaluation_report(spark, d):
 # ------------------------------------------------------------------ streams
 def _file_stream(spark, rows: DataFrame) -> tuple[str, int]:
     """Draws cut into files by date order, so that most batches arrive in order:
-    a file per shuffle partition of the session. Returns half their number too."""
+    a file per shuffle partition of the session. Then come the draws of a month
+    that was held back, and those of another month for the second time. Returns
+    the files of a batch too, so that both come in a batch of their own."""
     path = src.scratch(spark, "stream-in")
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(files, "draw_date", "draw_id").write.parquet(path)
+    rows = src.stored(rows, "stream-rows")
+    late = F.date_trunc("month", "draw_date") == F.lit("1995-03-01").cast("timestamp")
+    again = F.date_trunc("month", "draw_date") == F.lit("1996-07-01").cast("timestamp")
+    rows.where(~late).repartitionByRange(files, "draw_date", "draw_id").write.parquet(path)
+    rows.where(late | again).coalesce(1).write.mode("append").parquet(path)
     return path, max(1, files // 2)
 
 
@@ -749,7 +756,7 @@ def stream_gaps(spark, d):
 def stream_last_draws(spark, d):
     out = src.scratch(spark, "stream-last")
     in_dir, half = _file_stream(spark, _stream_draws(spark, d))
-    sst.start_last_draws(spark, in_dir, f"{out}/t", f"{out}/ck", 100, files_per_batch=half).awaitTermination()
+    sst.start_last_draws(spark, in_dir, f"{out}/t", f"{out}/ck", ANALYSIS_WINDOW, files_per_batch=half).awaitTermination()
     return sst.read_last_freq(spark, f"{out}/t").selectExpr("series", "pool", "num", "cnt", r("rel"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from itertools import chain
 
 from pyspark.sql import Column, functions as F
@@ -142,3 +144,24 @@ def rank_prize(rank: Column | str) -> Column:
         cond = r.isin(*{long, short})
         out = F.when(cond, F.lit(prize)) if out is None else out.when(cond, F.lit(prize))
     return out.otherwise(F.lit(0.0))
+
+
+def erfc(x: Column | str) -> Column:
+    """Complementary error function, to 1e-14 of the exact value.
+
+    Below 2.5 the series ``2 x exp(-x^2) / sqrt(pi) * sum (2 x^2)^n / (1 3 .. 2n+1)``,
+    whose terms are all positive; beyond, the continued fraction
+    ``exp(-x^2) / sqrt(pi) / (x + 1/2 / (x + 2/2 / (x + 3/2 / ...)))``.
+    """
+    v = F.abs(_col(x))
+    scale = F.exp(-v * v) / math.sqrt(math.pi)
+
+    def term(a: Column, n: Column) -> Column:
+        t = a["t"] * 2 * v * v / (2 * n + 1)
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    start = F.struct(v.alias("t"), v.alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, term, lambda a: 1 - 2 * scale * a["s"])
+    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1)), v, lambda a, n: v + n / 2 / a, lambda a: scale / a)
+    positive = F.when(v < 2.5, series).otherwise(fraction)
+    return F.when(_col(x) < 0, 2 - positive).otherwise(positive)

@@ -6,11 +6,10 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from drawlytics.functions.columns import nums_array, prize_rank, rank_points, rank_prize
+from drawlytics.functions.columns import erfc, nums_array, prize_rank, rank_points, rank_prize
 from drawlytics.functions.sampling import quote, uniform_chance_sql, with_floyd_picks
 from drawlytics.params import (
     BLOCK,
@@ -303,10 +302,6 @@ def walk_forward_summary(
     wf: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES
 ) -> DataFrame:
     """``k, strategy, n, mean, std, chance_rate, prize_rate, z, p``."""
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.abs().map(lambda x: math.erfc(x / math.sqrt(2.0)))
-
     mean, var = null_moments(game)
     agg = wf.groupBy(*series_cols, "strategy").agg(
         F.count(F.lit(1)).alias("n"),
@@ -316,7 +311,7 @@ def walk_forward_summary(
         F.avg(F.col("rank").isNotNull().cast("int")).alias("prize_rate"),
     )
     z = (F.col("mean") - F.lit(mean)) / F.sqrt(F.lit(var) / F.col("n"))
-    return agg.withColumn("z", z).withColumn("p", two_sided("z"))
+    return agg.withColumn("z", z).withColumn("p", erfc(F.abs("z") / math.sqrt(2.0)))
 
 
 def walk_forward_ranks(wf: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFrame:

@@ -1,49 +1,68 @@
-"""Versioned history tables and report sinks."""
+"""Versioned draw histories and report sinks."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from drawlytics.operators.ingest import dedupe_draws, missing_draws
+from drawlytics.plans.index import SERIES
+from drawlytics.plans.store import materialize
+from drawlytics.sources import versioned
+from drawlytics.sources.versioned import file_system as _fs, versions  # noqa: F401
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
-
-def versions(spark: SparkSession, base: str) -> list[int]:
-    """Completely written versions of a history, ascending."""
-    fs, path = _fs(spark, base)
-    if not fs.exists(path):
-        return []
-    out = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        match = re.fullmatch(r"v=(\d+)", name)
-        if match and fs.exists(_fs(spark, f"{base}/{name}/_SUCCESS")[1]):
-            out.append(int(match.group(1)))
-    return sorted(out)
+def month(date: Column | str = "draw_date") -> Column:
+    """The partition of a date: year and month as a number, 0 for none."""
+    d = F.col(date) if isinstance(date, str) else date
+    return F.coalesce(F.year(d) * 100 + F.month(d), F.lit(0)).cast("int")
 
 
 def write_history(draws: DataFrame, base: str) -> int:
-    """Write the next version and return its number. Older versions stay; an
-    empty result is refused. A version counts once its ``_SUCCESS`` is there."""
-    spark = draws.sparkSession
+    """Write a whole new version and return its number. Older versions stay; an
+    empty result is refused. A version counts once it is published."""
     if draws.isEmpty():
         raise ValueError("refusing to write an empty history")
-    done = versions(spark, base)
-    version = (done[-1] + 1) if done else 1
-    draws.write.mode("overwrite").parquet(f"{base}/v={version}")
-    return version
+    return versioned.publish(draws.withColumn("part", month()), base, whole=True)
+
+
+def merge_history(new: DataFrame, base: str, series_cols: Sequence[str] = SERIES) -> int | None:
+    """Publish a version with the draws of ``new`` whose date the history lacks, one
+    per series and date; None if there are none.
+
+    Only the months of those draws are read and written again: the driver
+    gets the months of ``new``, every other month stays where it is.
+    """
+    spark = new.sparkSession
+    fresh = materialize(dedupe_draws(new.where("draw_date IS NOT NULL"), series_cols).withColumn("part", month()), "fresh-draws")
+
+    def touched(rows: DataFrame) -> list[int]:
+        return [r["part"] for r in rows.select("part").distinct().collect()]
+
+    seen = versioned.read(spark, base, only=touched(fresh))
+    if seen is not None:
+        fresh = materialize(missing_draws(fresh, seen, series_cols), "missing-draws")
+    months = touched(fresh)
+    if not months:
+        return None
+    kept = versioned.read(spark, base, only=months)
+    merged = fresh if kept is None else kept.withColumn("part", month()).unionByName(fresh.select(*kept.columns, "part"))
+    return versioned.publish(merged, base)
+
+
+def history_versions(spark: SparkSession, base: str) -> list[int]:
+    return versioned.published(spark, base)
 
 
 def read_history(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
-    done = versions(spark, base)
-    if not done:
+    if version is not None and version not in history_versions(spark, base):
+        raise FileNotFoundError(f"no version {version} under {base}")
+    out = versioned.read(spark, base, version)
+    if out is None:
         raise FileNotFoundError(f"no complete history under {base}")
-    return spark.read.parquet(f"{base}/v={version or done[-1]}")
+    return out
 
 
 def write_draws_csv(draws: DataFrame, path: str, sep: str = ",") -> None:

@@ -12,7 +12,7 @@ from drawlytics.operators.ingest import dedupe_draws, missing_draws, split_valid
 from drawlytics.params import GAME, Game
 from drawlytics.plans.index import SERIES
 from drawlytics.plans.store import materialize
-from drawlytics.sources.history import _fs
+from drawlytics.sources.versioned import file_system as _fs
 
 DRAW_SCHEMA = (
     "series string, draw_id bigint, draw_date date, n1 int, n2 int, n3 int, n4 int, n5 int, chance int"

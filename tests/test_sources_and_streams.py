@@ -1,13 +1,16 @@
 """Text, pages, versioned histories and streams."""
 
+import math
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from drawlytics.catalog import inputs
 from drawlytics.operators import gaps, ingest, models
 from drawlytics.plans.index import draw_index, occurrences
 from drawlytics.operators.freq import number_freq, window_freq
-from drawlytics.sources import history, text
+from drawlytics.functions.columns import erfc
+from drawlytics.sources import history, text, versioned
 from drawlytics.streaming import ingest as sin
 from drawlytics.streaming import state as sst
 
@@ -41,7 +44,7 @@ def test_history_versions(spark, sf_dir, tmp_path):
     assert history.write_history(draws, base) == 2
     with pytest.raises(ValueError):
         history.write_history(draws.where("false"), base)
-    assert history.versions(spark, base) == [1, 2]
+    assert history.history_versions(spark, base) == [1, 2]
     assert history.read_history(spark, base, 1).count() == 3
     assert history.read_history(spark, base).count() == draws.count()
 
@@ -89,12 +92,74 @@ def test_ingest_accepts_late_and_repeated_files(spark, idx, tmp_path):
     assert rows(sin.read_draws(spark, out), *DRAW) == rows(one, *DRAW)
 
 
+def written(spark, base, version):
+    """Months a version wrote itself."""
+    return sorted(p for p, v in versioned.partitions(spark, f"{base}", version).items() if v == version)
+
+
+def test_merge_writes_only_the_months_it_touches(spark, sf_dir, tmp_path):
+    """Old versions stay readable, known dates and repeated rows change nothing."""
+    base = str(tmp_path / "h")
+    draws = ingest.dedupe_draws(inputs.draws(spark, sf_dir))
+    late = F.date_trunc("month", "draw_date") == F.lit("1995-03-01").cast("timestamp")
+    first = history.write_history(draws.where(~late), base)
+    n = draws.where(~late).count()
+    assert history.merge_history(draws.where(~late).limit(40), base) is None
+    second = history.merge_history(draws.where(late).unionByName(draws.where(late)).unionByName(draws.limit(3)), base)
+    assert (first, second) == (1, 2) and written(spark, base, 2) == [199503]
+    assert rows(history.read_history(spark, base), *DRAW) == rows(draws, *DRAW)
+    assert history.read_history(spark, base, 1).count() == n < draws.count()
+    # A merge that was cut off before its list was published is no version.
+    (tmp_path / "h" / "data" / "v=3" / "part=199503").mkdir(parents=True)
+    assert history.history_versions(spark, base) == [1, 2]
+    with pytest.raises(FileNotFoundError):
+        history.read_history(spark, base, 3)
+
+
+def test_a_repeated_and_a_late_file_touch_their_own_month(spark, idx, tmp_path):
+    """Counts and gaps: the late month is written, every other stays; a file that comes again changes nothing."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows_ = idx.select(*DRAW)
+    in_month = F.date_trunc("month", "draw_date") == F.lit("1995-03-01").cast("timestamp")
+    rows_.where(~in_month).coalesce(1).write.mode("append").parquet(src)
+    rows_.where(in_month).coalesce(1).write.mode("append").parquet(src)
+    rows_.where(in_month).coalesce(1).write.mode("append").parquet(src)
+    for _ in range(2):
+        sst.start_days(spark, src, f"{out}/t", f"{out}/ck", files_per_batch=1).awaitTermination()
+    assert [written(spark, f"{out}/t", v) for v in (2, 3)] == [[199503], [199503]]
+    # The one series is spread over the tasks by its days.
+    state = spark.read.format("statestore").load(f"{out}/ck")
+    assert idx.select("series").distinct().count() == 1 and state.select("partition_id").distinct().count() == 8
+    want = gaps.current_gap(idx)
+    assert rows(sst.read_gaps(spark, f"{out}/t"), "pool", "num", "gap") == rows(want, "pool", "num", "gap")
+    assert rows(sst.read_freq(spark, f"{out}/t"), "pool", "num", "cnt") == rows(number_freq(occurrences(idx)), "pool", "num", "cnt")
+
+
+@pytest.mark.parametrize("most", [1, 7, 10**6])
+def test_newest_draws(spark, series_idx, most):
+    """Against a window; repeated draws once, missing dates last; no window in the plan."""
+    draws = series_idx.select(*DRAW).withColumn("draw_date", F.when(F.col("draw_id") % 50 > 0, F.col("draw_date")))
+    got = sst.newest(draws.unionByName(draws).repartition(20), most)
+    order = W.partitionBy("series").orderBy(F.desc("draw_date"), F.desc("draw_id"))
+    want = draws.withColumn("age", F.row_number().over(order)).where(F.col("age") <= most)
+    assert sorted(map(str, got.select(*DRAW).collect())) == sorted(map(str, want.select(*DRAW).collect()))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sst.newest(draws.where("false"), most).collect() == []
+
+
+def test_erfc(spark):
+    xs = [0.0, 1e-9, 0.01, 0.5, 1.0, 2.0, 2.499, 2.5, 2.6, 4.0, 9.0, 26.0, 30.0, -0.3, -3.0]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", erfc("x").alias("y"), erfc(F.lit(None).cast("double")).alias("n")).orderBy("i").collect()
+    for x, r in zip(xs, got):
+        assert r["y"] == pytest.approx(math.erfc(x), abs=1e-14, rel=1e-11 if x > 2.5 else None) and r["n"] is None
+
+
 def test_refit_only_on_news(spark, tmp_path, monkeypatch):
     fitted = []
     monkeypatch.setattr(models, "train_and_save", lambda *a, **k: fitted.append(1) or {
         "version": 1, "n": 1, "subset_accuracy": 0.0, "f1_micro": 0.0, "top_hits": 0.0, "duration": 0.0})
-    schema = "series string, draw_date date, n1 int"
-    old = spark.createDataFrame([("a", None, 1)], schema).withColumn("draw_date", F.lit("2020-01-01").cast("date"))
+    schema = "series string, draw_id long, draw_date date, n1 int"
+    old = spark.createDataFrame([("a", 1, None, 1)], schema).withColumn("draw_date", F.lit("2020-01-01").cast("date"))
     later = old.withColumn("draw_date", F.lit("2020-01-03").cast("date"))
     assert models.refit_on_new(old, old, "x", str(tmp_path / "m")) is None
     assert models.refit_on_new(old, later, "x", str(tmp_path / "m")).count() == 2
