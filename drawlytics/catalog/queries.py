@@ -22,9 +22,9 @@ from drawlytics.operators import (
     scores,
     weights,
 )
-from drawlytics.params import ANALYSIS_WINDOW
+from drawlytics.params import ANALYSIS_WINDOW, CYCLE_WINDOWS
 from drawlytics.plans.blocks import prefix_counts
-from drawlytics.plans.index import number_grid, occurrences
+from drawlytics.plans.index import number_grid, number_table, occurrences
 from drawlytics.sources import history, text
 from drawlytics.streaming import ingest as sin
 from drawlytics.streaming import state as sst
@@ -178,10 +178,9 @@ def top_freq(spark, d):
 
 @query
 def number_report(spark, d):
-    i = src.stored(src.idx(spark, d), "idx")
-    fr = freq.number_freq(occurrences(i))
-    sc = scores.score_a(number_grid(i), scores.freq_prediction(fr), gaps.gap_score_current(i), fr)
-    out = freq.number_report(number_grid(i), fr, sc, gaps.current_gap(i), freq.hot_cold(freq.window_freq(i)))
+    _, t = _numbers(spark, d)
+    fr, sc = _report_parts(t)
+    out = freq.number_report(t, fr, sc, gaps.current_gap_of(t), freq.hot_cold(freq.freq_of(t, ANALYSIS_WINDOW)))
     return out.selectExpr("series", "num", "cnt", r("score"), "gap", "status")
 
 
@@ -348,28 +347,33 @@ def fib_sequence_weights(spark, d):
 
 
 # ------------------------------------------------------------------ scores
-def _scored(spark, d, series=True):
-    i = src.stored(src.idx(spark, d, series), "idx")
-    fr = freq.number_freq(occurrences(i))
-    return i, fr, scores.score_a(number_grid(i), scores.freq_prediction(fr), gaps.gap_score_current(i), fr)
+def _numbers(spark, d, series=True):
+    """(index, number table): one pass over the draws gives all that is defined per number."""
+    i = src.idx(spark, d, series)
+    return i, number_table(i, [*CYCLE_WINDOWS, ANALYSIS_WINDOW])
 
 
-@query
-def freq_prediction(spark, d):
-    return scores.freq_prediction(src.freq(spark, d)).selectExpr("series", "pool", "num", r("score"))
+def _report_parts(t):
+    """(frequencies, score A) of a number table."""
+    fr = freq.freq_of(t)
+    return fr, scores.score_a(t, scores.freq_prediction(fr), gaps.gap_score_current_of(t), fr)
+
+
+def _score_a(spark, d, series=True):
+    return _report_parts(_numbers(spark, d, series)[1])[1]
 
 
 @query
 def score_a(spark, d):
-    return _scored(spark, d)[2].selectExpr("series", "pool", "num", r("score"))
+    return _score_a(spark, d).selectExpr("series", "pool", "num", r("score"))
 
 
 @query
 def score_b(spark, d):
-    i = src.stored(src.idx(spark, d), "idx")
-    fr = freq.number_freq(occurrences(i))
+    _, t = _numbers(spark, d)
+    fr = freq.freq_of(t)
     out = scores.score_b(
-        number_grid(i), fr, gaps.gap_score_mean(i), src.ml_scores(i), cycles.adaptive_cycle_weights(i),
+        t, fr, gaps.gap_score_mean_of(t), src.ml_scores(t), cycles.adaptive_cycle_weights_of(t),
         fib=weights.inverse_fib_weights(fr),
     )
     return out.selectExpr("series", "pool", "num", r("score"))
@@ -377,32 +381,37 @@ def score_b(spark, d):
 
 @query
 def score_b_lunar(spark, d):
-    i = src.stored(src.idx(spark, d), "idx")
-    fr = freq.number_freq(occurrences(i))
-    cycle = cycles.combine_lunar(cycles.adaptive_cycle_weights(i), cycles.lunar_weights(i))
-    out = scores.score_b(number_grid(i), fr, gaps.gap_score_mean(i), src.ml_scores(i), cycle, lunar=True)
+    i, t = _numbers(spark, d)
+    cycle = cycles.combine_lunar(cycles.adaptive_cycle_weights_of(t), cycles.lunar_weights(i))
+    out = scores.score_b(t, freq.freq_of(t), gaps.gap_score_mean_of(t), src.ml_scores(t), cycle, lunar=True)
     return out.selectExpr("series", "pool", "num", r("score"))
 
 
+def _blend(kind, t, ml):
+    """One of the three blends on a number table and model probabilities."""
+    fr = freq.freq_of(t)
+    fib = weights.inverse_fib_weights(fr)
+    if kind == "fibonacci":
+        return scores.blend_fibonacci(t, ml, fib)
+    cycle = cycles.adaptive_cycle_weights_of(t)
+    return scores.blend_cycle(t, ml, cycle) if kind == "cycle" else scores.blend_optimized(t, ml, fib, cycle, fr)
+
+
 @query
 def blend_fibonacci(spark, d):
-    i, fr, _ = _scored(spark, d)
-    out = scores.blend_fibonacci(number_grid(i), src.ml_scores(i), weights.inverse_fib_weights(fr))
-    return out.selectExpr("series", "pool", "num", r("score"))
+    _, t = _numbers(spark, d)
+    return _blend("fibonacci", t, src.ml_scores(t)).selectExpr("series", "pool", "num", r("score"))
 
 
 @query
 def blend_cycle(spark, d):
-    i, _, _ = _scored(spark, d)
-    out = scores.blend_cycle(number_grid(i), src.ml_scores(i), cycles.adaptive_cycle_weights(i))
-    return out.selectExpr("series", "pool", "num", r("score"))
+    _, t = _numbers(spark, d)
+    return _blend("cycle", t, src.ml_scores(t)).selectExpr("series", "pool", "num", r("score"))
 
 
 def _optimized(spark, d):
-    i, fr, _ = _scored(spark, d)
-    return scores.blend_optimized(
-        number_grid(i), src.ml_scores(i), weights.inverse_fib_weights(fr), cycles.adaptive_cycle_weights(i), fr
-    )
+    _, t = _numbers(spark, d)
+    return _blend("optimized", t, src.ml_scores(t))
 
 
 @query
@@ -472,12 +481,13 @@ def eval_models(spark, d):
 
 
 def _served(spark, d):
-    """(index, probabilities of the next draw) from a stored and loaded forest on all rows."""
+    """(number table, probabilities of the next draw) from a stored and loaded forest on all rows."""
     i = src.stored(src.idx(spark, d), "idx")
+    t = number_table(i, CYCLE_WINDOWS)
     fitted = models.fit_number_models(src.stored(features.training_features(i), "train-rows"))
     base = src.scratch(spark, "models")
     models.save_models(fitted, base)
-    return i, src.stored(models.serve(models.load_models(spark, base), i), "probabilities")
+    return t, src.stored(models.serve(models.load_models(spark, base), i), "probabilities")
 
 
 @query
@@ -487,23 +497,18 @@ def predict_next(spark, d):
 
 @query
 def blend_fibonacci_model(spark, d):
-    i, ml = _served(spark, d)
-    return scores.blend_fibonacci(number_grid(i), ml, weights.inverse_fib_weights(freq.number_freq(occurrences(i)))).selectExpr("series", "pool", "num", r("score"))
+    return _blend("fibonacci", *_served(spark, d)).selectExpr("series", "pool", "num", r("score"))
 
 
 @query
 def blend_cycle_model(spark, d):
-    i, ml = _served(spark, d)
-    return scores.blend_cycle(number_grid(i), ml, cycles.adaptive_cycle_weights(i)).selectExpr("series", "pool", "num", r("score"))
+    return _blend("cycle", *_served(spark, d)).selectExpr("series", "pool", "num", r("score"))
 
 
 @query
 def blend_optimized_model(spark, d):
     """The blend on fitted probabilities instead of the stand-in."""
-    i, ml = _served(spark, d)
-    fr = freq.number_freq(occurrences(i))
-    fib, cycle = weights.inverse_fib_weights(fr), cycles.adaptive_cycle_weights(i)
-    return scores.blend_optimized(number_grid(i), ml, fib, cycle, fr).selectExpr("series", "pool", "num", r("score"))
+    return _blend("optimized", *_served(spark, d)).selectExpr("series", "pool", "num", r("score"))
 
 
 @query
@@ -528,34 +533,34 @@ def top_combo(spark, d):
 
 @query
 def monte_carlo_combos(spark, d):
-    scored = src.stored(_scored(spark, d, False)[2], "scores")
+    scored = src.stored(_score_a(spark, d, False), "scores")
     return combo_out(combos.monte_carlo_combos(scored, mode="md5"), "cnt")
 
 
 @query
 def wheeling(spark, d):
-    return combo_out(combos.wheeling(_scored(spark, d)[2]))
+    return combo_out(combos.wheeling(_score_a(spark, d)))
 
 
 @query
 def direct_combos(spark, d):
-    return combo_out(combos.direct_combos(_scored(spark, d)[2], 24))
+    return combo_out(combos.direct_combos(_score_a(spark, d), 24))
 
 
 @query
 def generate_combos(spark, d):
-    scored = src.stored(_scored(spark, d, False)[2], "scores")
+    scored = src.stored(_score_a(spark, d, False), "scores")
     return combo_out(combos.generate_combos(scored, mode="md5"))
 
 
 @query
 def propose_chance(spark, d):
-    return combos.propose_chance(_scored(spark, d)[2], 7)
+    return combos.propose_chance(_score_a(spark, d), 7)
 
 
 @query
 def mixed_combos(spark, d):
-    scored = src.stored(_scored(spark, d)[2], "scores")
+    scored = src.stored(_score_a(spark, d), "scores")
     return combo_out(combos.mixed_combos(scored, 9, mode="md5"))
 
 
@@ -650,7 +655,7 @@ def track_performance_actual(spark, d):
 
 @query
 def picks(spark, d):
-    out = evaluate.picks(src.idx(spark, d), min_history=50, mode="md5")
+    out = evaluate.picks(src.stored(src.idx(spark, d), "idx"), min_history=50, mode="md5")
     return out.selectExpr("series", "strategy", "draw_idx", nums(), "chance")
 
 

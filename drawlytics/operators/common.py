@@ -28,7 +28,7 @@ def min_max(df: DataFrame, col: str, k: Sequence[str]) -> DataFrame:
 def on_grid(grid: DataFrame, tables: Sequence[tuple[DataFrame, str]], k: Sequence[str]) -> DataFrame:
     """``grid`` (k, pool, num) left-joined with one value column of each table,
     a missing value being 0. Tables are given as (table, column)."""
-    out = grid
+    out = grid.drop(*[c for _, c in tables])
     for df, col in tables:
         out = out.join(df.select(*k, "pool", "num", col), [*k, "pool", "num"], "left")
     return out.fillna(0.0, [c for _, c in tables])

@@ -57,14 +57,26 @@ def cycle_ratio_multi(
         .agg(*[F.sum(c.cast("bigint")).alias(f"w{i}") for i, c in enumerate(inside)])
     )
     full = number_grid(idx, game, k).join(counts, [*k, "pool", "num"], "left")
+    return _ratios(full, {w: f"w{i}" for i, w in enumerate(ws)}, game, k)
+
+
+def cycle_ratio_of(
+    table: DataFrame, windows: Sequence[int] = CYCLE_WINDOWS, game: Game = GAME, series_cols: Sequence[str] = SERIES
+) -> DataFrame:
+    """:func:`cycle_ratio_multi` from a number table that has these windows."""
+    return _ratios(table, {w: f"cnt_{w}" for w in sorted(set(windows))}, game, list(series_cols))
+
+
+def _ratios(full: DataFrame, counts: dict[int, str], game: Game, k: list[str]) -> DataFrame:
+    """Windows and the columns of their counts to ``k, w, pool, num, observed, expected, ratio``."""
     cells = F.array(
         *[
             F.struct(
                 F.lit(w).alias("w"),
-                F.coalesce(F.col(f"w{i}"), F.lit(0)).alias("observed"),
+                F.coalesce(F.col(c), F.lit(0)).alias("observed"),
                 (F.col("n_draws") if w <= 0 else F.least(F.col("n_draws"), F.lit(w))).alias("span"),
             )
-            for i, w in enumerate(ws)
+            for w, c in counts.items()
         ]
     )
     expected = F.col("span") * _drawn(game) / _size(game)
@@ -105,10 +117,29 @@ def adaptive_cycle_weights(
 ) -> DataFrame:
     """``k, pool, num, weight``: blend of the (rounded) ratios of the three
     smallest windows, scaled to 0..1 per pool."""
+    by_window = _window_weights(windows, weights)
+    return _blended(cycle_ratio_multi(idx, list(by_window), game, series_cols), by_window, series_cols)
+
+
+def adaptive_cycle_weights_of(
+    table: DataFrame,
+    windows: Sequence[int] = CYCLE_WINDOWS,
+    weights: Sequence[float] = CYCLE_WEIGHTS,
+    game: Game = GAME,
+    series_cols: Sequence[str] = SERIES,
+) -> DataFrame:
+    """:func:`adaptive_cycle_weights` from a number table that has these windows."""
+    by_window = _window_weights(windows, weights)
+    return _blended(cycle_ratio_of(table, list(by_window), game, series_cols), by_window, series_cols)
+
+
+def _window_weights(windows: Sequence[int], weights: Sequence[float]) -> dict[int, float]:
     total = sum(weights)
     scaled = [w if abs(total - 1.0) <= 1e-5 else w / total for w in weights]
-    by_window = dict(zip(_three_windows(windows), scaled))
-    ratios = cycle_ratio_multi(idx, list(by_window), game, series_cols)
+    return dict(zip(_three_windows(windows), scaled))
+
+
+def _blended(ratios: DataFrame, by_window: dict[int, float], series_cols: Sequence[str]) -> DataFrame:
     weight = sum(
         (F.lit(v) * F.max(F.when(F.col("w") == w, F.col("ratio"))) for w, v in by_window.items()), F.lit(0.0)
     )

@@ -20,6 +20,16 @@ def number_freq(occ: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFram
     )
 
 
+def freq_of(table: DataFrame, window: int | None = None, series_cols: Sequence[str] = SERIES) -> DataFrame:
+    """:func:`number_freq`, or :func:`window_freq` of one of its windows, from a number table."""
+    cnt, seen = ("cnt", "seen_key") if window is None else (f"cnt_{window}", f"seen_{window}")
+    drawn = table.where(F.col(cnt) > 0)
+    total = F.sum(cnt).over(pool_window(series_cols))
+    return drawn.select(
+        *series_cols, "pool", "num", F.col(cnt).alias("cnt"), (F.col(cnt) / total).alias("rel"), F.col(seen).alias("seen_key")
+    )
+
+
 def number_freq_filled(idx: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES) -> DataFrame:
     """``k, n_draws, pool, num, cnt`` for every number of the game."""
     counts = occurrences(idx, game, series_cols).groupBy(*series_cols, "pool", "num").agg(

@@ -85,33 +85,46 @@ def returns_stats(gaps: DataFrame, grid: DataFrame, series_cols: Sequence[str] =
     return gap_stats(gaps, grid, series_cols)
 
 
-def _current(idx: DataFrame, game: Game, k: Sequence[str], how: str) -> DataFrame:
+def _current(idx: DataFrame, game: Game, k: Sequence[str]) -> DataFrame:
     stats = number_stats(occurrences(idx, game, k), k)
-    return number_grid(idx, game, k).join(stats, [*k, "pool", "num"], how)
+    return number_grid(idx, game, k).join(stats, [*k, "pool", "num"], "left")
+
+
+def current_gap_of(table: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFrame:
+    """:func:`current_gap` from a number table."""
+    gap = F.coalesce(F.col("n_draws") - 1 - F.col("last_idx"), F.col("n_draws"))
+    return table.select(*series_cols, "pool", "num", gap.alias("gap"))
+
+
+def gap_score_current_of(table: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFrame:
+    """:func:`gap_score_current` from a number table."""
+    score = F.col("n_draws") - 1 - F.col("last_idx")
+    return table.where("last_idx IS NOT NULL").select(*series_cols, "pool", "num", score.cast("double").alias("score"))
+
+
+def gap_score_mean_of(table: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFrame:
+    """:func:`gap_score_mean` from a number table."""
+    mean = (F.col("n_draws") - 1 - F.col("first_idx")) / F.nullif("cnt", F.lit(0))
+    score = F.coalesce(mean, F.col("n_draws").cast("double"))
+    return table.select(*series_cols, "pool", "num", score.alias("score"))
 
 
 def current_gap(idx: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES) -> DataFrame:
     """``k, pool, num, gap``: draws since the last appearance, the history length
     for a number never drawn."""
-    gap = F.coalesce(F.col("n_draws") - 1 - F.col("last_idx"), F.col("n_draws"))
-    return _current(idx, game, series_cols, "left").select(*series_cols, "pool", "num", gap.alias("gap"))
+    return current_gap_of(_current(idx, game, series_cols), series_cols)
 
 
 def gap_score_current(idx: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES) -> DataFrame:
     """``k, pool, num, score``: the current gap; numbers never drawn have no row."""
-    score = F.col("n_draws") - 1 - F.col("last_idx")
-    return _current(idx, game, series_cols, "inner").select(
-        *series_cols, "pool", "num", score.cast("double").alias("score")
-    )
+    return gap_score_current_of(_current(idx, game, series_cols), series_cols)
 
 
 def gap_score_mean(idx: DataFrame, game: Game = GAME, series_cols: Sequence[str] = SERIES) -> DataFrame:
     """``k, pool, num, score``: mean distance over all appearances, the open tail
     included. The distances telescope to ``(N - 1 - first) / appearances``;
     never drawn gives the history length."""
-    mean = (F.col("n_draws") - 1 - F.col("first_idx")) / F.col("cnt")
-    score = F.coalesce(mean, F.col("n_draws").cast("double"))
-    return _current(idx, game, series_cols, "left").select(*series_cols, "pool", "num", score.alias("score"))
+    return gap_score_mean_of(_current(idx, game, series_cols), series_cols)
 
 
 def gaps_at_draw(

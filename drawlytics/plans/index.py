@@ -102,3 +102,31 @@ def number_stats(occ: DataFrame, series_cols: Sequence[str] = SERIES) -> DataFra
         F.max("draw_idx").alias("last_idx"),
         F.min(F.col("pos") * F.lit(ENCOUNTER_STRIDE) + F.col("draw_idx")).alias("seen_key"),
     )
+
+
+def number_table(
+    idx: DataFrame, windows: Sequence[int] = (), game: Game = GAME, series_cols: Sequence[str] = SERIES
+) -> DataFrame:
+    """The written statistics of every number of the game, from one pass over the draws.
+
+    ``k, pool, num, n_draws`` with :func:`number_stats` (count 0 and nulls if never
+    drawn) and, for each of ``windows``, the same of the last ``w`` draws as
+    ``cnt_w`` and ``seen_w``. What is defined per number, frequencies, gaps,
+    cycles, weights and scores, reads this table instead of the draws."""
+    k = [*series_cols, "n_draws"]
+    rows = idx if "n_draws" in idx.columns else with_length(idx, series_cols)
+    cells = occurrences(rows, game, k)
+    key = F.col("pos") * F.lit(ENCOUNTER_STRIDE) + F.col("draw_idx")
+    stats = [
+        F.count(F.lit(1)).alias("cnt"),
+        F.min("draw_idx").alias("first_idx"),
+        F.max("draw_idx").alias("last_idx"),
+        F.min(key).alias("seen_key"),
+    ]
+    for w in windows:
+        inside = F.col("draw_idx") >= F.col("n_draws") - w if w > 0 else F.lit(True)
+        stats += [F.count_if(inside).alias(f"cnt_{w}"), F.min(F.when(inside, key)).alias(f"seen_{w}")]
+    drawn = materialize(cells.groupBy(*k, "pool", "num").agg(*stats), "drawn-numbers")
+    grid = drawn.select(*k).distinct().select(*k, F.inline(domain_array(game)))
+    counts = ["cnt", *(f"cnt_{w}" for w in windows)]
+    return materialize(grid.join(drawn, [*k, "pool", "num"], "left").fillna(0, counts), "number-table")
