@@ -17,8 +17,10 @@ MASKS = ("11111", "110111", "1011011", "1101011", "11100011")
 #: Letters, digits and everything beyond ASCII make words; the rest separates them.
 SEPARATOR = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 TABLE_BITS = 22
+#: Words that an overlap may gain or lose in one place: so far apart alignments still add up.
+SLACK = 8
 #: Bytes of text looked at together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def seeds(words: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -44,25 +46,29 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Items:
     """One shard of the benchmark: word hashes and, per mask, sorted seed hashes with item and place."""
 
-    def __init__(self, texts: list[str], masks: Sequence[str], min_words: int):
+    def __init__(self, texts: list[str], masks: Sequence[str], min_words: int, min_exact: int):
         self.words, self.bounds = _word_hashes(pa.array(texts, pa.string()))
         self.size = np.diff(self.bounds)
+        whole = [("1" * n, self.size == n) for n in range(min_exact, min_words)]
         self.tables = []
-        for mask in masks:
+        for mask, own in [*((m, self.size >= min_words) for m in masks), *whole]:
+            if not own.any():
+                continue
             h, place = seeds(self.words, self.bounds, mask)
-            item = np.searchsorted(self.bounds, place, side="right") - 1
             # Texts without a word repeat a bound; the last text that begins there owns the word.
-            long = self.size[item] >= min_words
-            order = np.argsort(h[long], kind="stable")
-            h, item, place = h[long][order], item[long][order], place[long][order]
+            item = np.searchsorted(self.bounds, place, side="right") - 1
+            keep = own[item]
+            order = np.argsort(h[keep], kind="stable")
+            h, item, place = h[keep][order], item[keep][order], place[keep][order]
             known = np.zeros(1 << TABLE_BITS, dtype=bool)
             known[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
             self.tables.append((mask, h, item, place - self.bounds[item], known))
+        self.needed = np.where(self.size >= min_words, -1, self.size)
 
     def overlaps(self, column: pa.Array, identity: float) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, first word, equal words) of every verified overlap, the best of each row and item."""
         words, bounds = _word_hashes(column)
-        found = []
+        found = [np.empty((0, 3), dtype=np.int64)]
         for mask, h, item, place, known in self.tables:
             own, at = seeds(words, bounds, mask)
             hit = known[(own & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
@@ -70,30 +76,48 @@ class Items:
             lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
             n = hi - lo
             entry = np.repeat(lo, n) + ragged(n)
-            found.append(np.column_stack([item[entry], np.repeat(at, n) - place[entry]]))
-        places = np.unique(np.concatenate(found), axis=0)
-        # The text that the hit lies in also holds the whole overlap.
-        row = np.searchsorted(bounds, places[:, 1], side="right") - 1
-        item, first = places[:, 0], places[:, 1]
-        size = self.size[item]
-        fits = (first >= 0) & (row >= 0)
-        fits[fits] &= first[fits] + size[fits] <= bounds[row[fits] + 1]
-        item, first, row, size = item[fits], first[fits], row[fits], size[fits]
-        if not len(item):
+            at = np.repeat(at, n)
+            row = np.searchsorted(bounds, at, side="right") - 1
+            found.append(np.column_stack([row, item[entry], at - place[entry]]))
+        row, item, first = np.unique(np.concatenate(found), axis=0).T
+        if not len(row):
             return
-        shift = ragged(size)
-        equal = words[np.repeat(first, size) + shift] == self.words[np.repeat(self.bounds[item], size) + shift]
-        same = np.add.reduceat(equal.astype(np.int64), np.cumsum(size) - size)
-        good = same >= np.ceil(identity * size - 1e-9)
+        # The part of the item that lies inside the text, word by word.
+        size = self.size[item]
+        begin, end = np.maximum(0, bounds[row] - first), np.minimum(size, bounds[row + 1] - first)
+        length = end - begin
+        place = np.repeat(begin, length) + ragged(length)
+        equal = words[np.repeat(first, length) + place] == self.words[np.repeat(self.bounds[item], length) + place]
+        starts = np.cumsum(length) - length
+        same = np.add.reduceat(equal.astype(np.int64), starts)
+        needed = np.where(self.needed[item] < 0, np.ceil(identity * size - 1e-9).astype(np.int64), size)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, i, f, s in zip(row[good].tolist(), item[good].tolist(), (first[good] - bounds[row[good]]).tolist(), same[good].tolist()):
-            if (-s, f) < best.get((r, i), (0, 0)):
-                best[r, i] = -s, f
+
+        def offer(good: np.ndarray, r: np.ndarray, i: np.ndarray, f: np.ndarray, s: np.ndarray) -> None:
+            for r, i, f, s in zip(r[good].tolist(), i[good].tolist(), np.maximum(f - bounds[r], 0)[good].tolist(), s[good].tolist()):
+                if (-s, f) < best.get((r, i), (0, 0)):
+                    best[r, i] = -s, f
+
+        offer(same >= needed, row, item, first, same)
+        # Alignments of one item a few words apart: added or missing words lie between them. Words count once, and only with an equal neighbour.
+        apart = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(first) > SLACK)
+        group = np.concatenate([[0], np.cumsum(apart)])
+        several = np.bincount(group)[group] > 1
+        inner = np.ones(len(equal), dtype=bool)
+        inner[starts] = False
+        pair = equal[1:] & equal[:-1] & inner[1:]
+        firm = np.concatenate([[False], pair]) | np.concatenate([pair, [False]])
+        owner = np.repeat(np.arange(len(row)), length)
+        keep = firm & several[owner]
+        cells = np.unique(np.column_stack([group[owner[keep]], place[keep]]), axis=0)
+        both = np.bincount(cells[:, 0], minlength=group[-1] + 1)
+        lead = np.unique(group, return_index=True)[1]
+        offer((both >= needed[lead]) & (self.needed[item[lead]] < 0), row[lead], item[lead], first[lead], both)
         for (r, i), (s, f) in best.items():
             yield r, i, f, -s
 
 
-def shards(benchmark: DataFrame, id_col: str, text_col: str, masks: Sequence[str], min_words: int, shard_chars: int) -> Iterator[tuple[list, Items]]:
+def shards(benchmark: DataFrame, id_col: str, text_col: str, masks: Sequence[str], min_words: int, min_exact: int, shard_chars: int) -> Iterator[tuple[list, Items]]:
     """Ids and indexed items, at most about ``shard_chars`` characters at a time on the driver."""
     items = materialize(benchmark.select(F.col(id_col).alias("id"), F.lower(whole_text(text_col)).alias("text")), "items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -101,7 +125,7 @@ def shards(benchmark: DataFrame, id_col: str, text_col: str, masks: Sequence[str
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
         if rows:
-            yield [r["id"] for r in rows], Items([r["text"] for r in rows], masks, min_words)
+            yield [r["id"] for r in rows], Items([r["text"] for r in rows], masks, min_words, min_exact)
 
 
 def contaminations(
@@ -113,17 +137,21 @@ def contaminations(
     item_text_col: str = "text",
     identity: float = 0.8,
     min_words: int = 8,
+    min_exact: int = 4,
     masks: Sequence[str] = MASKS,
     shard_chars: int = 4_000_000,
 ) -> DataFrame:
     """(id, item id, first_word, n_equal, n_item) for every item found in a document.
 
     Words are lower-cased runs of letters, digits and characters beyond ASCII.
-    An item is found where an alignment without gaps, proposed by a seed hit,
-    has at least ``identity`` of the item's words equal; the best place of each
-    item is returned per row. Items under ``min_words`` words are no evidence
-    and never match. The seeds of ``shard_chars`` characters of the benchmark are
-    joined at a time, broadcast by that bound; a larger benchmark takes more
+    An item is found where at least ``identity`` of its words are equal to words
+    of the document: on one alignment that a seed hit proposes, which may begin
+    before the text or end behind it, or on alignments a few words apart, between
+    which words were added or are missing. The best place of each item is
+    returned per row. Items under ``min_words`` words must stand there whole and
+    unchanged; those under ``min_exact`` are no evidence and never match. The seeds
+    of ``shard_chars`` characters of the benchmark are joined at a time, broadcast
+    by that bound; a larger benchmark takes more
     passes over the documents, which are never shuffled. Null texts match
     nothing, null ids and repeated rows come back as they are; other columns are
     ignored; an empty table on either side gives no rows.
@@ -134,7 +162,7 @@ def contaminations(
     id_name, schema = slim.columns[0], slim.select(F.col(id_col)).schema
     schema = schema.add("_item", item_type).add("first_word", "long").add("n_equal", "long").add("n_item", "long")
     out = None
-    for ids, items in shards(benchmark, item_id_col, item_text_col, masks, min_words, shard_chars):
+    for ids, items in shards(benchmark, item_id_col, item_text_col, masks, min_words, min_exact, shard_chars):
         held = shared(spark, (ids, items))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,55 @@ def test_substitutions_are_tolerated(spark):
     assert all(v == (5, n - d % 7, n) for (d, _), v in got.items())
 
 
+def test_cut_lengthened_and_short_items(spark):
+    """An item cut at either end of a document, one with added or missing words, and short items word for word."""
+    own, n = list(ITEM), len(ITEM)
+    docs = [
+        (1, "x y z " + " ".join(own[:17])),
+        (2, " ".join(own[2:]) + " and more"),
+        (3, "x " + " ".join([*own[:9], "really", *own[9:]])),
+        (4, "x " + " ".join([*own[:6], "a", "b", "c", *own[6:13], *own[14:]])),
+        (5, " ".join(own[:14])),
+        (6, "q q " + " ".join(own[:8] + "far away from here stand many other words of no use".split() + own[8:])),
+        (7, "so seven words make THIS short item, yes"),
+        (8, "so seven words make this other item"),
+        (9, "one two three"),
+    ]
+    items = [(1, " ".join(ITEM)), (2, "Seven words make this short item yes"), (3, "one two three")]
+    got = run(spark, docs, items)
+    assert got == {(1, 1): (3, 17, n), (2, 1): (0, n - 2, n), (3, 1): (1, n, n), (4, 1): (1, n - 1, n), (7, 2): (1, 7, 7)}
+    assert run(spark, docs, items, min_exact=3)[9, 3] == (0, 3, 3)
+
+
+def test_every_alignment_of_the_tables(spark, sf_dir, documents, texts):
+    """Against all alignments of all documents and items, tried one by one without seeds."""
+    import re
+
+    import numpy as np
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    number: dict = {}
+
+    def numbers(text):
+        return np.array([number.setdefault(w, len(number)) for w in word.findall(text.lower())], dtype=np.int64)
+
+    items = {r["item_id"]: numbers(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {}
+    for d, t in texts.items():
+        own = numbers(t)
+        order, sorted_own = np.argsort(own, kind="stable"), np.sort(own)
+        for i, item in items.items():
+            lo, hi = np.searchsorted(sorted_own, item, "left"), np.searchsorted(sorted_own, item, "right")
+            starts = [s for p, (a, b) in enumerate(zip(lo, hi)) for s in (order[a:b] - p).tolist()]
+            if starts:
+                first, same = np.unique(starts, return_counts=True)
+                if same.max() >= np.ceil(0.8 * len(item) - 1e-9):
+                    want[d, i] = int(same.max())
+    got = {(r["doc_id"], r["item_id"]): r["n_equal"] for r in decontam.contaminations(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    assert want and {k: got.get(k) for k in want} == want
+    assert all(k in want or v >= 0.8 * len(items[k[1]]) for k, v in got.items())
+
+
 def test_exact_passages_of_the_tables(spark, sf_dir, documents, texts):
     import re
 
