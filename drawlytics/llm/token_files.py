@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 from pyspark.sql.window import Window
 
 from drawlytics.llm.common import input_tasks, utf8, whole_text
-from drawlytics.llm.packing import WordEncoder
+from drawlytics.llm.packing import worker_encoder
 from drawlytics.plans.store import materialize
 
 #: Longest code word that still fits a 32-bit window at any bit of its first byte.
@@ -133,7 +133,7 @@ def _token_rows(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str
     schema = slim.select("id").schema.add("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer_path, known_words), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer_path, known_words), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, 1024):
                 part = batch.slice(first, 1024)
@@ -211,7 +211,7 @@ def write(
     every: int = 512,
     block_tokens: int = 1 << 18,
     shard_tokens: int = 1 << 26,
-    known_words: int = 300_000,
+    known_words: int = 1_000_000,
 ) -> None:
     """Encodes every document and writes the files described above to the new folder ``path``.
 
