@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -22,6 +23,7 @@ from drawlytics.params import (
     Game,
 )
 from drawlytics.plans.index import SERIES
+from drawlytics.plans.store import materialize, session_root
 
 
 def _arrays(ranked: DataFrame, k: Sequence[str]) -> DataFrame:
@@ -328,34 +330,76 @@ def mixed_combos(
     )
 
 
+def _block_best(blocks: DataFrame, wanted: DataFrame, k: list[str]) -> DataFrame:
+    """``k, blk, best``: the best candidate (gain, -id, mask) of each wanted block (``k, blk, covered``). Other blocks are not read."""
+    numbers = [r["blk"] for r in wanted.select("blk").distinct().collect()]
+    gain = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("covered")))
+    one = F.struct(gain.alias("gain"), (-F.col("combo_id")).alias("first"), "mask")
+    rows = blocks.where(F.col("blk").isin(numbers)).join(wanted, [*k, "blk"])
+    return materialize(rows.groupBy(*k, "blk").agg(F.max(one).alias("best")), "cover-best")
+
+
 def cover_grid(
-    pool: DataFrame, n: int = 10, game: Game = GAME, series_cols: Sequence[str] = SERIES
+    pool: DataFrame, n: int = 10, game: Game = GAME, series_cols: Sequence[str] = SERIES, block_rows: int = 1_000_000
 ) -> DataFrame:
     """``k, ord, combo_id, nums``: ``n`` combinations of the pool chosen one after
     the other, each adding the most numbers not covered yet (the smaller
     ``combo_id`` on ties; the first one is the first candidate).
 
-    Each round is one aggregate for all series at once; what is carried from
-    round to round is one bit mask and the chosen ids per series."""
+    Equal combinations are folded, then dealt to blocks of about ``block_rows``.
+    What a candidate adds only shrinks, so a block's best of an earlier round
+    bounds it: a round looks at the block of the highest bound, then at those
+    whose bound beats what was found there, and reads no other. Candidates meet
+    their series by (series, block); per series travel one row per block.
+    """
     if game.main_max > 63:
         raise ValueError("cover_grid packs the numbers of a game into 63 bits")
     k = list(series_cols)
+    spark = pool.sparkSession
     mask = F.expr("aggregate(nums, 0L, (acc, x) -> acc | shiftleft(1L, x - 1))")
-    cands = pool.select(*k, "combo_id", mask.alias("mask"))
-    state = cands.groupBy(*k).agg(
-        F.array(F.min("combo_id")).alias("chosen"), F.min_by("mask", "combo_id").alias("covered")
-    )
-    for _ in range(n - 1):
-        fresh = ~F.array_contains("chosen", F.col("combo_id"))
-        gain = F.bit_count(F.col("mask").bitwiseAND(F.bitwise_not("covered")))
-        key = F.when(fresh, F.struct(gain.alias("gain"), (-F.col("combo_id")).alias("first"), F.col("mask").alias("mask")))
-        best = cands.join(state, k).groupBy(*k, "chosen", "covered").agg(F.max(key).alias("best"))
-        state = best.select(
-            *k,
-            F.when(F.col("best").isNotNull(), F.concat("chosen", F.array(-F.col("best.first"))))
-            .otherwise(F.col("chosen"))
-            .alias("chosen"),
-            F.coalesce(F.col("covered").bitwiseOR(F.col("best.mask")), F.col("covered")).alias("covered"),
+    parts = min(10_000, -(-pool.count() // block_rows) or 1)
+    path = f"{session_root(spark)}/cover-blocks-{uuid.uuid4().hex}"
+    folded = pool.select(*k, "combo_id", mask.alias("mask")).groupBy(*k, "mask").agg(F.min("combo_id").alias("combo_id"))
+    folded = folded.withColumn("blk", F.pmod(F.xxhash64(*k, "mask"), F.lit(parts)).cast("int"))
+    folded.repartition(max(parts, 1), "blk").write.partitionBy("blk").parquet(path)
+    blocks = spark.read.schema(folded.schema).parquet(path)
+    first = blocks.groupBy(*k).agg(F.min(F.struct("combo_id", "mask")).alias("first"))
+    state = materialize(first.select(*k, F.array("first.combo_id").alias("chosen"), F.col("first.mask").alias("covered")), "cover")
+    bounds, spare = materialize(blocks.select(*k, "blk").distinct(), "cover-blocks"), None
+    for turn in range(1, n):
+        covered = state.select(*k, "covered")
+        if turn == 1 or parts == 1:
+            bounds = _block_best(blocks, bounds.select(*k, "blk").join(covered, k), k)
+        else:
+            # The block that leads each series, then all that may beat what it really has.
+            lead = bounds.groupBy(*k).agg(F.max_by("blk", "best").alias("blk"))
+            led = _block_best(blocks, lead.join(covered, k), k)
+            rest = bounds.join(led.select(*k, "blk"), [*k, "blk"], "left_anti")
+            beaten = rest.join(led.select(*k, F.col("best").alias("found")), k).where("best > found").select(*k, "blk")
+            beaten = materialize(beaten, "cover-rivals")
+            seen = led if beaten.isEmpty() else led.unionByName(_block_best(blocks, beaten.join(covered, k), k))
+            old = rest.join(beaten, [*k, "blk"], "left_anti")
+            bounds = materialize(seen.unionByName(old.select(*seen.columns)), "cover-bounds")
+        best = bounds.groupBy(*k).agg(F.max("best").alias("best"))
+        state = materialize(state.join(best, k), "cover")
+        adds = F.col("best.gain") > 0
+        picked = F.when(adds, -F.col("best.first"))
+        if not state.where(~adds).isEmpty():
+            # Everything coverable is covered: the smallest ids not chosen, copies included, of the n + 1 smallest.
+            if spare is None:
+                age = F.row_number().over(W.partitionBy(*k).orderBy("combo_id"))
+                few = pool.select(*k, "combo_id").withColumn("age", age).where(F.col("age") <= n)
+                spare = materialize(few.groupBy(*k).agg(F.array_sort(F.collect_list("combo_id")).alias("spare")), "cover-spare")
+            state = state.join(spare, k)
+            picked = F.coalesce(picked, F.get(F.array_except("spare", "chosen"), F.lit(0)))
+        state = state.withColumn("picked", picked)
+        state = materialize(
+            state.select(
+                *k,
+                F.when(F.col("picked").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array("picked"))).alias("chosen"),
+                F.when(adds, F.col("covered").bitwiseOR(F.col("best.mask"))).otherwise(F.col("covered")).alias("covered"),
+            ),
+            "cover",
         )
     picked = state.select(*k, F.posexplode("chosen").alias("at", "combo_id"))
     return picked.join(pool.select(*k, "combo_id", "nums"), [*k, "combo_id"]).select(

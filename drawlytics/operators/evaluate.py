@@ -113,6 +113,8 @@ def track_performance(
     combos = materialize(combos.select(*k, "combo_id", "nums", "chance"), "combos")
     wanted = exploded(combos, "nums", [*k, "combo_id", F.col("chance").alias("played")])
     drawn = exploded(idx.select(*k, "chance", F.array(*game.ball_cols).alias("nums")), "nums", [*k, "chance"])
+    # Only subsets that some combination has are counted; AQE picks the form of this join.
+    drawn = drawn.join(wanted.select(*k, "sub").distinct(), [*k, "sub"], "left_semi")
     counts = drawn.groupBy(*k, "sub", "j", "chance").agg(F.count(F.lit(1)).alias("n"))
     found = join_hot(wanted, counts.drop("j"), [*k, "sub"])
     hit = F.lit(True) if chance_mode == "actual" else F.coalesce(F.col("chance") == F.col("played"), F.lit(False))

@@ -317,3 +317,36 @@ def test_cover_prefers_new_numbers(spark):
 def test_erfc_p_value(idx):
     r = evaluate.walk_forward_summary(evaluate.walk_forward(idx, "hot")).first()
     assert r["p"] == pytest.approx(math.erfc(abs(r["z"]) / math.sqrt(2)))
+
+
+def greedy(pool, n):
+    """The cover of one list of (id, mask), one pick after the other over all candidates."""
+    first = min(pool)
+    chosen, covered = [first[0]], first[1]
+    for _ in range(n - 1):
+        left = [(-(m & ~covered).bit_count(), i, m) for i, m in pool if i not in chosen]
+        if left:
+            gain, i, m = min(left)
+            chosen.append(i)
+            covered |= m if gain else 0
+    return chosen
+
+
+@pytest.mark.parametrize("block_rows", [10**6, 60])
+def test_cover_in_blocks_equals_a_scan(spark, monkeypatch, block_rows):
+    """Copies, a hot series, series with few candidates and more picks than numbers to cover; later rounds read few blocks."""
+    import random
+
+    rng = random.Random(8)
+    data = [(s, i, sorted(rng.sample(range(1, top + 1), 5))) for s, n, top in (("hot", 900, 49), ("small", 40, 12), ("tiny", 3, 49)) for i in range(n)]
+    data += [("hot", 900 + i, data[i][2]) for i in range(300)]
+    pool = spark.createDataFrame(data, "series string, combo_id int, nums array<int>").repartition(5)
+    asked, plain = [], combos._block_best
+    monkeypatch.setattr(combos, "_block_best", lambda b, w, k: asked.append(w.count()) or plain(b, w, k))
+    got = {}
+    for r in combos.cover_grid(pool, 14, block_rows=block_rows).orderBy("ord").collect():
+        got.setdefault(r["series"], []).append(r["combo_id"])
+    want = {s: greedy([(i, sum(1 << (x - 1) for x in nums)) for t, i, nums in data if t == s], 14) for s in ("hot", "small", "tiny")}
+    assert got == want
+    if block_rows == 60:
+        assert asked[0] > 30 and sum(asked[1:]) < 13 * asked[0] / 2
