@@ -322,10 +322,15 @@ odds AS (
 """
 
 
-def cover_rounds(n: int = 10) -> str:
+#: Candidates of a cover: id and numbers in ascending order.
+ALL_DRAWS = "SELECT series, draw_idx AS id, list_sort([n1, n2, n3, n4, n5]) AS nums FROM idx"
+MIXED = "SELECT series, combo_id AS id, list_transform(string_split(nums, '-'), lambda x: CAST(x AS INTEGER)) AS nums FROM kept WHERE combo_id <= 20"
+
+
+def cover_rounds(candidates: str = ALL_DRAWS, n: int = 10) -> str:
     out = [
-        "pool AS (SELECT series, draw_idx AS id, (1::BIGINT << (n1 - 1)) | (1::BIGINT << (n2 - 1)) | (1::BIGINT << (n3 - 1))"
-        " | (1::BIGINT << (n4 - 1)) | (1::BIGINT << (n5 - 1)) AS mask FROM idx)",
+        f"cands AS ({candidates})",
+        "pool AS (SELECT series, id, list_reduce(list_transform(nums, lambda x: 1::BIGINT << (x - 1)), lambda a, b: a | b) AS mask FROM cands)",
         "s1 AS (SELECT series, [MIN(id)] AS chosen, arg_min(mask, id) AS covered FROM pool GROUP BY 1)",
     ]
     for i in range(2, n + 1):
@@ -336,9 +341,8 @@ def cover_rounds(n: int = 10) -> str:
             f" AND NOT list_contains(s.chosen, p.id)) WHERE rn = 1)"
         )
     out.append(
-        f"cover AS (SELECT c.series, c.ord, c.id AS combo_id, list_sort([n1, n2, n3, n4, n5]) AS nums FROM ("
-        f"SELECT series, UNNEST(chosen) AS id, generate_subscripts(chosen, 1) AS ord FROM s{n}) c"
-        " JOIN idx i ON i.series = c.series AND i.draw_idx = c.id)"
+        f"cover AS (SELECT c.series, c.ord, c.id AS combo_id, nums FROM ("
+        f"SELECT series, UNNEST(chosen) AS id, generate_subscripts(chosen, 1) AS ord FROM s{n}) c JOIN cands USING (series, id))"
     )
     return ", ".join(out)
 
@@ -386,9 +390,9 @@ ar AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series, pool ORDER BY round(sco
 
 
 def monte_carlo(sims: int = 5000) -> str:
-    clock = "-ln(GREATEST({u}, 1e-300)) / s.score"
-    um = uniform("42", "'main'", "s.series", "sim", "s.num")
-    uc = uniform("42", "'chance'", "s.series", "sim", "s.num")
+    clock = "-ln({u}) / s.score"
+    row = "('0x' || substr(md5(concat_ws('|', '42', '{p}', s.series)), 1, 7))::BIGINT"
+    um, uc = (f"(({keyed('sim', 's.num', row.format(p=p))} + 0.5::DOUBLE) / 2147483647)" for p in ("main", "chance"))
     return f"""
 sims AS (SELECT CAST(range AS INTEGER) AS sim FROM range(0, {sims})),
 clocks AS (
@@ -846,6 +850,10 @@ WHERE combo_id <= 9""", mixed())
     out["cover_grid"] = many(
         " SELECT series, CAST(ord AS INTEGER) AS ord, combo_id, array_to_string(nums, '-') AS nums FROM cover", cover_rounds()
     )
+    out["cover_mixed"] = many(
+        " SELECT series, CAST(ord AS INTEGER) AS ord, combo_id, array_to_string(nums, '-') AS nums FROM cover",
+        mixed(20) + ", " + cover_rounds(MIXED),
+    )
     out["recurring_numbers"] = many("""
 SELECT series, CAST(rnk AS INTEGER) AS rnk, num, cnt FROM (SELECT series, num, COUNT(*) AS cnt,
   ROW_NUMBER() OVER (PARTITION BY series ORDER BY COUNT(*) DESC, MIN(ord * 1000 + pos)) AS rnk

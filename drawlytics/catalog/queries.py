@@ -534,7 +534,7 @@ def top_combo(spark, d):
 @query
 def monte_carlo_combos(spark, d):
     scored = src.stored(_score_a(spark, d, False), "scores")
-    return combo_out(combos.monte_carlo_combos(scored, mode="md5"), "cnt")
+    return combo_out(combos.monte_carlo_combos(scored), "cnt")
 
 
 @query
@@ -550,7 +550,7 @@ def direct_combos(spark, d):
 @query
 def generate_combos(spark, d):
     scored = src.stored(_score_a(spark, d, False), "scores")
-    return combo_out(combos.generate_combos(scored, mode="md5"))
+    return combo_out(combos.generate_combos(scored))
 
 
 @query
@@ -576,6 +576,13 @@ def cover_grid(spark, d):
     return _covered(spark, d).selectExpr("series", "ord", "combo_id", nums())
 
 
+@query
+def cover_mixed(spark, d):
+    """Ten of twenty mixed combinations that cover the most numbers."""
+    made = src.stored(combos.mixed_combos(src.stored(_score_a(spark, d), "scores"), 20, mode="md5"), "mixed")
+    return combos.cover_grid(made.select("series", "combo_id", "nums"), 10).selectExpr("series", "ord", "combo_id", nums())
+
+
 @query
 def recurring_numbers(spark, d):
     return combos.recurring_numbers(_covered(spark, d))

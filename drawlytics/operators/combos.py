@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from drawlytics.functions.sampling import quote, with_floyd_picks, with_weighted_subset
 from drawlytics.operators.common import pool_window
+from drawlytics.operators.forest import PRIME, key as keyed
 from drawlytics.operators.scores import rank_scores
 from drawlytics.params import (
     CHANCE,
@@ -105,35 +106,24 @@ def _chunks(weights: DataFrame, sims: int, k: Sequence[str], chunk: int = 4000)
     )
 
 
-def _sampled_by_sql(chunks: DataFrame, seed: int, mode: str, game: Game, k: list[str]) -> DataFrame:
-    drawn = chunks.withColumn("sim", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)))
-    for pool, pick, out in ((MAIN, game.main_pick, "nums"), (CHANCE, 1, "extra")):
-        parts = [str(seed), quote(pool), *k, "sim"]
-        drawn = with_weighted_subset(drawn, f"w_{pool}", parts, pick, mode, out)
-    return drawn.select(*k, "sim", "nums", F.get("extra", F.lit(0)).alias("chance"))
-
-
 def _lowest_clocks(weights: np.ndarray, key: int, sims: np.ndarray, pick: int) -> np.ndarray:
-    """(sims, pick) ascending positions of the smallest ``-ln(u)/w``. ``u`` is the
-    mixed counter (key, simulation, position); empty when weights run short."""
+    """(sims, pick) ascending positions of the smallest ``-ln(u)/w``. ``u`` is a
+    hash of (simulation, position, key) in whole numbers, so any engine can
+    repeat it; empty when weights run short."""
     alive = np.flatnonzero(weights > 0)
     if len(alive) < pick:
         return np.zeros((0, pick), dtype=np.int32)
-    z = (sims[:, None].astype(np.uint64) << np.uint64(16)) + (alive + 1).astype(np.uint64)
-    z = np.uint64(key & (2**64 - 1)) + z * np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
-    clock = -np.log(np.maximum(u, 1e-300)) / weights[alive]
+    u = (keyed(sims[:, None].astype(np.int64), alive + 1, np.int64(key)) + 0.5) / PRIME
+    clock = -np.log(u) / weights[alive]
     best = np.argpartition(clock, pick - 1, axis=1)[:, :pick]
     return np.sort(alive[best] + 1, axis=1).astype(np.int32)
 
 
-def _sampled_by_array(chunks: DataFrame, seed: int, game: Game, k: list[str]) -> DataFrame:
-    """The same sampling on whole chunks of simulations as arrays."""
+def _sampled(chunks: DataFrame, seed: int, game: Game, k: list[str]) -> DataFrame:
+    """``k, sim, nums, chance``: weighted samples without replacement, whole chunks of simulations as arrays."""
     keyed = chunks.select(
         *k, "lo", "hi", "w_main", "w_chance",
-        *[F.xxhash64(F.lit(seed), F.lit(p), *k).alias(f"key_{p}") for p in (MAIN, CHANCE)],
+        *[F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(p), *k)), 1, 7), 16, 10).cast("long").alias(f"key_{p}") for p in (MAIN, CHANCE)],
     )
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name in k)
     schema = ", ".join(x for x in (types, "sim int, nums array<int>, chance int") if x)
@@ -168,20 +158,14 @@ def monte_carlo_combos(
     sims: int = MC_SIMULATIONS,
     top: int = 5,
     seed: int = 42,
-    mode: str = "xxhash",
     game: Game = GAME,
     series_cols: Sequence[str] = SERIES,
 ) -> DataFrame:
     """The ``top`` most frequent of ``sims`` weighted samples without replacement
     (first seen first on ties) with column ``cnt``; the i-th combination takes
-    the i-th most frequent sampled chance number. ``mode='md5'`` can be repeated
-    in plain SQL, the default runs on arrays and is far faster."""
+    the i-th most frequent sampled chance number."""
     k = list(series_cols)
-    chunks = _chunks(_score_arrays(scores, k), sims, k)
-    if mode == "md5":
-        drawn = _sampled_by_sql(chunks, seed, mode, game, k)
-    else:
-        drawn = _sampled_by_array(chunks, seed, game, k)
+    drawn = _sampled(_chunks(_score_arrays(scores, k), sims, k), seed, game, k)
     combos = (
         drawn.where(F.size("nums") == game.main_pick)
         .groupBy(*k, "nums")
@@ -251,29 +235,29 @@ def generate_combos(
     count: int = 5,
     sims: int = MC_SIMULATIONS,
     seed: int = 42,
-    mode: str = "xxhash",
     game: Game = GAME,
     series_cols: Sequence[str] = SERIES,
 ) -> DataFrame:
     """``count`` combinations per series from the first method that yields
-    enough: Monte Carlo, wheeling, direct slices."""
+    enough: Monte Carlo, wheeling, direct slices. A method runs only for the
+    series that the one before left short; what the last yields is kept."""
     k = list(series_cols)
     methods = [
-        monte_carlo_combos(scores, sims, count, seed, mode, game, k).drop("cnt"),
-        wheeling(scores, game=game, series_cols=k).where(F.col("combo_id") <= count),
-        direct_combos(scores, count, game, k),
+        lambda s: monte_carlo_combos(s, sims, count, seed, game, k).drop("cnt"),
+        lambda s: wheeling(s, game=game, series_cols=k).where(F.col("combo_id") <= count),
+        lambda s: direct_combos(s, count, game, k),
     ]
-    tagged = [m.withColumn("pref", F.lit(i)) for i, m in enumerate(methods)]
-    everything = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    w = W.partitionBy(*k)
-    enough = F.count(F.lit(1)).over(W.partitionBy(*k, "pref")) >= count
-    usable = F.when(enough | (F.col("pref") == len(methods) - 1), F.col("pref"))
-    return (
-        everything.withColumn("usable", usable)
-        .withColumn("chosen", F.min("usable").over(w))
-        .where("pref = chosen")
-        .drop("pref", "usable", "chosen")
-    )
+    left, out = scores, None
+    for at, method in enumerate(methods):
+        made = method(left)
+        if at < len(methods) - 1:
+            made = materialize(made, "generated")
+            enough = made.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= count).select(*k)
+            left, made = left.join(enough, k, "left_anti"), made.join(enough, k, "left_semi")
+        out = made if out is None else out.unionByName(made)
+        if at < len(methods) - 1 and left.isEmpty():
+            break
+    return out
 
 
 def propose_chance(

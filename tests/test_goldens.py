@@ -350,3 +350,28 @@ def test_cover_in_blocks_equals_a_scan(spark, monkeypatch, block_rows):
     assert got == want
     if block_rows == 60:
         assert asked[0] > 30 and sum(asked[1:]) < 13 * asked[0] / 2
+
+
+def test_short_series_fall_back(spark):
+    """Enough samples, too few positive scores for a sample, and too few numbers for anything but slices."""
+    rows = [("full", n, 1.0 + n % 7) for n in range(1, 50)] + [("few", n, 1.0 if n <= 4 else 0.0) for n in range(1, 50)] + [("short", n, 0.0) for n in range(1, 7)]
+    data = [(s, "main", n, x) for s, n, x in rows] + [(s, "chance", n, float(n)) for s in ("full", "few", "short") for n in range(1, 11)]
+    scored = spark.createDataFrame(data, "series string, pool string, num int, score double")
+    got = {}
+    for r in combos.generate_combos(scored, sims=400).collect():
+        got.setdefault(r["series"], []).append(r)
+    methods = {s: {r["method"] for r in rows} for s, rows in got.items()}
+    assert methods == {"full": {"monte carlo"}, "few": {"wheeling"}, "short": methods["short"]}
+    assert len(got["full"]) == len(got["few"]) == 5
+    only = combos.generate_combos(scored.where("series = 'full'"), sims=400)
+    assert sorted(map(str, only.collect())) == sorted(map(str, got["full"]))
+
+
+def test_samples_follow_the_scores(spark):
+    """The first pick of a sample is a number with probability of its share."""
+    data = [("s", "main", n, float(n)) for n in range(1, 11)] + [("s", "chance", n, float(n)) for n in range(1, 5)]
+    scored = spark.createDataFrame(data, "series string, pool string, num int, score double")
+    game = Game(main_max=10, main_pick=1, chance_max=4)
+    rows = combos.monte_carlo_combos(scored, 40_000, 10, game=game).collect()
+    for r in rows:
+        assert r["cnt"] / 40_000 == pytest.approx(r["nums"][0] / 55, abs=0.008)
