@@ -26,6 +26,11 @@ HASH = 0xD6E8FEB86659FD93
 BITS = 20
 
 
+def _log_sum(a: float, b: float) -> float:
+    high, low = (a, b) if a > b else (b, a)
+    return high + math.log1p(math.exp(low - high)) if low > -math.inf else high
+
+
 class Lattice:
     """Pieces that begin a word (without their mark) and pieces that go on, with log weights.
 
@@ -152,18 +157,41 @@ class Lattice:
                 own = group[first : first + BLOCK_WORDS]
                 yield own, np.frombuffer(b"".join([words[i] for i in own.tolist()]), dtype=np.uint8).reshape(len(own), -1).astype(np.uint64)
 
+    def _word_arcs(self, word: bytes) -> Iterator[tuple[int, int, int]]:
+        """(from, to, piece id) of all pieces in one word, by their ends; from -1: the word's beginning."""
+        for j in range(1, len(word) + 1):
+            for i in range(max(0, j - self.longest), j):
+                if (k := self.more.get(word[i:j])) is not None:
+                    yield i, j, k
+            if j <= self.longest and (k := self.first.get(word[:j])) is not None:
+                yield -1, j, k
+
+    def _word_forward(self, word: bytes) -> tuple[list, list[float]]:
+        """The arcs of one word and the log weight of its every prefix."""
+        arcs, weights = list(self._word_arcs(word)), self.weights
+        alpha = [-math.inf] * (len(word) + 1)
+        alpha[0] = weights[self.first[b""]]
+        for i, j, k in arcs:
+            alpha[j] = _log_sum(alpha[j], weights[k] if i < 0 else alpha[i] + weights[k])
+        return arcs, alpha
+
     def long_word(self, word: bytes) -> float:
         """Log probability of one word, byte by byte."""
-        weights, n = self.weights, len(word)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = weights[self.first[b""]]
-        for j in range(1, n + 1):
-            terms = [alpha[i] + weights[k] for i in range(max(0, j - self.longest), j) if (k := self.more.get(word[i:j])) is not None]
-            if j <= self.longest and (k := self.first.get(word[:j])) is not None:
-                terms.append(weights[k])
-            top = max(terms)
-            alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return alpha[n] + weights[self.stop]
+        return self._word_forward(word)[1][-1] + self.weights[self.stop]
+
+    def expect_long(self, word: bytes) -> np.ndarray:
+        """:meth:`expect` for one word, byte by byte."""
+        arcs, alpha = self._word_forward(word)
+        beta = [-math.inf] * len(word) + [0.0]
+        uses = np.zeros(self.n)
+        for i, j, k in reversed(arcs):
+            after = beta[j] + self.weights[k]
+            uses[k] += math.exp((0.0 if i < 0 else alpha[i]) + after - alpha[-1])
+            if i >= 0:
+                beta[i] = _log_sum(beta[i], after)
+        uses[self.first[b""]] += math.exp(alpha[0] + beta[0] - alpha[-1])
+        uses[self.stop] += 1
+        return uses
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """Natural logarithm of every word's marginal probability."""
@@ -226,9 +254,9 @@ def learn_weights(words: DataFrame, lattice: Lattice, turns: int) -> Lattice:
             model = held()
             uses = np.zeros(model.n)
             for batch in batches:
-                own = [w for w in batch.column(0).to_pylist() if len(w) <= BLOCK_BYTES]
-                for _, block in model.blocks(own):
-                    uses += model.expect(block)
+                words = batch.column(0).to_pylist()
+                for place, block in model.blocks(words):
+                    uses += model.expect_long(words[place[0]]) if block is None else model.expect(block)
             piece = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(uses[piece])], names=["piece", "uses"])
 
@@ -251,8 +279,7 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     training words: a token is a training word or the end with probability
     ``1 - e``, by its count, or is spelled in pieces with probability ``e``, the
     share of words seen once. Piece weights start from the vocabulary's scores and
-    take ``turns`` of expectation and maximisation over the distinct training words
-    (up to 48 bytes). Repeated rows count and come back as often; other columns are
+    take ``turns`` of expectation and maximisation over the distinct training words. Repeated rows count and come back as often; other columns are
     ignored; an empty table gives no rows. Without training rows every score is
     spelled.
     """
