@@ -9,10 +9,14 @@ from drawlytics.llm.common import ascii_lower, whole_text
 from drawlytics.plans.store import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates for further identifiers: digits, at most 39 characters from first to last.
+#: Candidates for further identifiers: digits, 6 to 39 characters from first to last, and addresses whose @ or dots are written out.
 NUMBER = r"(?<![0-9A-Za-z])[0-9][0-9 ().:/-]{4,37}[0-9](?![0-9A-Za-z])"
-#: Code points before a match that may hold its left context.
-CONTEXT = 64
+AT = r"(?:@| ?[(\[{] ?(?:at|AT|@) ?[)\]}] ?)"
+DOT = r"(?:\.| ?[(\[{] ?(?:dot|DOT|\.) ?[)\]}] ?)"
+ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{AT}[A-Za-z0-9-]{{1,63}}+(?:{DOT}[A-Za-z0-9-]{{1,63}}+){{0,8}}"
+CANDIDATES = ("number", "address")
+#: Code points beside a match that may hold its context, and those of a context word.
+CONTEXT, WORD = 64, 40
 
 # Each expression is free of nested repetition, so no text is too long for the
 # regular expression engine; where a separator may stand only between two
@@ -39,6 +43,7 @@ SEARCHES = {
     "card": (lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), _cards, CARD),
     "phone": (lambda t: t.rlike(r"\+[0-9]"), lambda t: t, PHONE),
     "number": (lambda t: t.rlike(r"[0-9][0-9 ().:/-]{4}"), lambda t: t, NUMBER),
+    "address": (lambda t: t.rlike(r"@|[(\[{] ?(?:at|AT) ?[)\]}]"), lambda t: t, ADDRESS),
 }
 
 
@@ -74,20 +79,20 @@ def _holds(kind: Column, value: Column) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """(kind, i, gap, value, left) of every match: the length of the text between it and the one before, and its end."""
+    """(kind, i, gap, value, left, right) of every match: the length of the text between it and the one before, and the texts beside it."""
     gate, prepared, expression = SEARCHES[kind]
     own = prepared(text)
     parts, found = F.split(own, expression, -1), F.regexp_extract_all(own, F.lit(expression), F.lit(0))
     pairs = F.transform(
         F.arrays_zip(parts.alias("part"), found.alias("value")),
-        lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["part"]).alias("gap"), p["value"].alias("value"), F.right(p["part"], F.lit(CONTEXT)).alias("left")),
+        lambda p, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(p["part"]).alias("gap"), p["value"].alias("value"), F.right(p["part"], F.lit(CONTEXT)).alias("left"), F.left(F.get(parts, i + 1), F.lit(CONTEXT)).alias("right")),
     )
     kept = F.filter(pairs, lambda p: p["value"].isNotNull())
     return F.when(gate(text), kept)
 
 
 def found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (row, id), and (row, kind, start, end, value, left) of all matches that count.
+    """The rows (row, id), and (row, kind, start, end, value, left, right) of all matches that count.
 
     The matches are found in one pass, per text; starts are running sums over the matches of a row.
     """
@@ -97,13 +102,13 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     each = stored.select("row", F.inline("matches"))
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(before)).withColumn("start", F.col("end") - F.length("value"))
-    counts = each.where(_holds(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left")
+    counts = each.where(_holds(F.col("kind"), F.col("value"))).select("row", "kind", "start", "end", "value", "left", "right")
     return stored.select("row", "id"), materialize(counts, "found")
 
 
-def _uncovered(matches: DataFrame) -> DataFrame:
-    """Candidates that touch no entity: no entity begins before a candidate's end and ends after its start."""
-    base = F.col("kind") != "number"
+def _uncovered(matches: DataFrame, kind: str) -> DataFrame:
+    """Candidates of a kind that touch nothing of another: nothing begins before a candidate's end and ends after its start."""
+    base = F.col("kind") != kind
     order = Window.partitionBy("row").orderBy("start", F.when(base, 0).otherwise(1), "end")
     reach = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     coming = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
@@ -112,47 +117,70 @@ def _uncovered(matches: DataFrame) -> DataFrame:
 
 
 def _patterned(spans: DataFrame) -> DataFrame:
-    """Adds a span's lexical pattern: the word to its left, lower-cased, and the shape of the value."""
-    word = F.regexp_extract(ascii_lower(F.col("left")), r"([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]{0,3}$", 1)
-    shape = F.regexp_replace(F.regexp_replace("value", "[A-Za-z]", "a"), "[0-9]", "9")
-    return spans.withColumn("pattern", F.concat_ws(" ", word, shape)).where(F.length(word) > 0)
+    """(row, kind, start, end, value, pattern) of spans, a row for each of their lexical patterns.
+
+    A pattern is the word to the left or the right, lower-cased, and the loose
+    form of the value: an address, four dotted numbers, 16 to 19 or 8 to 15
+    digits; other values have none. Values are compared by their digits, or as
+    addresses without brackets.
+    """
+    space = r"[\x20\x09-\x0D]"
+    left = F.regexp_extract(ascii_lower(F.col("left")), rf"([^\x20\x09-\x0D]{{1,{WORD}}}){space}{{0,3}}$", 1)
+    right = F.regexp_extract(ascii_lower(F.col("right")), rf"^{space}{{0,3}}([^\x20\x09-\x0D]{{1,{WORD}}})", 1)
+    number = _digits(F.col("value"))
+    n = F.length(number)
+    form = (
+        F.when(F.col("kind").isin("email", "address"), "address")
+        .when(F.col("value").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), "dotted")
+        .when((n >= 16) & (n <= 19), "long")
+        .when((n >= 8) & (n <= 15), "middle")
+    )
+    plain = F.regexp_replace(F.regexp_replace(ascii_lower(F.col("value")), r"[ (\[{]*(?:at|@)[ )\]}]+|@", "@"), r"[ (\[{]+(?:dot|\.)[ )\]}]+", ".")
+    value = F.when(form == "address", plain).when(form == "dotted", F.col("value")).otherwise(number)
+    words = F.array(F.when(left != "", F.concat_ws(" ", F.lit("<"), left)), F.when(right != "", F.concat_ws(" ", F.lit(">"), right)))
+    patterns = F.transform(F.array_compact(words), lambda w: F.concat_ws(" ", w, form))
+    own = spans.where(form.isNotNull()).select("row", "kind", "start", "end", value.alias("plain"), patterns.alias("patterns"))
+    return own.select("row", "kind", "start", "end", F.col("plain").alias("value"), F.explode("patterns").alias("pattern"))
 
 
 def discovered(matches: DataFrame, turns: int, min_seeds: int, min_score: float) -> DataFrame:
     """(row, kind, start, end) of candidates in contexts that reliably hold one kind of entity.
 
-    A graph links patterns and the values seen in them. Seeds score 1 for their
-    kind. A pattern scores the mean of its values' scores, shrunk by the number of
-    seeds; a value that is no seed scores the best of its patterns times the share
-    of its occurrences there. After ``turns`` rounds, patterns of at least
-    ``min_score`` and ``min_seeds`` different seeds give their kind to the
-    candidates in them.
+    A graph links patterns and the values seen in them. Seeds, the fixed
+    patterns' matches of all four kinds, score 1 for their kind. In each turn a
+    pattern scores, for a kind, the mean score of the values in it, shrunk by
+    the number of values that have one; patterns of at least ``min_score`` and
+    ``min_seeds`` such values are trusted. A value found in trusted patterns
+    scores 1 less the product of their doubts; from ``min_score`` on it is
+    accepted, and its other contexts induce patterns in the next turn. Turns end
+    when nothing is accepted or after ``turns``. Candidates in trusted patterns
+    are returned.
     """
-    seeds = _patterned(matches.where("kind IN ('ip', 'card', 'phone')"))
-    others = materialize(_patterned(_uncovered(matches)), "candidates")
-    known = seeds.select("pattern", F.col("kind").alias("label")).distinct()
-    # Only candidates in a pattern that a seed has are in the graph.
-    edges = materialize(
-        seeds.groupBy("pattern", "value", F.col("kind").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.lit(True).alias("seed"))
-        .unionByName(others.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("seed")).join(known, "pattern").select("pattern", "value", "label", "n", "seed")),
-        "edges",
-    )
-    values = None
+    seeds = matches.where(~F.col("kind").isin(*CANDIDATES))
+    addresses = materialize(_uncovered(matches.where(F.col("kind") != "number"), "address"), "addresses")
+    others = _uncovered(seeds.unionByName(addresses).unionByName(matches.where(F.col("kind") == "number")), "number")
+    found = materialize(_patterned(seeds.unionByName(addresses).unionByName(others)), "patterned")
+    edges = materialize(found.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")), "edges")
+    totals = materialize(edges.groupBy("pattern").agg(F.sum("n").alias("total")), "pattern-totals")
+    seen = found.where(~F.col("kind").isin(*CANDIDATES)).groupBy("value").agg(F.min("kind").alias("label"))
+    known = materialize(seen.withColumn("score", F.lit(1.0)), "known")
     for turn in range(turns):
-        scored = edges.withColumn("own", F.when(F.col("seed"), 1.0))
-        if values is not None:
-            scored = scored.join(values, ["value", "label"], "left").withColumn("own", F.coalesce("own", "score")).drop("score")
-        patterns = scored.groupBy("pattern", "label").agg(
-            (F.sum(F.col("n") * F.coalesce("own", F.lit(0.0))) / F.sum("n")).alias("mean"), F.count_if("seed").alias("seeds")
-        )
-        patterns = materialize(patterns.select("pattern", "label", "seeds", (F.col("mean") * F.col("seeds") / (F.col("seeds") + 1)).alias("score")), "patterns")
-        if turn < turns - 1:
-            passed = edges.where("NOT seed").join(patterns, ["pattern", "label"])
-            values = materialize(passed.groupBy("value", "label").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("score")), "values")
-    best = Window.partitionBy("pattern").orderBy(F.desc("score"), "label")
-    good = patterns.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score))
-    good = good.withColumn("at", F.row_number().over(best)).where("at = 1").select("pattern", "label")
-    return others.join(good, "pattern").select("row", F.col("label").alias("kind"), "start", "end")
+        hits = edges.join(known, "value").groupBy("pattern", "label").agg(F.sum(F.col("n") * F.col("score")).alias("sum"), F.count(F.lit(1)).alias("seeds"))
+        score = F.round(F.col("sum") / F.col("total") * F.col("seeds") / (F.col("seeds") + 1), 9)
+        ranked = hits.join(totals, "pattern").select("pattern", "label", "seeds", score.alias("score"))
+        trusted = ranked.where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score))
+        # Scores of a pattern's kinds add up to 1 at most: over 0.5 there is one.
+        trusted = materialize(trusted.groupBy("pattern").agg(F.max_by("label", "score").alias("label"), F.max("score").alias("score")), "trusted")
+        if turn == turns - 1:
+            break
+        fresh = edges.join(trusted, "pattern").join(known.select("value"), "value", "left_anti")
+        new = fresh.groupBy("value", "label").agg(F.round(1 - F.product(1 - F.col("score")), 9).alias("score")).where(F.col("score") >= min_score)
+        new = materialize(new.groupBy("value").agg(F.max_by("label", "score").alias("label"), F.max("score").alias("score")), "accepted")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    spans = found.where(F.col("kind").isin(*CANDIDATES)).select("row", "start", "end", "pattern")
+    return spans.join(trusted, "pattern").groupBy("row", "start", "end").agg(F.max_by("label", "score").alias("kind")).select("row", "kind", "start", "end")
 
 
 def _joined(spans: Column) -> Column:
@@ -160,7 +188,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(text, ",")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", turns: int = 3, min_seeds: int = 3, min_score: float = 0.7) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", turns: int = 3, min_seeds: int = 3, min_score: float = 0.6) -> DataFrame:
     """(id, base, spans): arrays of (k, start, end), ``k`` the number of the kind in KINDS from 1.
 
     ``base`` has the fixed patterns' matches, ``spans`` those and the discovered
@@ -170,7 +198,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", turns
     """
     rows, matches = found(docs, id_col, text_col)
     new = discovered(matches, turns, min_seeds, min_score)
-    every = matches.where("kind != 'number'").select("row", "kind", "start", "end", F.lit(True).alias("fixed")).unionByName(new.withColumn("fixed", F.lit(False)))
+    every = matches.where(~F.col("kind").isin(*CANDIDATES)).select("row", "kind", "start", "end", F.lit(True).alias("fixed")).unionByName(new.withColumn("fixed", F.lit(False)))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     span = F.struct(number.alias("k"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     grouped = every.groupBy("row").agg(F.collect_list(F.when(F.col("fixed"), span)).alias("base"), F.collect_list(span).alias("spans"))
