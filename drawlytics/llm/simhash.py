@@ -45,8 +45,8 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            prints = pa.array([fingerprint(t or "", shingle, seed) for t in texts], pa.int64())
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            prints = pa.array([fingerprint(t.as_py() or "", shingle, seed) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*batch.schema.names, PRINT])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(PRINT, LongType())]))
@@ -122,9 +122,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with one row of each component: the smallest id, null ids last, repeated rows once."""
     columns = docs.columns
     row = "_simhash_row"
-    kept = materialize(with_fingerprint(docs, text_col, shingle).withColumn(row, F.monotonically_increasing_id()), "rows")
+    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     rep = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(row).alias("row"))
-    slim = kept.select(PRINT, rep.alias("rep"))
+    # Python sees the texts but does not hand them back.
+    slim = kept.select(rep.alias("rep"), whole_text(text_col).alias("text"))
+    slim = materialize(with_fingerprint(slim, "text", shingle).select(PRINT, "rep"), "fingerprints")
     # Most rows stay: the others are the smaller side, and the texts need no shuffle while that side is small.
     others = slim.join(classes(slim, F.col("rep"), distance, blocks).select(PRINT, F.col("rep.row").alias("first")), PRINT)
     others = materialize(others.where(F.col("rep.row") != F.col("first")).select(F.col("rep.row").alias(row)), "others")
