@@ -79,13 +79,15 @@ def encode(ids: np.ndarray, words: np.ndarray, lengths: np.ndarray, every: int)
     ends = np.cumsum(size)
     starts = ends - size
     out = np.zeros((int(ends[-1]) + 7) // 8 + 4 if len(ids) else 0, dtype=np.uint8)
+    # Bytes that the longest code word can touch.
+    touched = (int(size.max(initial=0)) + 14) // 8
     for a in range(0, len(ids), SLICE):
         at, own = starts[a : a + SLICE], size[a : a + SLICE]
         shifted = words[ids[a : a + SLICE]] << (32 - own - (at & 7)).astype(np.uint32)
         first = int(at[0]) >> 3
         byte = (at >> 3) - first
         room = int(byte[-1]) + 4
-        total = sum(np.bincount(byte + k, (shifted >> np.uint32(24 - 8 * k)) & np.uint32(255), room + k)[:room] for k in range(4))
+        total = sum(np.bincount(byte + k, (shifted >> np.uint32(24 - 8 * k)) & np.uint32(255), room + k)[:room] for k in range(touched))
         # Words share bytes but no bits, so sums are unions.
         out[first : first + room] |= total.astype(np.uint8)
     return out[: len(out) - 4].tobytes() if len(ids) else b"", starts[::every]
@@ -100,7 +102,7 @@ class Decoder:
         self.longest = int(size.max(initial=1))
         times = np.int64(1) << (self.longest - size)
         self.symbol = np.zeros(1 << self.longest, dtype=np.uint32)
-        self.size = np.zeros(1 << self.longest, dtype=np.int64)
+        self.size = np.zeros(1 << self.longest, dtype=np.uint8)
         self.symbol[: times.sum()] = np.repeat(order, times)
         self.size[: times.sum()] = np.repeat(size, times)
 
@@ -114,16 +116,15 @@ class Decoder:
             return np.empty(0, dtype="<u4")
         lane = first // every
         at = checkpoints[lane : -(-last // every)].astype(np.int64)
-        raw = np.frombuffer(data, dtype=np.uint8)
-        raw = np.concatenate([raw, np.zeros(8, dtype=np.uint8)]).astype(np.uint32)
+        # The last stretch may be shorter than the others and runs into zeros.
+        raw = np.frombuffer(data + bytes(every * self.longest // 8 + 8), dtype=np.uint8).astype(np.uint32)
         window = (raw[:-3] << np.uint32(24)) | (raw[1:-2] << np.uint32(16)) | (raw[2:-1] << np.uint32(8)) | raw[3:]
-        end = 8 * len(data)
+        spare = np.uint32(32 - self.longest)
         out = np.empty((every, len(at)), dtype="<u4")
         for k in range(min(every, last - lane * every)):
-            at = np.minimum(at, end)
-            bits = (window[at >> 3] << (at & 7).astype(np.uint32)) >> np.uint32(32 - self.longest)
+            bits = (window[at >> 3] << (at & 7).astype(np.uint32)) >> spare
             out[k] = self.symbol[bits]
-            at = at + self.size[bits]
+            at += self.size[bits]
         return out.T.ravel()[first - lane * every : last - lane * every]
 
 
