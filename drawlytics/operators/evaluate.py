@@ -13,11 +13,9 @@ from drawlytics.functions.columns import erfc, nums_array, prize_rank, rank_poin
 from drawlytics.functions.sampling import quote, uniform_chance_sql, with_floyd_picks
 from drawlytics.params import (
     BLOCK,
-    CHANCE,
     DECAY,
     FIB_BLEND,
     GAME,
-    MAIN,
     MC_RUNS,
     MIN_HISTORY,
     SCORE_A_WEIGHTS,

@@ -11,7 +11,7 @@ from drawlytics.operators.ingest import dedupe_draws, missing_draws
 from drawlytics.plans.index import SERIES
 from drawlytics.plans.store import materialize
 from drawlytics.sources import versioned
-from drawlytics.sources.versioned import file_system as _fs, versions  # noqa: F401
+from drawlytics.sources.versioned import versions  # noqa: F401
 
 
 def month(date: Column | str = "draw_date") -> Column:
