@@ -4,7 +4,7 @@ A written set of files is a folder with four tables. ``code``: (id, bits), the
 code length of every id; the code words follow from the lengths, shorter ones
 first and then by id. ``blocks``: (shard, block, start, doc_ids, sizes,
 checkpoints, data); ``data`` holds the code words of whole documents, most
-significant bit first, and ``checkpoints`` the bit offset of every 512th token.
+significant bit first, and ``checkpoints`` the bit offset of every 128th token.
 ``shards``: (shard, first), the number of ids in all shards before. ``format``:
 (every,). Shards, blocks in a shard and documents in a block ascend by id.
 """
@@ -102,7 +102,7 @@ class Decoder:
         self.longest = int(size.max(initial=1))
         times = np.int64(1) << (self.longest - size)
         self.symbol = np.zeros(1 << self.longest, dtype=np.uint32)
-        self.size = np.zeros(1 << self.longest, dtype=np.uint8)
+        self.size = np.zeros(1 << self.longest, dtype=np.int64)
         self.symbol[: times.sum()] = np.repeat(order, times)
         self.size[: times.sum()] = np.repeat(size, times)
 
@@ -209,7 +209,7 @@ def write(
     text_col: str = "text",
     end_id: int = 2,
     longest: int = 16,
-    every: int = 512,
+    every: int = 128,
     block_tokens: int = 1 << 18,
     shard_tokens: int = 1 << 26,
     known_words: int = 1_000_000,
