@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from collections.abc import Iterator
@@ -15,23 +16,39 @@ from pyspark.sql.types import StructType
 from drawlytics.llm.common import whole_text
 from drawlytics.plans.store import materialize
 
-STOPS = b".,;:!?"
+STOPS = b".,;:!?*#%$&"
 #: A private character and its first byte, which no other character has but its neighbours.
 SEPARATOR, MARK = "\ue000", b"\xee"
 LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+PROBE = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _plain_letters(word: bytes) -> bool:
+    """Letters a-z alone: bytes know no other letters than those of ASCII."""
+    return word.isalpha() and word.islower()
 
 
 class WordEncoder:
     """Little-endian ids of texts, for tokenizers that never join what white space parts.
 
     Keeps the ids of up to ``most`` words. ASCII stops after a letter are a word
-    of their own to such a tokenizer, so they are peeled off before encoding.
+    of their own to such a tokenizer, so they are peeled off before encoding. If
+    the tokenizer lower-cases, words that differ by the case of A-Z are encoded once.
+    Words of a-z alone go to the tokenizer's model if what comes before it leaves
+    them whole and unchanged.
     """
 
     def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        rule = json.loads(self.tokenizer.to_str()).get("normalizer") or {}
+        self.lowers = any(r["type"] == "Lowercase" for r in [rule, *rule.get("normalizers", ())] if r)
+        # Added tokens are found before texts are lower-cased.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        before, after = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        whole = (not before or before.normalize_str(PROBE) == PROBE) and after and [x for x, _ in after.pre_tokenize_str(PROBE)] == [PROBE]
+        self.model = self.tokenizer.model if whole and not any(_plain_letters(x) for x in self.added) else None
 
     def _ids(self, text: str) -> np.ndarray:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -47,7 +64,21 @@ class WordEncoder:
         line, starts = ids.tobytes(), [0, *(cuts + 4 * len(mark)).tolist()]
         return [line[a:b] for a, b in zip(starts, [*cuts.tolist(), len(line)])]
 
+    def _plain(self, word: bytes) -> bytes:
+        """A word of the same ids, in lower case if the tokenizer makes it so."""
+        low = word.lower()
+        return word if low == word or any(x in low for x in self.added) else low
+
     def learn(self, found: set[bytes]) -> None:
+        """Adds the ids of words that are not known."""
+        if self.lowers:
+            plain = {w: self._plain(w) for w in found}
+            self._learn(set(plain.values()).difference(self.known))
+            self.known.update((w, self.known[p]) for w, p in plain.items() if p is not w)
+        else:
+            self._learn(found)
+
+    def _learn(self, found: set[bytes]) -> None:
         known, need, peeled = self.known, [], []
         for w in found:
             s = w.rstrip(STOPS)
@@ -56,6 +87,14 @@ class WordEncoder:
             else:
                 need.append(w)
         need += {x for _, s, tail in peeled for x in (s, tail) if x not in known and x not in found}
+        if self.model is not None:
+            tokenize = self.model.tokenize
+            straight = [w for w in need if _plain_letters(w)]
+            ids = [[t.id for t in tokenize(w.decode())] for w in straight]
+            flat = np.fromiter((i for own in ids for i in own), dtype="<u4").tobytes()
+            ends = (4 * np.cumsum([len(own) for own in ids], dtype=np.int64)).tolist()
+            known.update((w, flat[a:b]) for w, a, b in zip(straight, [0, *ends], ends))
+            need = [w for w in need if not _plain_letters(w)]
         rare = [w for w in need if MARK in w]
         need = [w for w in need if MARK not in w] if rare else need
         for first in range(0, len(need), 2048):
@@ -67,7 +106,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: bytes) -> Iterator[bytes]:
         for first in range(0, len(texts), 128):
-            part = [(t or "").encode().split() for t in texts.slice(first, 128).to_pylist()]
+            part = [(t or b"").split() for t in texts.slice(first, 128).cast(pa.binary()).to_pylist()]
             if len(self.known) > self.most:
                 self.known.clear()
             missing = set().union(*part).difference(self.known)

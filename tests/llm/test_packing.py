@@ -49,7 +49,7 @@ def test_pieces_are_the_tokenizers_and_sequences_are_gapless(documents, texts, t
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["Don't.", "a.b,", "<|endoftext|>!", "x" * 40, "é́.", "1,234.5;", "\x1c.", "it's?!", "\xa0..", "\ue000", "a\uef00."])), max_size=8))
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["Don't.", "a.b,", "<|endoftext|>!", "x" * 40, "é́.", "1,234.5;", "\x1c.", "it's?!", "\xa0..", "\ue000", "a\uef00.", "<|ENDOFTEXT|>", "A<|EndOfText|>b", "Word***", "word#%&,", "WoRd", "\u0130I\u0307", "\u0391\u03a3.", "K\u212a"])), max_size=8))
 def test_any_text_encodes_word_by_word(parts):
     text = " ".join(parts).encode("utf-8", "ignore").decode()
     encoder = getattr(test_any_text_encodes_word_by_word, "encoder", None) or packing.WordEncoder(PATH, 10_000)
