@@ -18,7 +18,7 @@ CHUNK_BYTES = 8 << 20
 #: Windows of a super-k-mer at most: a text of one repeated word is cut, not shipped as one string.
 LONGEST = 256
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
-PACKED = "bucket int, packed binary, keys binary, starts binary, ends binary"
+PACKED = "bucket long, packed binary, keys binary, starts binary, ends binary"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -31,11 +31,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:rest], x[width - size : width - size + rest])
 
 
+def _mer_hashes(words: np.ndarray, mer: int) -> np.ndarray:
+    """A 63-bit hash of every ``mer`` consecutive words."""
+    n = len(words) - mer + 1
+    value = np.zeros(n, dtype=np.uint64)
+    for i, p in enumerate(powers(BASES[0], mer)):
+        value += words[i : n + i] * p
+    return mixed(value) >> np.uint64(1)
+
+
 def minimisers(words: np.ndarray, bounds: np.ndarray, window: int, mer: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers where windows start, the text of each, and its minimiser.
 
     The minimiser is the least hash of ``mer`` consecutive words. Hot ones come
-    after all others, so a window takes one only if it has nothing rarer.
+    after all others, so a window takes one only if it has nothing rarer; such
+    windows are told apart by the least hash of half as many words as a window has,
+    so a hot minimiser is dealt to many buckets.
     """
     size = np.diff(bounds)
     count = np.maximum(size - window + 1, 0)
@@ -43,32 +54,38 @@ def minimisers(words: np.ndarray, bounds: np.ndarray, window: int, mer: int, hot
     at = bounds[:-1][text] + ragged(count)
     if not len(at):
         return at, text, np.empty(0, dtype=np.uint64)
-    n = len(words) - mer + 1
-    value = np.zeros(n, dtype=np.uint64)
-    for i, p in enumerate(powers(BASES[0], mer)):
-        value += words[i : n + i] * p
-    value = mixed(value) >> np.uint64(1)
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
-        value |= (hot[place] == value).astype(np.uint64) << np.uint64(63)
-    return at, text, sliding_min(value, window - mer + 1)[at]
+    value = _mer_hashes(words, mer)
+    if not len(hot):
+        return at, text, sliding_min(value, window - mer + 1)[at]
+    place = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
+    value |= (hot[place] == value).astype(np.uint64) << np.uint64(63)
+    value = sliding_min(value, window - mer + 1)[at]
+    common = np.flatnonzero(value >> np.uint64(63))
+    if len(common):
+        longer = max(mer, (window + 1) // 2)
+        value[common] = mixed(value[common] + sliding_min(_mer_hashes(words, longer), window - longer + 1)[at[common]])
+    return at, text, value
 
 
 def minimiser_counts(docs: DataFrame, window: int, mer: int) -> DataFrame:
-    """(minimiser, n): super-k-mers of each minimiser, folded per batch."""
+    """(minimiser, n, windows): super-k-mers of each minimiser and windows in them, folded per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, CHUNK_BYTES):
+            # Nothing here gains from large chunks.
+            for part in slices(batch, 0, CHUNK_BYTES // 4):
                 data, offsets = utf8(part.column(0))
                 starts, ends, bounds = word_spans(data, offsets, SPACE_BYTES)
                 _, text, value = minimisers(span_hashes(data, starts, ends, 3), bounds, window, mer, np.empty(0, np.uint64))
                 new = np.ones(len(value), dtype=bool)
                 new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-                found, n = np.unique(value[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n, pa.int64())], names=["minimiser", "n"])
+                head = np.flatnonzero(new)
+                found, own, n = np.unique(value[head], return_inverse=True, return_counts=True)
+                windows = np.bincount(own, np.diff(np.append(head, len(value))), len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n, pa.int64()), pa.array(windows)], names=["minimiser", "n", "windows"])
 
-    return docs.mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(run, "minimiser long, n long, windows long")
+    return rows.groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
 
 
 def pack_chunk(part: pa.RecordBatch, window: int, mer: int, hot: np.ndarray, buckets: int) -> Iterator[tuple]:
@@ -179,10 +196,11 @@ def repeated_ranges(packed: list[bytes], keys: np.ndarray, starts: np.ndarray, w
     return keys[own], starts[own] + hit[head] - base[own], starts[own] + hit[tail] - base[own] + 1
 
 
-def repeated(docs: DataFrame, window: int, mer: int, buckets: int, hot_share: float, hot_least: int) -> DataFrame:
+def repeated(docs: DataFrame, window: int, mer: int, bucket_windows: int, hot_share: float, hot_least: int) -> DataFrame:
     """(k1, k2, start, end): ranges of windows (by first word) that occur elsewhere too. ``docs``: (text, k1, k2)."""
     counts = materialize(minimiser_counts(docs.select("text"), window, mer), "minimisers")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, windows = (x or 0 for x in counts.agg(F.sum("n"), F.sum("windows")).first())
+    buckets = max(input_tasks(docs), -(-windows // bucket_windows))
     # At most 1 / hot_share minimisers hold more than that share.
     hot = np.sort(np.array([r[0] for r in counts.where(F.col("n") > max(hot_least, hot_share * total)).select("minimiser").collect()], dtype=np.int64).astype(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -192,7 +210,7 @@ def repeated(docs: DataFrame, window: int, mer: int, buckets: int, hot_share: fl
             for part in slices(batch, 0, CHUNK_BYTES):
                 rows = list(pack_chunk(part, window, mer, shared.value, buckets))
                 if rows:
-                    kinds = [pa.int32(), *[pa.binary()] * 4]
+                    kinds = [pa.int64(), *[pa.binary()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "packed", "keys", "starts", "ends"])
 
     def count(table: pa.Table) -> pa.Table:
@@ -222,7 +240,7 @@ def without_repeats(
     text_col: str = "text",
     window: int = 35,
     mer: int = 5,
-    buckets: int | None = None,
+    bucket_windows: int = 1 << 18,
     hot_share: float = 1e-6,
     hot_least: int = 1000,
 ) -> DataFrame:
@@ -232,33 +250,33 @@ def without_repeats(
     space) of one text; kept words are joined by one space. Shorter and null
     texts have no window. Rows with equal texts repeat each other and lose all
     windows; so do repeated rows. Null ids come back; other columns are ignored;
-    an empty table gives no rows. ``buckets`` (eight per shuffle partition if not
-    given) should leave each a few million words; ``mer`` words make a minimiser.
+    an empty table gives no rows. There are as many buckets as leave each about
+    ``bucket_windows`` of the counted windows; ``mer`` words make a minimiser.
     """
-    buckets = buckets or 8 * input_tasks(docs)
     text = whole_text(text_col)
     keyed = docs.select(
         text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.col(id_col).cast("string"), F.lit(1), text).alias("k2"), F.col(id_col).alias("id")
     )
-    ranges = repeated(keyed, window, mer, buckets, hot_share, hot_least)
+    ranges = repeated(keyed, window, mer, bucket_windows, hot_share, hot_least)
     found = ranges.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     joined = keyed.join(found, ["k1", "k2"], "left").select("id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, sizes, removed = [], [], []
-            for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = t.encode().split()
-                n = len(own)
-                if r:
-                    gone = np.zeros(n, dtype=bool)
-                    for x in r:
-                        gone[x["start"] : x["end"] + window - 1] = True
-                    own = [own[i] for i in np.flatnonzero(~gone).tolist()]
-                kept.append(b" ".join(own).decode())
-                sizes.append(n)
-                removed.append(n - len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=["id", "kept_text", "n_words", "n_removed"])
+        for whole in batches:
+            for batch in slices(whole, 1, CHUNK_BYTES):
+                kept, sizes, removed = [], [], []
+                for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    own = t.encode().split()
+                    n = len(own)
+                    if r:
+                        gone = np.zeros(n, dtype=bool)
+                        for x in r:
+                            gone[x["start"] : x["end"] + window - 1] = True
+                        own = [own[i] for i in np.flatnonzero(~gone).tolist()]
+                    kept.append(b" ".join(own).decode())
+                    sizes.append(n)
+                    removed.append(n - len(own))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64())], names=["id", "kept_text", "n_words", "n_removed"])
 
     schema = joined.select("id").schema.add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
     return joined.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
