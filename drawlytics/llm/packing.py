@@ -225,18 +225,19 @@ def _pack_parts(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFr
 
 
 def pack(rows: DataFrame, capacity: int = 4096, part_tokens: int = 1 << 24, turns: int = 5) -> DataFrame:
-    """``rows`` (with ``length`` from 1 to ``capacity``) plus ``sequence_id`` and ``offset``.
+    """``rows`` (with ``length`` from 1 to ``capacity``) plus ``sequence_id``, ``offset`` and ``certified``.
 
     Full rows are sequences of their own. The rest is dealt at random into parts
     of about ``part_tokens`` tokens; a part whose bin count equals its lower bound
     is final but for its emptiest bin; parts with a gap give back all their rows.
     What was given back is dealt anew, into fewer parts, until one part is left,
-    ``turns`` are over, or nothing was gained.
+    ``turns`` are over, or nothing was gained. ``certified`` says of a sequence that
+    the part it was packed in has as few bins as its lower bound.
     """
     stored = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     columns = [*rows.columns, "_row"]
     full = stored.where(F.col("length") == capacity)
-    done = [full.select(*columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [full.select(*columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
     left = stored.where(F.col("length") < capacity)
     previous: DataFrame | None = None
     for turn in range(turns):
@@ -245,15 +246,15 @@ def pack(rows: DataFrame, capacity: int = 4096, part_tokens: int = 1 << 24, turn
             break
         parts = max(1, -(-tokens // part_tokens))
         packed = materialize(_pack_parts(left, parts, turn, capacity), "packed")
-        packed = packed.withColumn("sequence_id", F.lit(turn << 56) + F.col("_part") * (1 << 26) + F.col("_bin"))
+        packed = packed.withColumn("certified", ~F.col("_gap")).withColumn("sequence_id", F.lit(turn << 56) + F.col("_part") * (1 << 26) + F.col("_bin"))
         if previous is not None:
             # Kept only if the new turn needs fewer sequences for the same rows.
             before, now = (x.agg(F.count_distinct("sequence_id")).first()[0] for x in (previous, packed))
             if now >= before:
-                done.append(previous.select(*columns, "sequence_id", "offset"))
+                done.append(previous.select(*columns, "sequence_id", "offset", "certified"))
                 break
         last = parts == 1 or turn == turns - 1
-        done.append((packed if last else packed.where("NOT _again")).select(*columns, "sequence_id", "offset"))
+        done.append((packed if last else packed.where("NOT _again")).select(*columns, "sequence_id", "offset", "certified"))
         if last:
             break
         previous = materialize(packed.where("_again"), "again")
@@ -274,7 +275,7 @@ def packed(
     known_words: int = 1_000_000,
     part_tokens: int = 1 << 24,
 ) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) per piece of every document.
+    """(id, piece, start, length, ids_crc32, sequence_id, offset, certified) per piece of every document.
 
     A document is the tokenizer's ids of its text, then ``end_id``; a null or
     empty text is that id alone. Only documents over ``capacity`` tokens are cut.

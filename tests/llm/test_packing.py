@@ -96,6 +96,17 @@ def test_parts_with_gaps_exchange_rows(spark):
     assert len(gapless(out, 64)) <= -(-sum(sizes) // 64) * 1.03 + 1
 
 
+def test_only_parts_at_their_bound_are_certified(spark):
+    def certified(sizes, **how):
+        rows = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, length long")
+        return {r["certified"] for r in packing.pack(rows, capacity=64, **how).collect()}
+
+    assert certified([64, 40, 24, 33, 31]) == {True}
+    # 246 of 4 x 64, but best fit needs a fifth bin.
+    assert certified([27, 19, 39, 27, 38, 8, 22, 34, 32]) == {False}
+    assert certified([33, 33, 33]) == {True}
+
+
 def test_odd_rows(odd, none, tokenizer):
     out = packing.packed(odd, PATH, capacity=64).collect()
     n = sum(-(-len(ids(tokenizer, r["text"])) // 64) for r in odd.collect())
