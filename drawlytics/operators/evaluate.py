@@ -71,11 +71,11 @@ def track_performance(
 
     No combination is ever paired with a draw. A draw and a combination share m
     numbers exactly when they share C(m, j) subsets of size j, so it is enough to
-    count, for every subset of numbers, how many draws contain it: draws explode
-    into their 2^5 subsets, are counted map-side, and the combinations look up
-    their own subsets by key. Inclusion-exclusion turns the subset counts into
-    the exact number of draws with m matches. Work grows with draws plus
-    combinations, not with their product.
+    count, for every subset of numbers, how many draws contain it: different draws
+    explode into their 2^5 subsets, are counted map-side, and the combinations look
+    up their own subsets by key: one row with the counts by chance number.
+    Inclusion-exclusion turns the subset counts into the exact number of draws with
+    m matches. Work grows with draws plus combinations, not with their product.
 
     ``chance_mode='played'`` compares the combination's own chance number;
     ``'actual'`` treats it as always hit.
@@ -110,22 +110,28 @@ def track_performance(
 
     combos = materialize(combos.select(*k, "combo_id", "nums", "chance"), "combos")
     wanted = exploded(combos, "nums", [*k, "combo_id", F.col("chance").alias("played")])
-    drawn = exploded(idx.select(*k, "chance", F.array(*game.ball_cols).alias("nums")), "nums", [*k, "chance"])
-    # Only subsets that some combination has are counted; AQE picks the form of this join.
-    drawn = drawn.join(wanted.select(*k, "sub").distinct(), [*k, "sub"], "left_semi")
-    counts = drawn.groupBy(*k, "sub", "j", "chance").agg(F.count(F.lit(1)).alias("n"))
-    found = join_hot(wanted, counts.drop("j"), [*k, "sub"])
-    hit = F.lit(True) if chance_mode == "actual" else F.coalesce(F.col("chance") == F.col("played"), F.lit(False))
-    size_sums = (
-        found.withColumn("n_hit", F.when(hit, F.col("n")).otherwise(0))
-        .groupBy(*k, "combo_id", "j")
-        .agg(F.sum("n_hit").cast("double").alias("hit"), F.sum(F.col("n") - F.col("n_hit")).cast("double").alias("miss"))
+    # Equal draws are counted before they unfold: a game has so many different ones.
+    different = (
+        idx.select(*k, "chance", F.array_sort(F.array(*game.ball_cols)).alias("nums"))
+        .groupBy(*k, "chance", "nums")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_combo = size_sums.groupBy(*k, "combo_id").agg(
+    counts = exploded(different, "nums", [*k, "chance", "n"]).groupBy(*k, "sub", "chance").agg(F.sum("n").alias("n"))
+    entry = F.when(F.col("chance").isNotNull(), F.struct("chance", "n"))
+    # Written, so that Catalyst knows how much the subsets take.
+    counts = materialize(
+        counts.groupBy(*k, "sub").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(entry)).alias("by_chance")),
+        "subset-counts",
+    )
+    hit = F.col("n") if chance_mode == "actual" else F.coalesce(F.try_element_at("by_chance", F.col("played")), F.lit(0))
+    found = join_hot(wanted, counts, [*k, "sub"]).select(*k, "combo_id", "j", "n", hit.alias("n_hit"))
+    sized = {"hit": F.col("n_hit"), "miss": F.col("n") - F.col("n_hit")}
+    # The few sums are wider than a row, so rows meet before they are added.
+    per_combo = found.repartition(*k, "combo_id").groupBy(*k, "combo_id").agg(
         *[
-            F.coalesce(F.sum(F.when(F.col("j") == j, F.col(c))), F.lit(0.0)).alias(f"{c}_{j}")
+            F.coalesce(F.sum(F.when(F.col("j") == j, v)).cast("double"), F.lit(0.0)).alias(f"{c}_{j}")
             for j in range(pick + 1)
-            for c in ("hit", "miss")
+            for c, v in sized.items()
         ]
     )
 

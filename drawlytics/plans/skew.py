@@ -24,7 +24,9 @@ def join_hot(
     A key with more than a part's left rows is spread over as many parts as its
     rows fill; only its right row is repeated, once per part. A part holds
     ``part_rows`` or, in a very large table, a 100 000th of all rows, so fewer
-    than 100 000 keys are ever spread and their list can be broadcast.
+    than 100 000 keys are ever spread and their list can be broadcast. Catalyst
+    judges an exploded side by the table it came from and would send it to the
+    driver whole; over a part's rows, both sides are sorted instead.
     """
     k = list(keys)
     counts = materialize(left.groupBy(*k).agg(F.count(F.lit(1)).alias("_rows")), "key-rows")
@@ -35,4 +37,5 @@ def join_hot(
     of = F.coalesce("_parts", F.lit(1))
     spread = left.join(hot, k, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), of)).drop("_parts")
     copies = right.join(hot, k, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), of - 1))).drop("_parts")
+    copies = copies.hint("merge") if total > part_rows else copies
     return spread.join(copies, [*k, "_part"], how).drop("_part")
