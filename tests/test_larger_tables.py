@@ -1,8 +1,11 @@
 """Steps whose work or memory once grew faster than their input."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from drawlytics.operators import evaluate
+from drawlytics.operators import evaluate, forest
 from drawlytics.plans.skew import join_hot
 
 
@@ -23,3 +26,24 @@ def test_tracking_joins_one_row_per_subset(spark, idx):
     assert "LeftSemi" not in plan and "by_chance" in plan
     counts = tracked.groupBy("combo_id").agg(F.sum("cnt").alias("n")).collect()
     assert {r["n"] for r in counts} == {idx.count()} and len(counts) == 40
+
+
+def test_split_search_keeps_no_count_per_cell_and_label():
+    """The sums that are followed hit by hit choose the cuts of the full counts, in less memory than one of them."""
+    rng = np.random.default_rng(7)
+    rows, nodes, labels, features = 4000, 500, 49, 56
+    node = np.sort(np.concatenate([np.arange(nodes), rng.integers(0, nodes, rows - nodes)]))
+    codes = rng.integers(0, 6, (rows, features)).astype(np.uint8)
+    weight = rng.integers(1, 4, rows)
+    y = (rng.random((rows, labels)) < 0.1).astype(np.int64)
+    rules = forest.Rules(1, 60, 2, 2, 7, 85)
+    tries = forest.tried(np.zeros(nodes, np.int64), np.arange(nodes), features, rules)
+    for min_leaf in (1, 3):
+        own, feature, code, _ = forest.best_cuts(*forest.histogram(node, tries, codes, weight, y), min_leaf)
+        found = np.take_along_axis(codes, tries[node], axis=1).T.astype(np.int64)
+        tracemalloc.start()
+        got = forest.best_splits(node, tries, found, weight, *np.nonzero(y), labels, min_leaf)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [x.tolist() for x in got] == [own.tolist(), feature.tolist(), code.tolist()]
+        assert peak < rows * tries.shape[1] * labels * 8
