@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pyarrow as pa
 
@@ -112,3 +115,89 @@ def decayed_before(hit: np.ndarray, entry: np.ndarray, decay: float) -> np.ndarr
     at = np.arange(len(hit))[:, None]
     grown = before(hit * np.exp(at / decay), entry)
     return settle_digits(grown * np.exp((1 - at) / decay))
+
+
+# ------------------------------------------------------------------ keyed uniforms
+_MD5_ADD = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_TURN = [turn for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for turn in four * 4]
+_MD5_WORD = [(a * i + b) % 16 for a, b in ((1, 0), (5, 1), (3, 5), (7, 0)) for i in range(16)]
+_MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def md5_heads(text: bytes, added: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """The first 48 bits of the MD5 of ``n`` equally long texts: ``text``, to whose
+    32-bit words (little-endian, by number) the arrays ``added`` are added."""
+    padded = text + b"\x80" + b"\x00" * (-(len(text) + 9) % 64) + (8 * len(text)).to_bytes(8, "little")
+    words = np.frombuffer(padded, dtype="<u4").tolist()
+    state = [np.full(n, s, dtype=np.uint32) for s in _MD5_START]
+    f = np.empty(n, dtype=np.uint32)
+    for block in range(0, len(words), 16):
+        a, b, c, d = (s.copy() for s in state)
+        for i in range(64):
+            if i < 16:
+                np.bitwise_xor(c, d, out=f)
+                np.bitwise_and(f, b, out=f)
+                np.bitwise_xor(f, d, out=f)
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_and(f, d, out=f)
+                np.bitwise_xor(f, c, out=f)
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_xor(f, d, out=f)
+            else:
+                np.bitwise_not(d, out=f)
+                np.bitwise_or(f, b, out=f)
+                np.bitwise_xor(f, c, out=f)
+            a += f
+            at = block + _MD5_WORD[i]
+            a += np.uint32((words[at] + _MD5_ADD[i]) & 0xFFFFFFFF)
+            if at in added:
+                a += added[at]
+            np.left_shift(a, np.uint32(_MD5_TURN[i]), out=f)
+            np.right_shift(a, np.uint32(32 - _MD5_TURN[i]), out=a)
+            a |= f
+            a += b
+            a, b, c, d = d, a, b, c
+        for s, x in zip(state, (a, b, c, d)):
+            s += x
+    return (state[0].byteswap().astype(np.int64) << 16) | (state[1].byteswap() >> np.uint32(16))
+
+
+def floyd_matches(head: bytes, index: np.ndarray, hit: np.ndarray, runs: range, total: int, pick: int) -> np.ndarray:
+    """Per run, how many numbers random tickets share with draws, summed over the draws.
+
+    The tickets of ``with_floyd_picks`` in mode ``md5``, keyed by ``head``, run,
+    position of the draw and step, joined by ``|``; ``hit`` says per draw which
+    numbers 0.. it holds. Positions have equally many digits.
+    """
+    n, width = len(index), len(str(int(index[0])))
+    last = np.repeat(np.arange(total - pick + 1, total + 1), n)
+    digits = index[:, None] // 10 ** np.arange(width - 1, -1, -1) % 10
+    wide = len(str(total))
+    steps = np.repeat(np.arange(total - pick + 1, total + 1)[:, None] // 10 ** np.arange(wide - 1, -1, -1) % 10, n, axis=0)
+    # Steps of fewer digits than the largest have texts of their own.
+    same_wide = all(len(str(j)) == wide for j in range(total - pick + 1, total + 1))
+    first, out = np.arange(n) * hit.shape[1], []
+    flat, added, size = hit.ravel(), {}, -1
+    for run in runs:
+        start = head + b"|%d|" % run
+        if len(start) != size:
+            size, added = len(start), {}
+            for column, values in enumerate(np.hstack([np.tile(digits, (pick, 1)), steps]).T):
+                place = size + column + (column >= width)
+                more = (values << (8 * (place % 4))).astype(np.uint32)
+                added[place // 4] = added[place // 4] + more if place // 4 in added else more
+        if same_wide:
+            key = md5_heads(start + b"0" * width + b"|" + b"0" * wide, added, pick * n)
+        else:
+            texts = [start + b"%d|%d" % (i, j) for j in range(total - pick + 1, total + 1) for i in index.tolist()]
+            key = np.array([int.from_bytes(hashlib.md5(x).digest()[:6], "big") for x in texts])
+        drawn = (1 + np.floor(key / 281474976710656.0 * last)).astype(np.int64).reshape(pick, n)
+        matched = 0
+        for step in range(pick):
+            taken = (drawn[:step] == drawn[step]).any(axis=0)
+            drawn[step][taken] = total - pick + 1 + step
+            matched += int(np.count_nonzero(flat[first + drawn[step]]))
+        out.append(matched)
+    return np.array(out, dtype=np.int64)

@@ -1,11 +1,15 @@
 """Steps whose work or memory once grew faster than their input."""
 
+import hashlib
+import math
 import tracemalloc
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from drawlytics.operators import evaluate, forest
+from drawlytics.plans import kernels
 from drawlytics.plans.skew import join_hot
 
 
@@ -47,3 +51,29 @@ def test_split_search_keeps_no_count_per_cell_and_label():
         tracemalloc.stop()
         assert [x.tolist() for x in got] == [own.tolist(), feature.tolist(), code.tolist()]
         assert peak < rows * tries.shape[1] * labels * 8
+
+
+@pytest.mark.parametrize("head, total", [("12345|null|all", 49), ("12345|null|" + "é" * 40, 49), ("1|null", 11)])
+def test_hashed_tickets_of_many_draws_at_a_time(head, total):
+    rng = np.random.default_rng(3)
+    index = np.arange(995, 1000) if total == 11 else np.arange(7000, 7060)
+    hit = rng.random((len(index), total + 1)) < 0.2
+
+    def matches(run):
+        n = 0
+        for at, own in zip(index.tolist(), hit):
+            picked = []
+            for j in range(total - 4, total + 1):
+                u = int(hashlib.md5(f"{head}|{run}|{at}|{j}".encode()).hexdigest()[:12], 16) / 281474976710656
+                t = 1 + math.floor(u * j)
+                picked.append(j if t in picked else t)
+            n += sum(bool(own[p]) for p in picked)
+        return n
+
+    assert kernels.floyd_matches(head.encode(), index, hit, range(98, 102), total, 5).tolist() == [matches(r) for r in range(98, 102)]
+
+
+def test_null_hashes_no_key_by_itself(spark, idx):
+    means = evaluate.null_run_means(idx, 3, 10, mode="md5")
+    plan = means._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" not in plan and means.count() == 3
