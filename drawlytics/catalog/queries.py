@@ -133,7 +133,7 @@ def is_draw_day(spark, d):
 @query
 def write_history(spark, d):
     base = src.scratch(spark, "history")
-    rows = src.draws(spark, d)
+    rows = src.stored(src.draws(spark, d), "draws")
     history.write_history(ingest.dedupe_draws(rows), base)
     history.write_history(rows, base)
     return history.read_history(spark, base).selectExpr("series", "draw_id", DAY, *BALLS, "chance")

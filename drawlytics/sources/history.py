@@ -23,9 +23,10 @@ def month(date: Column | str = "draw_date") -> Column:
 def write_history(draws: DataFrame, base: str) -> int:
     """Write a whole new version and return its number. Older versions stay; an
     empty result is refused. A version counts once it is published."""
-    if draws.isEmpty():
+    version = versioned.publish(draws.withColumn("part", month()), base, whole=True)
+    if version is None:
         raise ValueError("refusing to write an empty history")
-    return versioned.publish(draws.withColumn("part", month()), base, whole=True)
+    return version
 
 
 def merge_history(new: DataFrame, base: str, series_cols: Sequence[str] = SERIES) -> int | None:

@@ -55,21 +55,25 @@ def read(spark: SparkSession, base: str, version: int | None = None, only: Colle
     return spark.read.option("basePath", f"{base}/data").parquet(*paths).drop("v", "part") if paths else None
 
 
-def publish(rows: DataFrame, base: str, version: int | None = None, whole: bool = False) -> int:
+def publish(rows: DataFrame, base: str, version: int | None = None, whole: bool = False) -> int | None:
     """Writes ``rows``, which hold the whole new content of every partition (int column ``part``) they touch.
 
     The other partitions stay as the newest version before has them; with
-    ``whole`` there are no others. ``version`` is the next number by default; a
-    caller that may repeat an update names it.
+    ``whole`` there are no others, and without rows nothing is published (None).
+    ``version`` is the next number by default; a caller that may repeat an update
+    names it. Rows of a partition meet before they are written, those of a large
+    one in several tasks, so the files follow the rows, not tasks times partitions.
     """
     spark = rows.sparkSession
     done = published(spark, base, None if version is None else version - 1)
     version = (done[-1] + 1 if done else 1) if version is None else version
     held = partitions(spark, base, done[-1]) if done and not whole else {}
     path = f"{base}/data/v={version}"
-    rows.write.partitionBy("part").mode("overwrite").parquet(path)
+    rows.hint("rebalance", "part").write.partitionBy("part").mode("overwrite").parquet(path)
     fs, target = file_system(spark, path)
     names = [status.getPath().getName() for status in fs.listStatus(target)]
+    if whole and not any(n.startswith("part=") for n in names):
+        return None
     held |= {int(n.removeprefix("part=")): version for n in names if n.startswith("part=")}
     spark.createDataFrame(sorted(held.items()), "part int, v int").coalesce(1).write.mode("overwrite").parquet(f"{base}/versions/v={version}")
     return version

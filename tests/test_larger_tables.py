@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from drawlytics.operators import evaluate, forest
 from drawlytics.plans import kernels
 from drawlytics.plans.skew import join_hot
+from drawlytics.sources import history
 
 
 def test_large_left_sides_are_not_sent_to_the_driver(spark):
@@ -77,3 +78,15 @@ def test_null_hashes_no_key_by_itself(spark, idx):
     means = evaluate.null_run_means(idx, 3, 10, mode="md5")
     plan = means._jdf.queryExecution().optimizedPlan().toString()
     assert "md5(" not in plan and means.count() == 3
+
+
+def test_a_history_has_files_by_its_rows(spark, tmp_path):
+    """Before, every task left a file in every month; an empty history is still refused and leaves no version."""
+    rows = spark.range(0, 4000, 1, 16).selectExpr("'a' AS series", "id AS draw_id", "date_add(DATE'2020-01-01', CAST(id % 120 AS INT)) AS draw_date")
+    base = str(tmp_path / "h")
+    assert history.write_history(rows, base) == 1
+    assert len(list((tmp_path / "h" / "data" / "v=1").glob("part=*/*.parquet"))) <= 8
+    with pytest.raises(ValueError):
+        history.write_history(rows.where("false"), base)
+    assert history.history_versions(spark, base) == [1]
+    assert history.read_history(spark, base).count() == 4000
