@@ -90,3 +90,17 @@ def test_a_history_has_files_by_its_rows(spark, tmp_path):
         history.write_history(rows.where("false"), base)
     assert history.history_versions(spark, base) == [1]
     assert history.read_history(spark, base).count() == 4000
+
+
+def test_a_small_forest_goes_to_the_rows(spark, monkeypatch):
+    """Before, every row was dealt to every tree and its shares were shuffled back."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.integers(0, 9, 3).tolist()) for i in range(200)], "row bigint, x array<bigint>")
+    leaf = [(t, n, 2, 5, None, None, rng.random(2).tolist()) for t in range(3) for n in (2, 6, 7)]
+    inner = [(t, n, 1, 9, (t + n) % 3, 4, [0.5, 0.5]) for t in range(3) for n in (1, 3)]
+    nodes = spark.createDataFrame(leaf + inner, forest.NODE)
+    small = forest.score(rows, nodes, 2)
+    assert "Join" not in small._jdf.queryExecution().optimizedPlan().toString()
+    here = {r["row"]: r["p"] for r in small.collect()}
+    monkeypatch.setattr(forest, "MOST_BYTES", 0)
+    assert here == {r["row"]: r["p"] for r in forest.score(rows, nodes, 2).collect()} and len(here) == 200
