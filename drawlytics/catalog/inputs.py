@@ -68,11 +68,12 @@ def dirty(rows: DataFrame) -> DataFrame:
         "n4": (4, "CAST(NULL AS INT)"),
         "draw_date": (7, "CAST(NULL AS DATE)"),
     }
-    bad = rows.withColumn("copy", (F.col("draw_id") % 7 + 1).cast("int"))
-    bad = bad.withColumn("chance", F.expr("CASE copy WHEN 5 THEN NULL WHEN 6 THEN 11 ELSE chance END"))
+    copies = F.array(F.lit(0), (F.col("draw_id") % 7 + 1).cast("int"))
+    out = rows.withColumn("copy", F.explode(copies))
+    out = out.withColumn("chance", F.expr("CASE copy WHEN 5 THEN NULL WHEN 6 THEN 11 ELSE chance END"))
     for c, (code, sql) in defects.items():
-        bad = bad.withColumn(c, F.expr(f"CASE WHEN copy = {code} THEN {sql} ELSE {c} END"))
-    return rows.withColumn("copy", F.lit(0)).unionByName(bad)
+        out = out.withColumn(c, F.expr(f"CASE WHEN copy = {code} THEN {sql} ELSE {c} END"))
+    return out
 
 
 def date_text(rows: DataFrame) -> DataFrame:

@@ -24,13 +24,17 @@ def draws_from_orders(spark: SparkSession, sf_dir: str, series: bool = True) ->
         .groupBy("draw_id", "num")
         .agg(F.min("l_linenumber").alias("first_line"))
     )
-    rank = F.row_number().over(W.partitionBy("draw_id").orderBy("first_line", "num"))
+    # The five numbers are read off the sorted lines: no hash map of all draws, and the join keeps the order.
+    ordered = W.partitionBy("draw_id").orderBy("first_line", "num")
     five = (
-        items.withColumn("pos", rank)
-        .where("pos <= 5")
-        .groupBy("draw_id")
-        .agg(*[F.max(F.when(F.col("pos") == i, F.col("num"))).alias(f"n{i}") for i in range(1, 6)])
-        .where("n5 IS NOT NULL")
+        items.select(
+            "draw_id",
+            F.row_number().over(ordered).alias("pos"),
+            F.col("num").alias("n1"),
+            *[F.lead("num", i - 1).over(ordered).alias(f"n{i}") for i in range(2, 6)],
+        )
+        .where("pos = 1 AND n5 IS NOT NULL")
+        .drop("pos")
     )
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("draw_id"),

@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from drawlytics.catalog import inputs, queries
 from drawlytics.operators import evaluate, forest
 from drawlytics.plans import kernels
 from drawlytics.plans.skew import join_hot
 from drawlytics.sources import history
+from drawlytics.sources.fixture import draws_from_orders
 
 
 def test_large_left_sides_are_not_sent_to_the_driver(spark):
@@ -104,3 +106,43 @@ def test_a_small_forest_goes_to_the_rows(spark, monkeypatch):
     here = {r["row"]: r["p"] for r in small.collect()}
     monkeypatch.setattr(forest, "MOST_BYTES", 0)
     assert here == {r["row"]: r["p"] for r in forest.score(rows, nodes, 2).collect()} and len(here) == 200
+
+
+def test_both_copies_of_a_draw_come_from_one_pass(spark, sf_dir):
+    """Before, a task built the draws of its share twice, each time sorted, hashed by draw twice and sorted again."""
+    plan = queries.validate_draws(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == plan.count("Relation [o_orderkey") == 1
+    assert "Union" not in plan and plan.count("Aggregate") == 1
+
+
+def test_draws_of_odd_orders(spark, tmp_path):
+    """Repeated numbers, ties of a line, short and long orders, no line number, lines or orders without a partner."""
+    rng = np.random.default_rng(11)
+    lines = [(int(o), int(p), int(n)) for o, p, n in zip(rng.integers(-20, 60, 600), rng.integers(1, 300, 600), rng.integers(1, 6, 600))]
+    lines += [(70, p, p) for p in range(1, 5)] + [(71, 49 * p, p) for p in range(1, 9)] + [(72, p, None if p == 5 else p) for p in range(1, 8)]
+    lines += [(73, p, 200 - p) for p in range(1, 200)] + [(None, p, p) for p in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    keys = [k for k in range(-20, 80) if k != 7]
+    orders = spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").selectExpr("*", "DATE'2020-01-01' AS o_orderdate", "'a' AS o_orderpriority", "1L AS o_custkey")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    want = {}
+    for k in keys:
+        first = {}
+        for _, p, n in (x for x in lines if x[0] == k):
+            seen = first.get(p % 49 + 1)
+            first[p % 49 + 1] = n if seen is None else min(seen, n) if n is not None else seen
+        if len(first) >= 5:
+            want[k] = tuple(sorted(first, key=lambda x: (first[x] is not None, first[x] or 0, x))[:5])
+    draws = draws_from_orders(spark, str(tmp_path))
+    got = {r["draw_id"]: (r["n1"], r["n2"], r["n3"], r["n4"], r["n5"]) for r in draws.collect()}
+    assert got == want and {72, 73} <= set(got) and not {70, 71} & set(got)
+
+    defects = {1: ("n1", 0), 2: ("n2", 50), 4: ("n4", None), 5: ("chance", None), 6: ("chance", 11), 7: ("draw_date", None)}
+    expected = []
+    for r in (x.asDict() for x in draws.collect()):
+        code = int(math.fmod(r["draw_id"], 7)) + 1
+        name, value = defects.get(code, ("n3", r["n2"]) if code == 3 else ("chance", r["chance"]))
+        expected += [r | {"copy": 0}, r | {"copy": code, name: value}]
+    shown = inputs.dirty(draws)
+    order = lambda rows: sorted(map(str, (tuple(r[c] for c in shown.columns) for r in rows)))
+    assert shown.columns == [*draws.columns, "copy"] and order(r.asDict() for r in shown.collect()) == order(expected)
