@@ -1,0 +1,29 @@
+"""The parameter search on all labelled rows, and the trees it shares."""
+
+import numpy as np
+import pytest
+
+from drawlytics.operators import forest, models
+from drawlytics.params import Game
+
+GAME = Game(main_max=6, main_pick=2, chance_max=2)
+
+
+def _training(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for s, n in (("a", 120), ("b", 40)):
+        for i in range(n):
+            x = [float(v) / 10 for v in rng.integers(0, 10, 5)]
+            y = [int(j in set(rng.choice(6, 2, replace=False))) for j in range(6)]
+            rows.append((s, i + 10, x, y, [1, 0] if x[0] > 0.4 else [0, 1] if i % 9 else [0, 0]))
+    return spark.createDataFrame(rows, "series string, draw_idx long, features array<double>, y_nums array<int>, y_chance array<int>")
+
+
+def test_search_takes_all_rows_however_many(spark):
+    """Before, rows over the bound were left out; now they only change where trees grow."""
+    train = _training(spark)
+    grid = {"trees": [2, 5], "max_depth": [None, 1, 3], "min_split": [2, 12], "min_leaf": [1]}
+    want = models.search_params(train, 12, grid, GAME, folds=1)
+    assert models.search_params(train, 12, grid, GAME, folds=1, most_rows=20) == want
+    assert len(want[1]) == 24
