@@ -27,3 +27,43 @@ def test_search_takes_all_rows_however_many(spark):
     want = models.search_params(train, 12, grid, GAME, folds=1)
     assert models.search_params(train, 12, grid, GAME, folds=1, most_rows=20) == want
     assert len(want[1]) == 24
+
+
+@pytest.mark.parametrize("labels", [3, 49])
+def test_cuts_of_small_and_large_nodes_are_those_of_the_full_counts(labels):
+    rng = np.random.default_rng(labels)
+    size = np.concatenate([np.arange(1, 41), [90, 400]])
+    node, features = np.repeat(np.arange(len(size)), size), 20
+    codes, weight = rng.integers(0, rng.integers(2, 32, features), (len(node), features)).astype(np.uint8), rng.integers(1, 4, len(node))
+    y = (rng.random((len(node), labels)) < 0.2).astype(np.int64)
+    tries = forest.tried(np.zeros(len(size), np.int64), np.arange(len(size)), features, forest.Rules(1, 60, 2, 1, 5, 7))
+    found = np.take_along_axis(codes, tries[node], axis=1).T
+    for min_leaf in (1, 2, 4):
+        own, feature, code, _ = forest.best_cuts(*forest.histogram(node, tries, codes, weight, y), min_leaf)
+        got = forest.best_splits(node, tries, found, weight, *np.nonzero(y), labels, min_leaf)
+        assert [x.tolist() for x in got] == [own.tolist(), feature.tolist(), code.tolist()]
+
+
+@pytest.mark.parametrize("labels", [2, 30])
+def test_trees_side_by_side_are_those_grown_alone(labels):
+    """Before, the tree of each rule was grown from its root."""
+    rng = np.random.default_rng(labels)
+    codes, y, weight = rng.integers(0, 12, (700, 9)).astype(np.uint8), (rng.random((700, labels)) < 0.2).astype(np.int64), rng.integers(1, 4, 700)
+    rules = [forest.Rules(1, depth, least, leaf, 3, 42) for depth, least, leaf in ((60, 2, 1), (60, 5, 1), (7, 2, 2), (60, 2, 4), (60, 2, 40))]
+    each = forest.grow_each(codes, y, weight, 5, 1, rules)
+    for r, own in zip(rules, each):
+        alone = forest.grow(codes, y, weight, 5, 1, r)
+        assert all(np.array_equal(a, b) for a, b in zip(own, alone))
+        split = np.flatnonzero(own.code >= 0)
+        assert (own.node[2 * np.arange(len(split)) + 1] == 2 * own.node[split]).all()
+        assert (own.counts[2 * np.arange(len(split)) + 1] + own.counts[2 * np.arange(len(split)) + 2] == own.counts[split]).all()
+    assert len({len(x.node) for x in each}) == len(rules)
+
+
+def test_a_tree_grows_as_far_as_a_candidate_needs():
+    chosen = [{"trees": 5, "max_depth": None, "min_split": 2, "min_leaf": 1}, {"trees": 9, "max_depth": 4, "min_split": 6, "min_leaf": 1}, {"trees": 3, "max_depth": 4, "min_split": 6, "min_leaf": 2}]
+    search = models.Search(chosen, [(4, 6), (60, 2)], [3, 5, 9], [6, 2])
+    base = forest.Rules(0, 60, 2, 1, 3, 42)
+    assert [search.wanted(1, t) for t in (0, 4, 5, 8, 9)] == [[0, 1], [0, 1], [0], [0], []] and search.wanted(2, 3) == []
+    assert search.rules(base, 1, 4)[1:4] == (60, 2, 1) and search.rules(base, 1, 5)[1:4] == (4, 6, 1)
+    assert [search.upto(t) for t in (0, 3, 5)] == [3, 5, 9]
